@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
     "rare_digest",
+    "arc_convert",
     "window_packing",
     "merge_prefix",
+    "token_store",
 )
 
 
