@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
+    "license_scan",
     "rare_digest",
     "arc_convert",
     "window_packing",
