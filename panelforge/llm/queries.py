@@ -12,6 +12,7 @@ MODULES = (
     "rare_digest",
     "arc_convert",
     "window_packing",
+    "line_rules",
     "merge_prefix",
     "token_store",
 )
