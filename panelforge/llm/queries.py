@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
     "license_scan",
+    "minhash_forest",
     "rare_digest",
     "arc_convert",
     "window_packing",
