@@ -12,6 +12,7 @@ MODULES = (
     "minhash_forest",
     "rare_digest",
     "arc_convert",
+    "lattice_lm",
     "window_packing",
     "line_rules",
     "merge_prefix",
