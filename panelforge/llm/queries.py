@@ -14,6 +14,7 @@ MODULES = (
     "arc_convert",
     "lattice_lm",
     "window_packing",
+    "byte_cnn",
     "line_rules",
     "merge_prefix",
     "token_store",
