@@ -186,8 +186,8 @@ def _feature_sql() -> str:
     return f"""m AS (SELECT *, avg(ret) OVER (PARTITION BY dt) AS mkt FROM p),
 o AS (SELECT dt, asset, asset_ord, px, ret, rn, diff, {', '.join(own)} FROM m),
 dl AS (SELECT dt, avg(volatility_20d) AS avg_vol, avg(above_ma200) AS breadth, {pick} FROM o GROUP BY dt),
-s1 AS (SELECT dt, {', '.join(series)} FROM dl),
-s AS (SELECT *, {acc} FROM s1),
+fs1 AS (SELECT dt, {', '.join(series)} FROM dl),
+s AS (SELECT *, {acc} FROM fs1),
 f AS (SELECT o.*, momentum_5d - momentum_20d AS price_accel, volatility_10d / nullif(volatility_60d, 0) AS vol_ratio, ((rsi_14 - 50) / 50 + zscore_20d) / 2 AS mean_rev_score,
   momentum_20d - avg(momentum_20d) OVER (PARTITION BY dt) AS cross_momentum, volatility_20d / nullif(avg(volatility_20d) OVER (PARTITION BY dt), 0) AS relative_vol,
   avg(momentum_10d) OVER (PARTITION BY dt) AS regime_signal, s.* EXCLUDE (dt) FROM o JOIN s USING (dt))"""

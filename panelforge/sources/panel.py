@@ -84,9 +84,9 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql(bars: str) -> str:
     return f"""bars AS ({bars}),
 spine AS (SELECT * FROM (SELECT DISTINCT dt FROM bars) CROSS JOIN (SELECT DISTINCT asset, asset_ord FROM bars)),
-fwd AS (SELECT s.dt, s.asset, s.asset_ord, last_value(px IGNORE NULLS) OVER (PARTITION BY s.asset ORDER BY s.dt ROWS UNBOUNDED PRECEDING) AS px
+filled AS (SELECT s.dt, s.asset, s.asset_ord, last_value(px IGNORE NULLS) OVER (PARTITION BY s.asset ORDER BY s.dt ROWS UNBOUNDED PRECEDING) AS px
         FROM spine s LEFT JOIN bars b ON b.dt = s.dt AND b.asset = s.asset),
-full_ AS (SELECT dt, asset, asset_ord, coalesce(px, first_value(px IGNORE NULLS) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS px FROM fwd),
+full_ AS (SELECT dt, asset, asset_ord, coalesce(px, first_value(px IGNORE NULLS) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS px FROM filled),
 p AS (SELECT *, row_number() OVER w AS rn, px / lag(px) OVER w - 1 AS ret, ln(px / lag(px) OVER w) AS lret, px - lag(px) OVER w AS diff
       FROM full_ WINDOW w AS (PARTITION BY asset ORDER BY dt))"""
 
