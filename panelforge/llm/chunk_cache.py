@@ -1,56 +1,48 @@
 """Exact, cached encoding with the tokenizers library.
 
-A text is cut where a pre-token must begin whatever stands around it.  Distinct pieces that a
-worker has not seen are encoded together, and the ids of known pieces are joined.  Where no certain place to cut is known, a longer piece is encoded whole.
+A text is cut where a pre-token must begin whatever stands around it; the library encodes each
+piece that a worker does not know, and the ids of known pieces are joined.  Where no certain
+place to cut is known, a longer piece is encoded whole.  A worker process keeps what it knows,
+in a bounded table, from task to task.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable
-
-import numpy as np
+from functools import lru_cache
+from operator import add
 
 LIMIT = 400_000
 
 
-class Known:
-    """piece -> value, in two generations: what was not used lately is forgotten."""
+class Known(dict):
+    """piece -> value, in two generations: what was not used lately is forgotten.
+
+    ``make`` gives the value of a new piece; ``tail`` may split a new piece into a shorter one
+    and the value of what follows it, and ``join`` puts two values together.
+    """
 
-    def __init__(self, make: Callable[[list], Iterable]):
-        self.now: dict = {}
+    def __init__(self, make: Callable, tail: Callable = lambda p: None, join: Callable = add):
+        super().__init__()
         self.old: dict = {}
-        self.make = make
-
-    def all(self, pieces: list) -> list:
-        out = list(map(self.now.get, pieces))
-        if None in out:
-            self.learn({p for p, v in zip(pieces, out, strict=True) if v is None})
-            out = list(map(self.now.__getitem__, pieces))
-        return out
-
-    def learn(self, new: set) -> None:
-        if len(self.now) + len(new) > LIMIT:
-            self.old, self.now = self.now, {}
-        old = self.old
-        # pieces of the same call that the turn of generations forgot are asked for again
-        want = [p for p in new if p not in old]
-        self.now.update((p, old[p]) for p in new if p in old)
-        self.now.update(zip(want, self.make(want), strict=True))
-
-    def each(self, lists: list[list]) -> list[list]:
-        """Values of many lists; unknown pieces of all of them are made in one go."""
-        out = [list(map(self.now.get, x)) for x in lists]
-        miss = {p for x, v in zip(lists, out, strict=True) if None in v for p, y in zip(x, v, strict=True) if y is None}
-        if not miss:
-            return out
-        before = self.now
-        self.learn(miss)
-        if before is self.now:
-            return [[*map(self.now.__getitem__, x)] if None in v else v for x, v in zip(lists, out, strict=True)]
-        get_now, get_old = self.now.get, before.get
-        return [[y if y is not None else (get_now(p) or get_old(p)) for p, y in zip(x, v, strict=True)] for x, v in zip(lists, out, strict=True)]
+        self.make, self.tail, self.join = make, tail, join
+
+    def __missing__(self, piece):
+        v = self.old.get(piece)
+        if v is None:
+            t = self.tail(piece)
+            v = self.make(piece) if t is None else self.join(self[t[0]], t[1])
+        self[piece] = v
+        return v
+
+    def each(self, pieces: list) -> Iterable:
+        if len(self) > LIMIT:
+            self.old = dict(self)
+            self.clear()
+        return map(self.__getitem__, pieces)
 
 
 def plain_tokenizer(content: bytes):
@@ -62,79 +54,56 @@ def plain_tokenizer(content: bytes):
     return t
 
 
-def _parts(ids: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """The ids as bytes, cut before each index in ``first``."""
-    raw, w = ids.tobytes(), ids.itemsize
-    at = (first * w).tolist()
-    return [raw[x:y] for x, y in zip(at, at[1:] + [len(raw)], strict=True)]
-
-
 class WordIds:
     """For a tokenizer that drops white space and never joins over it: pieces are the runs
-    between ASCII white space, lower-cased where that is plain.  New pieces are encoded as one
-    text; a token's offset says to which piece it belongs.  Ids are little-endian unsigned
-    32-bit integers."""
+    between ASCII white space, with A-Z lowered.  Ids are little-endian unsigned 32-bit
+    integers (2 or 4 bytes in host order below; the engine's hosts are little-endian)."""
 
     def __init__(self, content: bytes):
+        import json
+
+        import tiktoken
+
         self.t = plain_tokenizer(content)
-        self.known = Known(self.make)
-
-    def make(self, words: list[bytes]) -> list[bytes]:
-        out = []
-        for k in range(0, len(words), 256):
-            part = [w.decode() for w in words[k : k + 256]]
-            e = self.t.encode(" ".join(part), add_special_tokens=False)
-            begin = np.cumsum([0] + [len(w) + 1 for w in part[:-1]])
-            at = np.array([o[0] for o in e.offsets], np.int64)
-            out += _parts(np.array(e.ids, "<u4"), np.searchsorted(at, begin))
-        return out
+        vocab = json.loads(content)["model"]["vocab"]
+        end = {p: i for p, i in vocab.items() if re.fullmatch("[a-z]+(</w>)?", p)}
+        ranks = {p.removesuffix("</w>").encode() + b"\xff" * p.endswith("</w>"): i for p, i in end.items()}
+        self.plain = re.compile(b"[a-z]+").fullmatch
+        ranks |= {bytes([b]): len(vocab) + b for b in range(256) if bytes([b]) not in ranks}
+        self.merge = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.after = {c: self.make(bytes([c])) for c in b".,!?;:"}
+        self.known = Known(self.make, self.tail)
+
+    def tail(self, w: bytes) -> tuple[bytes, bytes] | None:
+        """One such mark after a letter is a pre-token of its own."""
+        v = self.after.get(w[-1])
+        return (w[:-1], v) if v is not None and w[-2:-1].isalpha() else None
+
+    def make(self, word: bytes) -> bytes:
+        if self.plain(word):
+            return array("I", self.merge(word + b"\xff")).tobytes()
+        return array("I", self.t.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        return [b"".join(v) for v in self.known.each([t.lower().split() for t in texts])]
+        return [b"".join(self.known.each(t.lower().split())) for t in texts]
 
 
 class ByteIds:
-    """For a byte-level tokenizer whose pre-tokens take one space before a word: a space or a
-    line feed between two other than white-space characters begins a new pre-token.  Pieces
-    keep the space; a line feed is a piece of its own.  New pieces that begin with their only
-    white space are encoded as one text, where each token that begins with a space begins a
-    piece."""
-
-    TWO = re.compile(r"\s\s")
-    CUT = re.compile(r"(?<=\S)(?= \S)")
-    SPACED = re.compile(r" \S+")
+    """Ids of a byte-level tokenizer, text by text."""
 
     def __init__(self, content: bytes, dtype: str):
-        self.t, self.dtype = plain_tokenizer(content), dtype
-        vocab = self.t.get_vocab()
-        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
-        self.spaced[[i for p, i in vocab.items() if p[0] == "\u0120"]] = True
-        self.known = Known(self.make)
-
-    def one(self, s: str) -> np.ndarray:
-        return np.array(self.t.encode(s, add_special_tokens=False).ids, self.dtype)
-
-    def make(self, pieces: list[str]) -> list[bytes]:
-        out = [b""] * len(pieces)
-        plain = []
-        for i, p in enumerate(pieces):
-            if self.SPACED.fullmatch(p):
-                plain.append(i)
-            else:
-                out[i] = self.one(p).tobytes()
-        for k in range(0, len(plain), 256):
-            part = plain[k : k + 256]
-            ids = self.one("".join([pieces[i] for i in part]))
-            for i, v in zip(part, _parts(ids, np.flatnonzero(self.spaced[ids])), strict=True):
-                out[i] = v
-        return out
-
-    def pieces(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if self.TWO.search(text) or text[0] in " \n" or text[-1] in " \n" or "\0" in text:
-            return self.CUT.split(text)
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        self.t, self.kind = plain_tokenizer(content), {"<u2": "H", "<u4": "I"}[dtype]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(v) for v in self.known.each([self.pieces(t) for t in texts])]
+        return [array(self.kind, self.t.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+
+
+@lru_cache(2)
+def word_ids(content: bytes) -> WordIds:
+    """Kept by the worker process, so that its later tasks know the pieces of the earlier."""
+    return WordIds(content)
+
+
+@lru_cache(2)
+def byte_ids(content: bytes, dtype: str) -> ByteIds:
+    return ByteIds(content, dtype)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunk_cache import WordIds
+from .chunk_cache import word_ids
 from .common import blocks, map_batches, tokenizer_bytes
 
 SIZE = 2048
@@ -88,7 +88,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     schema = ", ".join(f"{c} long" for c in names) + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = WordIds(content)
+        enc = word_ids(content)
         enders = np.unique([np.frombuffer(x, "<u4")[-1] for x in enc([b"x" + c for c in (b".", b"!", b"?", b"!!", b"...")])])
         end = np.array([END_ID], "<u4").tobytes()
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
