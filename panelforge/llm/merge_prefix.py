@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ from .chunk_cache import Known
 from .common import blocks, map_batches, tokenizer_bytes
 
 SPACE = "▁"
-PAIRS = 500_000
+PAIRS = 1_500_000
 
 
 class MergePrefixEncoder:
@@ -52,14 +53,14 @@ class MergePrefixEncoder:
                 self.id_of[p] = i
         self.rank = {p: -sp.get_score(i) for p, i in self.id_of.items()}
         self.end = sp.eos_id()
-        self.pair: dict[tuple[str, str], bool] = {}
         self.inside = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
-        self.known = Known(lambda units: [self.unit_ids(u) for u in units])
-        self.parts = Known(lambda parts: [self.part_ids(p) for p in parts])
+        self.pairs = 0
+        self.last: dict[str, tuple] = {}
+        self.known = Known(self.unit_ids, self.tail, lambda a, b: (a[0] + b[0], f"{a[1]} {b[1]}"))
         self.automaton = ahocorasick.Automaton()
         for p in self.id_of:
             if len(p) == 1 or self.merged(p) == [p]:  # pieces that no merges reach are never tokens
-                self.automaton.add_word(p, (p, len(p)))
+                self.automaton.add_word(p, (p, len(p), {}))
         self.automaton.make_automaton()
 
     def merged(self, s: str) -> list[str]:
@@ -77,39 +78,38 @@ class MergePrefixEncoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def apart(self, k: tuple[str, str]) -> bool:
-        if len(self.pair) >= PAIRS:
-            self.pair.clear()
-        a, b = k
-        v = self.pair[k] = self.merged(a + b) == [a, b]
+    def apart(self, left: str, piece: str, lefts: dict[str, bool]) -> bool:
+        """Whether the two stay apart when encoded together; kept in the piece's own table."""
+        self.pairs += 1
+        if self.pairs > PAIRS:
+            self.pairs = 0
+            for _, _, table in self.automaton.values():
+                table.clear()
+        v = lefts[left] = self.merged(left + piece) == [left, piece]
         return v
 
     def tokens(self, unit: str) -> list[str]:
         """Last token of each prefix, then the tokens from the end backwards."""
         n = len(unit)
-        last: list[str | None] = [None] * (n + 1)
-        pair, apart, at = self.pair.get, self.apart, 0
-        for end, (p, length) in self.automaton.iter(unit):
-            if last[end + 1] is not None:
+        last: list[str | None] = [None] * n
+        apart, at = self.apart, 0
+        for end, (p, length, lefts) in self.automaton.iter(unit):
+            if last[end] is not None:
                 continue
             while at < end:  # characters that no piece ends at
-                at += 1
                 if last[at] is None:
-                    last[at] = unit[at - 1]
-            i = end + 1 - length
-            if i == 0:
-                last[end + 1] = p
+                    last[at] = unit[at]
+                at += 1
+            i = end - length
+            if i < 0:
+                last[end] = p
             else:
-                k = (last[i], p)
-                v = pair(k)
-                if v or (v is None and apart(k)):
-                    last[end + 1] = p
-        for j in range(at + 1, n + 1):
-            if last[j] is None:
-                last[j] = unit[j - 1]
-        out, j = [], n
-        while j:
-            t = last[j]
+                v = lefts.get(last[i])
+                if v or (v is None and apart(last[i], p, lefts)):
+                    last[end] = p
+        out, j = [], n - 1
+        while j >= 0:
+            t = last[j] or unit[j]
             out.append(t)
             j -= len(t)
         out.reverse()
@@ -123,20 +123,23 @@ class MergePrefixEncoder:
         return tuple(ids), " ".join(map(str, ids))
 
     def unit_ids(self, unit: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a unit, and the same as text.  Two characters that stand together in no piece
-        are in different tokens: there the unit falls into parts."""
-        inside = self.inside
-        if "\n" not in unit:
-            if unit[-1].isalnum() or unit[-2:] in inside or len(unit) < 2:
-                return self.part_ids(unit)
-            a, b = self.parts.all([unit[:-1], unit[-1]])
-            return a[0] + b[0], f"{a[1]} {b[1]}"
-        at = [i + 1 for i in range(len(unit) - 1) if unit[i : i + 2] not in inside]
-        if not at:
-            return self.parts.all([unit])[0]
-        v = self.parts.all([unit[a:b] for a, b in zip([0, *at], [*at, len(unit)], strict=True)])
+        """Ids of a unit, and the same as text; a line feed is in no piece."""
+        if "\n" not in unit or "\n" in self.id_of:
+            return self.part_ids(unit)
+        v = [self.part_ids(x) for x in re.findall("\n|[^\n]+", unit)]
         return tuple(chain.from_iterable([x[0] for x in v])), " ".join([x[1] for x in v])
 
+    def tail(self, unit: str) -> tuple[str, tuple] | None:
+        """Two characters that stand together in no piece are in different tokens: there the last
+        character may be taken off."""
+        if len(unit) < 2 or unit[-1].isalnum() or unit[-2:] in self.inside:
+            return None
+        c = unit[-1]
+        v = self.last.get(c)
+        if v is None:
+            v = self.last[c] = self.part_ids(c)
+        return unit[:-1], v
+
     def split(self, text: str) -> list[str]:
         if not text:
             return []
@@ -150,7 +153,8 @@ class MergePrefixEncoder:
 
     def encode_all(self, texts: list[str]) -> list[tuple[list[int], str]]:
         out = []
-        for parts in self.known.each([self.split(t) for t in texts]):
+        for t in texts:
+            parts = list(self.known.each(self.split(t)))
             ids = list(chain.from_iterable([p[0] for p in parts]))
             ids.append(self.end)
             out.append((ids, " ".join([p[1] for p in parts] + [str(self.end)])))
@@ -160,13 +164,19 @@ class MergePrefixEncoder:
         return self.sp.decode(ids)
 
 
+@lru_cache(2)
+def encoder(model: bytes) -> MergePrefixEncoder:
+    """Kept by the worker process, so that its later tasks know the units of the earlier."""
+    return MergePrefixEncoder(model)
+
+
 def encode_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, with_ids: bool = False) -> DataFrame:
     """Encode and decode every text; with ``with_ids`` also the ids and the decoded text."""
     content = tokenizer_bytes(model, "piece_bpe_32k.model")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = MergePrefixEncoder(content)
+        enc = encoder(content)
         for b in blocks(batches, "text"):
             n, sha, dec, all_ids, decoded = [], [], [], [], []
             for ids, s in enc.encode_all([t or "" for t in b.column("text").to_pylist()]):
