@@ -34,7 +34,7 @@ DIM = 6
 FILTERS = 24
 TRAIN_ROWS = 1500
 TRAIN_CHUNKS = 8
-EPOCHS = 8
+STEPS = 400
 BATCH = 64
 RATE = 0.01
 THRESHOLD = 0.7
@@ -98,16 +98,18 @@ class Network:
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         edge = np.searchsorted(doc, np.arange(len(y) + 1))
         rep = repeats(x).astype(np.float32)
+        weight = (len(y) / (2 * np.bincount(y.astype(int), minlength=2)))[y.astype(int)].astype(np.float32)  # classes count alike
+        epochs = -(-STEPS // -(-len(y) // BATCH))
         t = 0
-        for epoch in range(EPOCHS):
+        for epoch in range(epochs):
             order = rng.permutation(len(y))
             for a in range(0, len(y), BATCH):
                 texts = order[a : a + BATCH]
                 rows = np.concatenate([np.arange(edge[i], edge[i + 1]) for i in texts])
                 of = np.repeat(np.arange(len(texts)), edge[texts + 1] - edge[texts])
-                g = self.gradient(x[rows], rep[rows], of, y[texts])
+                g = self.gradient(x[rows], rep[rows], of, y[texts], weight[texts])
                 t += 1
-                rate = RATE * (1 - 0.8 * epoch / EPOCHS)
+                rate = RATE * (1 - 0.8 * epoch / epochs)
                 for k, d in g.items():
                     m1, m2 = m[k]
                     m1 += 0.1 * (d - m1)
@@ -115,7 +117,7 @@ class Network:
                     self.p[k] -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-7)
         return self
 
-    def gradient(self, x: np.ndarray, rep: np.ndarray, of: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradient(self, x: np.ndarray, rep: np.ndarray, of: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> dict[str, np.ndarray]:
         p = self.p
         h = self.conv(x, rep)
         at = h.argmax(axis=1)  # (chunks, FILTERS)
@@ -124,7 +126,7 @@ class Network:
         pooled = np.zeros((len(y), FILTERS), np.float32)
         np.add.at(pooled, of, np.maximum(top, 0) * share[:, None])
         z = pooled @ p["v"] + p["c"]
-        d = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32)
+        d = ((1 / (1 + np.exp(-z)) - y) * weight / len(y)).astype(np.float32)
         dtop = (d[of] * share)[:, None] * p["v"] * (top > 0)
         g = {"v": pooled.T @ d + 1e-4 * p["v"], "c": d.sum(keepdims=True), "b": dtop.sum(axis=0), "u": (dtop * np.take_along_axis(rep, at, axis=1)).sum(axis=0)}
         g["w"], g["emb"] = np.zeros_like(p["w"]), np.zeros_like(p["emb"])

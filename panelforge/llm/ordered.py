@@ -38,4 +38,4 @@ def bucket_of(df: DataFrame, col: str, per_partition: int = 4) -> tuple[Column,
         part = F.floor((c - F.lit(cuts[i])).cast("double") * F.lit(fine / (cuts[i + 1] - cuts[i])))
         return F.lit(i * fine) + F.greatest(F.lit(0), F.least(F.lit(fine - 1), part))
 
-    return F.coalesce(_tree(c, cuts, 0, n, leaf), F.lit(-1)).cast("int"), n * fine
+    return F.when(c.isNull(), -1).otherwise(_tree(c, cuts, 0, n, leaf)).cast("int"), n * fine
