@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("features", "scoring", "regimes", "ledger")
+MODULES = ("features", "scoring", "regimes", "ledger", "execution")
 
 
 def _collect(attribute: str) -> dict:
