@@ -11,7 +11,7 @@ prefix.  The depth of that prefix adapts to the region: where few classes share
 all of them are candidates; in a crowded region the neighbours are those with the longest
 prefixes.  In two rounds:
 
-1. each class proposes its most alike neighbour over all trees; proposals are confirmed on the
+1. in every tree each class proposes its most alike neighbour; proposals are confirmed on the
    full sets and give components;
 2. the trees are read again with the components as labels: every pair of neighbours in different
    components, and in regions wider than the reach also every class against the four classes
@@ -45,7 +45,8 @@ DEPTH = 16
 REACH = 16
 MEDOIDS = 4
 SIMILAR = 75  # percent
-LEAST_EQUAL = HASHES // 2  # equal minima below which no pair is worth confirming: over four deviations from 75 %
+BINS = 256  # of the sketch by which likeness is estimated
+DEVIATIONS = 4.5  # below 75 % that an estimate may fall for the pair still to be confirmed
 SEND_AT_MOST = 4_000_000  # ids that are broadcast; more are joined
 _RND = np.random.default_rng(77)
 _MUL = _RND.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,8 +79,9 @@ def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (of the whole set), minima, and their low bytes."""
-    schema = "doc_id long, n_shingles long, set_key binary, minima binary, low binary"
+    """doc_id, n_shingles, set_key (of the whole set), minima, and a sketch: shingles are dealt to
+    bins, and a byte of each bin's least one is kept (0: the bin is empty)."""
+    schema = "doc_id long, n_shingles long, set_key binary, minima binary, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
@@ -93,11 +95,15 @@ def signatures(docs: DataFrame) -> DataFrame:
                 minima = np.empty((len(has), HASHES), np.uint32)
                 for j in range(HASHES):
                     minima[:, j] = np.minimum.reduceat(((s * _MUL[j]) >> np.uint64(32)).astype(np.uint32), begin)
-                low = (minima & np.uint32(255)).astype(np.uint8)
                 minima = minima.astype(">u4")
+                m = mix(s + np.uint64(99))
+                least = np.full(len(n) * BINS, 0xFFFFFFFF, np.uint32)
+                at_bin = np.repeat(np.arange(len(n)), n) * BINS + (m >> np.uint64(56)).astype(np.int64)
+                np.minimum.at(least, at_bin, (m & np.uint64(0xFFFFFFFE)).astype(np.uint32))
+                sketch = np.where(least == 0xFFFFFFFF, 0, 1 + least // 2 % 255).astype(np.uint8).reshape(-1, BINS)
                 for i, d in enumerate(has.tolist()):
-                    cols[0][d], cols[1][d], cols[2][d] = keys[i].tobytes(), minima[i].tobytes(), low[i].tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["doc_id", "n_shingles", "set_key", "minima", "low"])
+                    cols[0][d], cols[1][d], cols[2][d] = keys[i].tobytes(), minima[i].tobytes(), sketch[d].tobytes()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["doc_id", "n_shingles", "set_key", "minima", "sketch"])
 
     return map_batches(docs, run, schema)
 
@@ -106,20 +112,28 @@ def _orders(classes: DataFrame, n_rows: int) -> DataFrame:
     """A row per class and tree, in the trees' orders."""
     twice = F.concat("minima", "minima")
     trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring(twice, 4 * t * (HASHES // TREES) + 1, 4 * DEPTH).alias("key")) for t in range(TREES)]))
-    rows = classes.select(trees.alias("o"), "rep", "label", "low").select("o.tree", "o.key", "rep", "label", "low")
+    rows = classes.select(trees.alias("o"), "rep", "label", "sketch", "n").select("o.tree", "o.key", "rep", "label", "sketch", "n")
     n = max(1, min(partitions(classes.sparkSession), n_rows * TREES // 2000))
     return rows.repartitionByRange(n, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
 
 
-def _alike(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _alike(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Estimated likeness in thousandths; -1 where it is too far below 75 %.  The bins are a sample
+    without replacement of the union, which has at most (size_i + size_j) / 1.75 shingles."""
     out = np.empty(len(i), np.int64)
-    for a in range(0, len(i), 1 << 15):
-        out[a : a + (1 << 15)] = (low[i[a : a + (1 << 15)]] == low[j[a : a + (1 << 15)]]).sum(axis=1)
+    for a in range(0, len(i), 1 << 13):
+        x, y = sketch[i[a : a + (1 << 13)]], sketch[j[a : a + (1 << 13)]]
+        either = ((x | y) != 0).sum(axis=1)
+        same = ((x == y) & (x != 0)).sum(axis=1) / np.maximum(either, 1)
+        union = (size[i[a : a + (1 << 13)]] + size[j[a : a + (1 << 13)]]) / 1.75
+        seen = np.minimum(either / np.maximum(union, 1), 0.95)
+        ok = same >= SIMILAR / 100 - DEVIATIONS * np.sqrt(0.1875 / np.maximum(either, 1) * (1 - seen)) - 1 / np.maximum(either, 1)
+        out[a : a + (1 << 13)] = np.where(ok, (1000 * same).astype(np.int64), -1)
     return out
 
 
-def _near(tree: np.ndarray, key: np.ndarray, low: np.ndarray, label: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates (i, j, equal minima) among rows in order.  Without labels: each row's most
+def _near(tree: np.ndarray, key: np.ndarray, sketch: np.ndarray, size: np.ndarray, label: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates (i, j, estimated likeness) among rows in order.  Without labels: each row's most
     alike neighbour; with labels: all neighbours of another label."""
     n = len(tree)
     none = np.zeros(0, np.int64)
@@ -128,7 +142,7 @@ def _near(tree: np.ndarray, key: np.ndarray, low: np.ndarray, label: np.ndarray
     same = (tree[1:] == tree[:-1])[:, None] & (key[1:] == key[:-1])
     prefix = np.logical_and.accumulate(same, axis=1).sum(axis=1)
     joined = prefix > 0
-    best, partner = np.zeros(n, np.int64), np.full(n, -1)
+    best, partner = np.full(n, -1), np.full(n, -1)
     found: list[tuple] = []
     run = joined.copy()
     for o in range(1, min(REACH, n - 1) + 1):
@@ -139,8 +153,8 @@ def _near(tree: np.ndarray, key: np.ndarray, low: np.ndarray, label: np.ndarray
         if label is not None:
             other = label[i] != label[j]
             i, j = i[other], j[other]
-        e = _alike(low, i, j)
-        ok = e >= LEAST_EQUAL
+        e = _alike(sketch, size, i, j)
+        ok = e >= 0
         i, j, e = i[ok], j[ok], e[ok]
         if label is not None:
             found.append((i, j, e))
@@ -157,37 +171,38 @@ def _near(tree: np.ndarray, key: np.ndarray, low: np.ndarray, label: np.ndarray
     for x, y in zip(edge.tolist(), edge[1:].tolist(), strict=False):
         if y - x <= REACH + 1 or (label[x:y] == label[x]).all():
             continue
-        part = low[x:y]
-        mode = np.array([np.bincount(part[:, c], minlength=256).argmax() for c in range(HASHES)], np.uint8)
+        part = sketch[x:y]
+        mode = np.array([np.bincount(part[:, c], minlength=256).argmax() for c in range(BINS)], np.uint8)
         for m in np.argsort(-(part == mode).sum(axis=1), kind="stable")[:MEDOIDS] + x:
             i = x + np.flatnonzero(label[x:y] != label[m])
             j = np.full(len(i), m)
-            e = _alike(low, i, j)
-            found.append((i[e >= LEAST_EQUAL], j[e >= LEAST_EQUAL], e[e >= LEAST_EQUAL]))
+            e = _alike(sketch, size, i, j)
+            found.append((i[e >= 0], j[e >= 0], e[e >= 0]))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (none, none, none)
 
 
 def _candidates(classes: DataFrame, n_rows: int, labelled: bool) -> DataFrame:
     """(a, b, label_a, label_b, equal): what the trees propose.  Runs that a partition's border
     cuts are joined in a second step, over ``REACH`` rows from either side of each border."""
-    schema = "a long, b long, label_a long, label_b long, equal int, border int, tree int, key binary, low binary"
+    schema = "a long, b long, label_a long, label_b long, equal int, border int, tree int, key binary, sketch binary, n int"
     names = [x.split(" ")[0] for x in schema.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()] * 2
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int32()]
 
     def arrays(rows: list[tuple]) -> tuple:
-        t, k, r, lab, low = zip(*rows, strict=True)
+        t, k, r, lab, sketch, n = zip(*rows, strict=True)
         return (
             np.array(t),
             np.frombuffer(b"".join(k), ">u4").reshape(-1, DEPTH),
             np.array(r, np.int64),
             np.array(lab, np.int64) if labelled else None,
-            np.frombuffer(b"".join(low), np.uint8).reshape(-1, HASHES),
+            np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BINS),
+            np.array(n, np.int64),
         )
 
     def pairs(rows: list[tuple], skip: int = 0) -> pa.RecordBatch | None:
         """skip: of the first rows all pairs have been seen."""
-        t, k, r, lab, low = arrays(rows)
-        i, j, e = _near(t, k, low, lab)
+        t, k, r, lab, sketch, n = arrays(rows)
+        i, j, e = _near(t, k, sketch, n, lab)
         new = np.maximum(i, j) >= skip
         i, j, e = i[new], j[new], e[new]
         if not len(i):
@@ -197,10 +212,10 @@ def _candidates(classes: DataFrame, n_rows: int, labelled: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(r[i]), pa.array(r[j]), pa.array(la), pa.array(lb), pa.array(e.astype(np.int32)), *empty], names)
 
     def edges(rows: list[tuple], border: int) -> pa.RecordBatch:
-        t, k, r, lab, low = zip(*rows, strict=True)
+        t, k, r, lab, sketch, size = zip(*rows, strict=True)
         n = len(rows)
         nul = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), nul, pa.array(lab, pa.int64()), nul, pa.nulls(n, pa.int32()), pa.array([border] * n, pa.int32()), pa.array(t, pa.int32()), pa.array(k, pa.binary()), pa.array(low, pa.binary())], names)
+        return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), nul, pa.array(lab, pa.int64()), nul, pa.nulls(n, pa.int32()), pa.array([border] * n, pa.int32()), pa.array(t, pa.int32()), pa.array(k, pa.binary()), pa.array(sketch, pa.binary()), pa.array(size, pa.int32())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -208,7 +223,7 @@ def _candidates(classes: DataFrame, n_rows: int, labelled: bool) -> DataFrame:
         first: list[tuple] = []
         skip = 0
         for b in batches:
-            rows = list(zip(*(b.column(c).to_pylist() for c in ("tree", "key", "rep", "label", "low")), strict=True))
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("tree", "key", "rep", "label", "sketch", "n")), strict=True))
             first += rows[: max(0, REACH - len(first))]
             held += rows
             if len(held) >= 60_000:
@@ -225,7 +240,7 @@ def _candidates(classes: DataFrame, n_rows: int, labelled: bool) -> DataFrame:
     raw = written(map_batches(_orders(classes, n_rows), run, schema), "forest")
 
     def across(key: tuple, t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("tree", "key", "a", "label_a", "low")), strict=True), key=lambda x: x[:3])
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("tree", "key", "a", "label_a", "sketch", "n")), strict=True), key=lambda x: x[:3])
         out = pairs(rows)
         return pa.Table.from_batches([out] if out else [], pa.schema(list(zip(names, kinds, strict=True))))
 
@@ -262,19 +277,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id and kept of every row."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = written(signatures(d), "signatures")
-    classes = sig.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("minima").alias("minima"), F.first("low").alias("low")).where("rep is not null")
+    classes = sig.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch"), F.first("n_shingles").cast("int").alias("n")).where("rep is not null")
     classes = written(classes, "classes")
     n = classes.count()
 
     cand = _candidates(classes.withColumn("label", F.lit(None).cast("long")), n, False)
-    best = cand.groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b"))
-    pairs = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "proposals")
+    pairs = written(cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "proposals")
     same = pairs.select("a", "b", F.col("a").alias("label_a"), F.col("b").alias("label_b"))
     label = written(components(confirmed(same, d)), "components")
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     again = classes.join(nodes, "rep", "left_semi").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    again = written(again.select("rep", "minima", "low", "label"), "labelled")
+    again = written(again.select("rep", "minima", "sketch", "n", "label"), "labelled")
     cand = _candidates(again, again.count(), True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "label_a", "label_b").where("a <> b").dropDuplicates(["a", "b"])
     more = written(cand.join(pairs, ["a", "b"], "left_anti"), "proposals")
     if not more.isEmpty():
