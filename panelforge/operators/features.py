@@ -13,13 +13,13 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.sources.panel import ASSET, CROSS, DATE, by_asset, dates, gated, with_returns
+from panelforge.sources.panel import own_rows, cross_section, date_order, by_asset, dates, gated, with_returns
 
 YEAR = 252
 
 
 def momentum(w: int) -> Column:
-    return F.try_divide("px", F.lag("px", w).over(ASSET)) - 1
+    return F.try_divide("px", F.lag("px", w).over(own_rows())) - 1
 
 
 def volatility(w: int) -> Column:
@@ -68,16 +68,16 @@ OWN: dict[str, Callable[[], Column]] = {
 
 #: Features of the cross-section of a date, with the own-row columns that they need.
 ACROSS: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
-    "cross_momentum": (("momentum_20d",), lambda: F.col("momentum_20d") - F.avg("momentum_20d").over(CROSS)),
-    "relative_vol": (("volatility_20d",), lambda: F.try_divide("volatility_20d", F.nullif(F.avg("volatility_20d").over(CROSS), F.lit(0.0)))),
-    "regime_signal": (("momentum_10d",), lambda: F.avg("momentum_10d").over(CROSS)),
+    "cross_momentum": (("momentum_20d",), lambda: F.col("momentum_20d") - F.avg("momentum_20d").over(cross_section())),
+    "relative_vol": (("volatility_20d",), lambda: F.try_divide("volatility_20d", F.nullif(F.avg("volatility_20d").over(cross_section()), F.lit(0.0)))),
+    "regime_signal": (("momentum_10d",), lambda: F.avg("momentum_10d").over(cross_section())),
 }
 
 
 def log_ratio_change(a: str, b: str, n: int = 20, sign: int = 1) -> Column:
     """Change over ``n`` dates of ln(px_a / px_b), 0 where there is none."""
     r = F.ln(F.try_divide(f"px_{a}", f"px_{b}"))
-    return sign * F.coalesce(r - F.lag(r, n).over(DATE), F.lit(0.0))
+    return sign * F.coalesce(r - F.lag(r, n).over(date_order()), F.lit(0.0))
 
 
 def _vol_regime() -> Column:
@@ -86,7 +86,7 @@ def _vol_regime() -> Column:
 
 
 def _change(name: str, n: int) -> Column:
-    return F.coalesce(F.col(name) - F.lag(name, n).over(DATE), F.lit(0.0))
+    return F.coalesce(F.col(name) - F.lag(name, n).over(date_order()), F.lit(0.0))
 
 
 #: Date-level features, with the tickers that they need.
@@ -102,7 +102,7 @@ SERIES: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
     "cross_asset_vol": ((), lambda: F.coalesce("avg_vol", F.lit(0.0))),
     "vol_regime": ((), _vol_regime),
     "trend_strength": ((), lambda: F.col("breadth")),
-    "carry_proxy": (("HYG",), lambda: F.coalesce(F.try_divide("px_HYG", F.lag("px_HYG", 20).over(DATE)) - 1, F.lit(0.0))),
+    "carry_proxy": (("HYG",), lambda: F.coalesce(F.try_divide("px_HYG", F.lag("px_HYG", 20).over(date_order())) - 1, F.lit(0.0))),
     "stress_accel_5d": ((), lambda: _change("vol_regime", 5)),
     "stress_accel_20d": ((), lambda: _change("vol_regime", 20)),
 }
@@ -118,7 +118,7 @@ def register_feature(name: str, build: Callable[[], Column]) -> None:
 
 def base(panel: DataFrame) -> DataFrame:
     """The panel with returns and the date's mean return."""
-    return with_returns(panel).withColumn("mkt", F.avg("ret").over(CROSS))
+    return with_returns(panel).withColumn("mkt", F.avg("ret").over(cross_section()))
 
 
 def date_level(panel: DataFrame, names: Iterable[str], tickers: Iterable[str]) -> DataFrame:

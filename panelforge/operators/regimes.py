@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators.features import date_level
-from panelforge.sources.panel import DATE, dates, with_returns
+from panelforge.sources.panel import date_order, dates, with_returns
 
 #: The scenario mapping (factor weights).
 SCENARIOS = {
@@ -40,14 +40,14 @@ def event_labels(panel: DataFrame, window: int = 252, backfill: bool = False) ->
     """Five event regimes from rolling percentiles; later rules win.  ``backfill`` lets the first
     percentiles also judge the dates before them (it looks ahead; off by default)."""
     w = wide(panel, ("SPY", "TLT", "HYG", "EEM", "DBC", "IWM"))
-    change = lambda c, n: c - F.lag(c, n).over(DATE)
+    change = lambda c, n: c - F.lag(c, n).over(date_order())
     log = lambda t: F.ln(f"px_{t}")
     w = w.select("dt", change(log("DBC") - log("TLT"), 20).alias("dbc"), change(log("HYG") - log("TLT"), 10).alias("hyg"), change(log("IWM") - log("SPY"), 20).alias("iwm"), change(log("EEM") - log("SPY"), 20).alias("eem"), change(log("TLT"), 20).alias("tlt"))
     cuts = (("dbc", 0.75), ("dbc", 0.80), ("hyg", 0.25), ("iwm", 0.15), ("eem", 0.25))
     q = {(c, p): F.when(F.count(c).over(dates(window)) == window, F.percentile(c, F.lit(p)).over(dates(window))) for c, p in cuts}
     w = w.select("*", *[v.alias(f"{c}_{int(p * 100)}") for (c, p), v in q.items()])
     if backfill:
-        ahead = DATE.rowsBetween(0, Window.unboundedFollowing)
+        ahead = date_order().rowsBetween(0, Window.unboundedFollowing)
         w = w.select("dt", "dbc", "hyg", "iwm", "eem", "tlt", *[F.coalesce(F.col(f"{c}_{int(p * 100)}"), F.first(f"{c}_{int(p * 100)}", ignorenulls=True).over(ahead)).alias(f"{c}_{int(p * 100)}") for c, p in cuts])
     c = F.col
     label = (
@@ -71,7 +71,7 @@ def market_labels(panel: DataFrame, window: int = 252) -> DataFrame:
 def policy(panel: DataFrame, tickers: Iterable[str]) -> DataFrame:
     """Five macro readings per date, filled forward."""
     w = wide(panel, ("TLT", "DBC", "GLD", "HYG", "EEM")).join(date_level(panel, ["trend_strength"], tickers), "dt")
-    change = lambda x, n: x - F.lag(x, n).over(DATE)
+    change = lambda x, n: x - F.lag(x, n).over(date_order())
     r = lambda a, b: F.ln(F.try_divide(f"px_{a}", f"px_{b}"))
     cols = {
         "rate_env": change(F.ln("px_TLT"), 20),
@@ -145,7 +145,7 @@ def by_regime(ic: DataFrame, labels: DataFrame) -> DataFrame:
 def walk_forward(ic: DataFrame, n_train: int, n_test: int, step: int) -> DataFrame:
     """Mean IC of each formula in the train and test part of every window; windows are ranges of
     date numbers, joined as ranges to the (date-level) facts in one job."""
-    d = ic.select("dt").distinct().withColumn("i", F.row_number().over(DATE) - 1)
+    d = ic.select("dt").distinct().withColumn("i", F.row_number().over(date_order()) - 1)
     total = d.agg(F.max("i").alias("m"))
     starts = total.select(F.explode(F.sequence(F.lit(0), F.greatest(F.col("m") + 1 - n_train - n_test, F.lit(0)), F.lit(step))).alias("t0"))
     x = ic.join(F.broadcast(d), "dt").where("ic is not null")

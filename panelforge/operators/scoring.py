@@ -11,13 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.plans.formula import average_rank, ordinal_rank
-from panelforge.sources.panel import ASSET, with_returns
+from panelforge.sources.panel import own_rows, with_returns
 
 YEAR = 252
 KEY = ("formula_id", "dt")
-PER_DATE = Window.partitionBy(*KEY)
-PER_ASSET = Window.partitionBy("formula_id", "asset").orderBy("dt")
-PER_FORMULA = Window.partitionBy("formula_id").orderBy("dt")
 #: Horizons in rows with their weights, rows between rebalancings, capital tiers with their weights.
 HORIZON_WEIGHTS = {1: 0.4, 7: 0.3, 30: 0.2, 90: 0.1}
 REBALANCE = {1: 1, 7: 5, 30: 21, 90: 63}
@@ -27,13 +24,25 @@ REFERENCE_SHARPE = 0.5
 TURNOVER_SCALE = 10.0
 
 
+def per_date() -> Window:
+    return Window.partitionBy(*KEY)
+
+
+def per_asset() -> Window:
+    return Window.partitionBy("formula_id", "asset").orderBy("dt")
+
+
+def per_formula() -> Window:
+    return Window.partitionBy("formula_id").orderBy("dt")
+
+
 def forward(panel: DataFrame, lead: int = 1) -> DataFrame:
-    return with_returns(panel).select("dt", "asset", F.lead("ret", lead).over(ASSET).alias("fwd"))
+    return with_returns(panel).select("dt", "asset", F.lead("ret", lead).over(own_rows()).alias("fwd"))
 
 
 def ahead(panel: DataFrame, rows: int, log: bool = False) -> DataFrame:
     """Return over the next rows."""
-    r = F.try_divide(F.lead("px", rows).over(ASSET), "px")
+    r = F.try_divide(F.lead("px", rows).over(own_rows()), "px")
     return panel.select("dt", "asset", (F.ln(r) if log else r - 1).alias("fwd"))
 
 
@@ -66,8 +75,8 @@ def ic_summary(ic: DataFrame, sample: bool = True) -> DataFrame:
 def ic_decay(sig: DataFrame, panel: DataFrame, lags: int = 5) -> DataFrame:
     """Mean IC by lag, from one table with all lags."""
     p = with_returns(panel)
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("ret", k).over(ASSET).alias("fwd")) for k in range(1, lags + 1)]))
-    f = p.select("dt", "asset", *[F.lead("ret", k).over(ASSET).alias(f"f{k}") for k in range(1, lags + 1)])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("ret", k).over(own_rows()).alias("fwd")) for k in range(1, lags + 1)]))
+    f = p.select("dt", "asset", *[F.lead("ret", k).over(own_rows()).alias(f"f{k}") for k in range(1, lags + 1)])
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"f{k}").alias("fwd")) for k in range(1, lags + 1)]))
     f = f.select("dt", "asset", each.alias("x")).select("dt", "asset", "x.lag", "x.fwd")
     j = sig.join(f, ["dt", "asset"]).where("val is not null and fwd is not null")
@@ -79,7 +88,7 @@ def ic_decay(sig: DataFrame, panel: DataFrame, lags: int = 5) -> DataFrame:
 
 def ic_horizons(sig: DataFrame, panel: DataFrame, horizons: dict[int, float], log: bool = False) -> DataFrame:
     """Mean IC by horizon, dates without variation counting 0, in long form with the weight."""
-    f = panel.select("dt", "asset", *[F.try_divide(F.lead("px", h).over(ASSET), "px").alias(f"f{h}") for h in horizons])
+    f = panel.select("dt", "asset", *[F.try_divide(F.lead("px", h).over(own_rows()), "px").alias(f"f{h}") for h in horizons])
     each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(w).alias("weight"), (F.ln(f"f{h}") if log else F.col(f"f{h}") - 1).alias("fwd")) for h, w in horizons.items()]))
     f = f.select("dt", "asset", each.alias("x")).select("dt", "asset", "x.*")
     j = sig.join(f, ["dt", "asset"]).where("val is not null and fwd is not null")
@@ -97,8 +106,8 @@ def weighted_ic(horizon_ics: DataFrame) -> DataFrame:
 def weights(sig: DataFrame) -> DataFrame:
     """Demeaned ranks over their absolute sum."""
     r = sig.withColumn("r", average_rank(F.col("val"), KEY))
-    r = r.withColumn("r", F.col("r") - F.avg("r").over(PER_DATE))
-    return r.withColumn("w", F.col("r") / (F.sum(F.abs("r")).over(PER_DATE) + 1e-8)).select("formula_id", "dt", "asset", "asset_ord", "w")
+    r = r.withColumn("r", F.col("r") - F.avg("r").over(per_date()))
+    return r.withColumn("w", F.col("r") / (F.sum(F.abs("r")).over(per_date()) + 1e-8)).select("formula_id", "dt", "asset", "asset_ord", "w")
 
 
 def pnl(w: DataFrame, panel: DataFrame, lead: int = 2) -> DataFrame:
@@ -112,7 +121,7 @@ def sharpe(mean: Column, std: Column) -> Column:
 
 def drawdowns(p: DataFrame) -> DataFrame:
     """Three forms: on the sum of profits, on the compounded value, and on the sum of the last 20."""
-    run = PER_FORMULA.rowsBetween(Window.unboundedPreceding, 0)
+    run = per_formula().rowsBetween(Window.unboundedPreceding, 0)
     c = p.withColumn("cum", F.sum("pnl").over(run)).withColumn("value", F.exp(F.sum(F.ln(1 + F.col("pnl"))).over(run)))
     c = c.withColumn("rev", F.row_number().over(Window.partitionBy("formula_id").orderBy(F.desc("dt"))))
     c = c.withColumn("cum20", F.sum(F.when(F.col("rev") <= 20, F.col("pnl"))).over(run))
@@ -123,10 +132,10 @@ def drawdowns(p: DataFrame) -> DataFrame:
 def turnovers(w: DataFrame, panel: DataFrame) -> DataFrame:
     """Four forms: mean change of a weight over dates and assets, mean sum of changes per date,
     half of that, and mean change of the rank."""
-    step = F.col("w") - F.lag("w").over(PER_ASSET)
-    pos = F.percent_rank().over(PER_DATE.orderBy(F.round("w", 10), "asset_ord"))
+    step = F.col("w") - F.lag("w").over(per_asset())
+    pos = F.percent_rank().over(per_date().orderBy(F.round("w", 10), "asset_ord"))
     s = w.withColumn("step", F.abs(step)).withColumn("pos", pos)
-    s = s.withColumn("rank_step", F.abs(F.col("pos") - F.lag("pos").over(PER_ASSET))).where("step is not null")
+    s = s.withColumn("rank_step", F.abs(F.col("pos") - F.lag("pos").over(per_asset()))).where("step is not null")
     d = s.groupBy(*KEY).agg(F.avg("step").alias("mean"), F.sum("step").alias("total"), F.avg("rank_step").alias("ranks"))
     return d.groupBy("formula_id").agg(F.avg("mean").alias("mean_change"), F.avg("total").alias("per_date"), (F.avg("total") / 2).alias("half"), F.avg("ranks").alias("rank_change"))
 
@@ -146,7 +155,7 @@ def portfolio(sig: DataFrame, panel: DataFrame, lead: int = 2) -> DataFrame:
         F.count("*").alias("n"),
     )
     # weights up to the last but one date count for the turnover
-    seen = w.join(forward(panel, 1), ["dt", "asset"]).where("fwd is not null").withColumn("step", F.abs(F.col("w") - F.lag("w").over(PER_ASSET)))
+    seen = w.join(forward(panel, 1), ["dt", "asset"]).where("fwd is not null").withColumn("step", F.abs(F.col("w") - F.lag("w").over(per_asset())))
     t = seen.groupBy("formula_id").agg(F.avg("step").alias("turnover"))
     return m.join(t, "formula_id").join(drawdowns(p).select("formula_id", F.col("additive").alias("max_drawdown")), "formula_id")
 
@@ -156,7 +165,7 @@ def rebalanced(sig: DataFrame, panel: DataFrame, every: dict[int, int] | None =
     between.  One table holds all horizons."""
     every = every or REBALANCE
     w = weights(sig).join(forward(panel, 2), ["dt", "asset"]).where("fwd is not null")
-    w = w.withColumn("i", F.row_number().over(PER_ASSET) - 1)
+    w = w.withColumn("i", F.row_number().over(per_asset()) - 1)
     each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(n).alias("every")) for h, n in every.items()]))
     x = w.select("*", each.alias("x")).select("formula_id", "dt", "asset", "w", "fwd", "i", "x.*")
     order = Window.partitionBy("formula_id", "horizon", "asset").orderBy("dt")
@@ -198,12 +207,12 @@ def composite(by_horizon: DataFrame) -> DataFrame:
 
 def threshold_long_short(sig: DataFrame, panel: DataFrame, bps: float = 2.0, least: int = 60) -> DataFrame:
     """Long above rank 0.8, short below 0.2, at each rebalancing interval; the best by Sharpe."""
-    r = sig.where("val is not null").withColumn("r", average_rank(F.col("val"), KEY) / F.count("val").over(PER_DATE))
+    r = sig.where("val is not null").withColumn("r", average_rank(F.col("val"), KEY) / F.count("val").over(per_date()))
     side = F.when(F.col("r") > 0.8, 1.0).when(F.col("r") < 0.2, -1.0).otherwise(0.0)
     r = r.withColumn("side", side)
-    n = F.greatest(F.sum(F.abs("side")).over(PER_DATE), F.lit(1.0))
+    n = F.greatest(F.sum(F.abs("side")).over(per_date()), F.lit(1.0))
     w = r.select("formula_id", "dt", "asset", (F.col("side") / n).alias("w")).join(forward(panel, 2), ["dt", "asset"]).where("fwd is not null")
-    w = w.withColumn("i", F.row_number().over(PER_ASSET) - 1)
+    w = w.withColumn("i", F.row_number().over(per_asset()) - 1)
     x = w.select("*", F.explode(F.array(*map(F.lit, REBALANCE.values()))).alias("every"))
     order = Window.partitionBy("formula_id", "every", "asset").orderBy("dt")
     x = x.withColumn("held", F.last(F.when(F.col("i") % F.col("every") == 0, F.col("w")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -215,8 +224,8 @@ def threshold_long_short(sig: DataFrame, panel: DataFrame, bps: float = 2.0, lea
 
 def signal_stability(sig: DataFrame, lag: int = 5, least: int = 15) -> DataFrame:
     """Mean over assets of the correlation of the signal's rank with that of ``lag`` rows before."""
-    r = sig.where("val is not null").withColumn("r", average_rank(F.col("val"), KEY) / F.count("val").over(PER_DATE))
-    r = r.select("formula_id", "asset", "r", F.lag("r", lag).over(PER_ASSET).alias("b")).where("b is not null")
+    r = sig.where("val is not null").withColumn("r", average_rank(F.col("val"), KEY) / F.count("val").over(per_date()))
+    r = r.select("formula_id", "asset", "r", F.lag("r", lag).over(per_asset()).alias("b")).where("b is not null")
     a = r.groupBy("formula_id", "asset").agg(_pearson("r", "b", 1e-12).alias("c"), F.count("*").alias("n")).where((F.col("n") + lag > least) & F.col("c").isNotNull())
     return a.groupBy("formula_id").agg(F.avg("c").alias("stability"))
 
@@ -258,7 +267,7 @@ def unit_costs(panel: DataFrame, capital: float) -> DataFrame:
 def net_of_costs(w: DataFrame, panel: DataFrame, capital: float) -> DataFrame:
     """Gross and net mean profit and Sharpe after trading costs."""
     u = unit_costs(panel, capital).select("asset", "unit")
-    x = w.withColumn("step", F.abs(F.col("w") - F.lag("w").over(PER_ASSET))).join(F.broadcast(u), "asset").join(forward(panel, 2), ["dt", "asset"]).where("fwd is not null")
+    x = w.withColumn("step", F.abs(F.col("w") - F.lag("w").over(per_asset()))).join(F.broadcast(u), "asset").join(forward(panel, 2), ["dt", "asset"]).where("fwd is not null")
     d = x.groupBy(*KEY).agg(F.sum(F.col("w") * F.col("fwd")).alias("gross"), F.sum(F.coalesce(F.col("step") * F.col("unit"), F.lit(0.0))).alias("cost"))
     d = d.withColumn("net", F.col("gross") - F.col("cost"))
     return d.groupBy("formula_id").agg(F.avg("gross").alias("gross"), F.avg("net").alias("net"), F.sum("cost").alias("cost"), sharpe(F.avg("gross"), F.stddev_pop("gross")).alias("gross_sharpe"), sharpe(F.avg("net"), F.stddev_pop("net")).alias("net_sharpe"))
@@ -266,7 +275,7 @@ def net_of_costs(w: DataFrame, panel: DataFrame, capital: float) -> DataFrame:
 
 def simple_costs(w: DataFrame, panel: DataFrame, bps: float = 10.0) -> DataFrame:
     """Flat cost on half the change of the weights."""
-    x = w.withColumn("step", F.abs(F.col("w") - F.coalesce(F.lag("w").over(PER_ASSET), F.lit(0.0)))).join(forward(panel, 1), ["dt", "asset"]).where("fwd is not null")
+    x = w.withColumn("step", F.abs(F.col("w") - F.coalesce(F.lag("w").over(per_asset()), F.lit(0.0)))).join(forward(panel, 1), ["dt", "asset"]).where("fwd is not null")
     d = x.groupBy(*KEY).agg(F.sum(F.col("w") * F.col("fwd")).alias("gross"), (F.sum("step") / 2).alias("turnover"))
     d = d.withColumn("net", F.col("gross") - F.col("turnover") * (bps / 1e4))
     s = F.try_divide(F.avg("net"), F.nullif(F.stddev_samp("net"), F.lit(0.0))) * F.sqrt(F.lit(float(YEAR)))

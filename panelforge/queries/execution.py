@@ -61,7 +61,7 @@ def _capital(s, d):
     """Holding returns of two formulas at four intervals, as pnl per horizon."""
     p, sig = linear(s, d)
     w = S.weights(sig.where("formula_id IN ('mom', 'rev')")).join(S.forward(p, 2), ["dt", "asset"]).where("fwd is not null")
-    w = w.withColumn("i", F.row_number().over(S.PER_ASSET) - 1)
+    w = w.withColumn("i", F.row_number().over(S.per_asset()) - 1)
     each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(n).alias("every")) for h, n in zip(E.HORIZONS, S.REBALANCE.values(), strict=True)]))
     x = w.select("*", each.alias("x")).select("formula_id", "dt", "asset", "w", "fwd", "i", "x.*")
     o = A.Window.partitionBy("formula_id", "horizon", "asset").orderBy("dt")

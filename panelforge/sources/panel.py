@@ -21,13 +21,21 @@ def by_asset(n: int | None = None) -> Window:
     return w.rowsBetween(Window.unboundedPreceding if n is None else -(n - 1), 0)
 
 
-ASSET = Window.partitionBy("asset").orderBy("dt")
-CROSS = Window.partitionBy("dt")
-DATE = Window.orderBy("dt")  # only over tables with one row per date
+def own_rows() -> Window:
+    return Window.partitionBy("asset").orderBy("dt")
+
+
+def cross_section() -> Window:
+    return Window.partitionBy("dt")
+
+
+def date_order() -> Window:
+    """Unpartitioned: only over tables with one row per date."""
+    return Window.orderBy("dt")
 
 
 def dates(n: int | None = None) -> Window:
-    return DATE.rowsBetween(Window.unboundedPreceding if n is None else -(n - 1), 0)
+    return date_order().rowsBetween(Window.unboundedPreceding if n is None else -(n - 1), 0)
 
 
 def gated(value: Column, over: Column, frame: Window, n: int) -> Column:
@@ -40,17 +48,17 @@ def complete(bars: DataFrame) -> DataFrame:
     few, so their list is sent to the dates."""
     spine = bars.select("dt").distinct().crossJoin(F.broadcast(bars.select("asset", "asset_ord").distinct()))
     p = spine.join(bars.select("dt", "asset", "px"), ["dt", "asset"], "left")
-    ahead = ASSET.rowsBetween(0, Window.unboundedFollowing)
+    ahead = own_rows().rowsBetween(0, Window.unboundedFollowing)
     p = p.withColumn("px", F.last("px", ignorenulls=True).over(by_asset()))
     return p.withColumn("px", F.coalesce("px", F.first("px", ignorenulls=True).over(ahead)))
 
 
 def with_returns(panel: DataFrame) -> DataFrame:
     """Adds rn (from 1), ret, lret and diff."""
-    before = F.lag("px").over(ASSET)
+    before = F.lag("px").over(own_rows())
     return panel.select(
         "*",
-        F.row_number().over(ASSET).alias("rn"),
+        F.row_number().over(own_rows()).alias("rn"),
         (F.try_divide("px", before) - 1).alias("ret"),
         F.ln(F.try_divide("px", before)).alias("lret"),
         (F.col("px") - before).alias("diff"),
@@ -83,7 +91,7 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same panels for DuckDB, as common table expressions that end in ``p`` (with returns).
 def _sql(bars: str) -> str:
     return f"""bars AS ({bars}),
-spine AS (SELECT * FROM (SELECT DISTINCT dt FROM bars) CROSS JOIN (SELECT DISTINCT asset, asset_ord FROM bars)),
+spine AS (SELECT * FROM (SELECT DISTINCT dt FROM bars) cross_section() JOIN (SELECT DISTINCT asset, asset_ord FROM bars)),
 filled AS (SELECT s.dt, s.asset, s.asset_ord, last_value(px IGNORE NULLS) OVER (PARTITION BY s.asset ORDER BY s.dt ROWS UNBOUNDED PRECEDING) AS px
         FROM spine s LEFT JOIN bars b ON b.dt = s.dt AND b.asset = s.asset),
 full_ AS (SELECT dt, asset, asset_ord, coalesce(px, first_value(px IGNORE NULLS) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS px FROM filled),
@@ -94,14 +102,14 @@ p AS (SELECT *, row_number() OVER w AS rn, px / lag(px) OVER w - 1 AS ret, ln(px
 def lineitem_sql(unit: str = "week") -> str:
     ticks = ", ".join(f"'{t}'" for t in TICKERS)
     return _sql(
-        f"""SELECT date_trunc('{unit}', l_shipdate)::DATE AS dt, ([{ticks}])[l_linenumber] AS asset, l_linenumber::INT AS asset_ord,
+        f"""SELECT date_trunc('{unit}', l_shipdate)::date_order() AS dt, ([{ticks}])[l_linenumber] AS asset, l_linenumber::INT AS asset_ord,
   round(sum(l_extendedprice) / sum(l_quantity), 4) AS px FROM lineitem GROUP BY 1, 2, 3"""
     )
 
 
 def orders_sql() -> str:
-    return _sql("SELECT date_trunc('week', o_orderdate)::DATE AS dt, o_orderpriority AS asset, substr(o_orderpriority, 1, 1)::INT AS asset_ord, round(avg(o_totalprice), 4) AS px FROM orders GROUP BY 1, 2, 3")
+    return _sql("SELECT date_trunc('week', o_orderdate)::date_order() AS dt, o_orderpriority AS asset, substr(o_orderpriority, 1, 1)::INT AS asset_ord, round(avg(o_totalprice), 4) AS px FROM orders GROUP BY 1, 2, 3")
 
 
 def events_sql() -> str:
-    return _sql("SELECT ts::DATE AS dt, event_type AS asset, 0 AS asset_ord, round(avg(value), 4) AS px FROM events GROUP BY 1, 2, 3")
+    return _sql("SELECT ts::date_order() AS dt, event_type AS asset, 0 AS asset_ord, round(avg(value), 4) AS px FROM events GROUP BY 1, 2, 3")

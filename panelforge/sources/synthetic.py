@@ -97,12 +97,12 @@ SHOCKS = {
 def shocked(panel: DataFrame, scenario: str, seed: int = 1) -> DataFrame:
     """The panel with its first rows replaced by the scenario's drift and wider noise, and the
     rest rebased on them: a running sum of new log returns."""
-    from panelforge.sources.panel import ASSET, with_returns
+    from panelforge.sources.panel import own_rows, with_returns
 
     factor, days, moves = SHOCKS[scenario]
     drift = F.coalesce(*[F.when(F.col("asset") == t, F.lit(v)) for t, v in moves.items()], F.lit(0.0))
     x = with_returns(panel)
-    sigma = F.stddev_samp("lret").over(ASSET.rowsBetween(-(1 << 30), 1 << 30))
+    sigma = F.stddev_samp("lret").over(own_rows().rowsBetween(-(1 << 30), 1 << 30))
     u = lambda k: (F.pmod(F.xxhash64(F.lit(seed * 10 + k), F.lit(scenario), "asset", "dt"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     z = F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * 3.141592653589793 * u(2))
     x = x.withColumn("new", F.when(F.col("rn") == 1, 0.0).when(F.col("rn") <= days, F.ln(1 + drift) / days + sigma * factor * z).otherwise(F.col("lret")))
