@@ -12,7 +12,7 @@ from panelforge import queries as registry
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ("panel_daily", "feature_volatility_60d", "feature_vol_regime", "op_rank", "formula_linear", "ic_daily", "ic_summary", "ic_horizons", "port_metrics", "rebalance_sim", "score_grid", "composite", "net_of_costs", "bench_exact_100", "bench_linear_1000")
+HEADLINE = ("panel_daily", "feature_volatility_60d", "feature_vol_regime", "op_rank", "formula_linear", "ic_daily", "ic_summary", "ic_horizons", "port_metrics", "rebalance_sim", "score_grid", "composite", "net_of_costs", "bench_ic_100", "bench_linear_100")
 
 
 def main() -> None:
