@@ -25,8 +25,9 @@ class Known(dict):
     and the value of what follows it, and ``join`` puts two values together.
     """
 
-    def __init__(self, make: Callable, tail: Callable = lambda p: None, join: Callable = add):
+    def __init__(self, make: Callable, tail: Callable = lambda p: None, join: Callable = add, limit: int = LIMIT):
         super().__init__()
+        self.limit = limit
         self.old: dict = {}
         self.make, self.tail, self.join = make, tail, join
 
@@ -39,7 +40,7 @@ class Known(dict):
         return v
 
     def each(self, pieces: list) -> Iterable:
-        if len(self) > LIMIT:
+        if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
         return map(self.__getitem__, pieces)
@@ -59,7 +60,7 @@ class WordIds:
     between ASCII white space, with A-Z lowered.  Ids are little-endian unsigned 32-bit
     integers (2 or 4 bytes in host order below; the engine's hosts are little-endian)."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, limit: int = LIMIT):
         import json
 
         import tiktoken
@@ -72,7 +73,7 @@ class WordIds:
         ranks |= {bytes([b]): len(vocab) + b for b in range(256) if bytes([b]) not in ranks}
         self.merge = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.after = {c: self.make(bytes([c])) for c in b".,!?;:"}
-        self.known = Known(self.make, self.tail)
+        self.known = Known(self.make, self.tail, limit=limit)
 
     def tail(self, w: bytes) -> tuple[bytes, bytes] | None:
         """One such mark after a letter is a pre-token of its own."""
@@ -139,9 +140,9 @@ class ByteIds:
 
 
 @lru_cache(2)
-def word_ids(content: bytes) -> WordIds:
+def word_ids(content: bytes, limit: int = LIMIT) -> WordIds:
     """Kept by the worker process, so that its later tasks know the pieces of the earlier."""
-    return WordIds(content)
+    return WordIds(content, limit)
 
 
 @lru_cache(2)

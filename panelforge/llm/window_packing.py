@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunk_cache import word_ids
+from .chunk_cache import LIMIT, word_ids
 from .common import blocks, map_batches, tokenizer_bytes
 
 SIZE = 2048
@@ -81,14 +81,15 @@ def boundaries(ids: np.ndarray, doc_end: np.ndarray, enders: np.ndarray, size: i
     return both, pen
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SIZE, with_ids: bool = False, sentence: float = SENTENCE_PENALTY, forced: float = FORCED_PENALTY) -> DataFrame:
-    """One row per piece; with ``with_ids`` also its ids (little-endian unsigned 32-bit)."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SIZE, with_ids: bool = False, sentence: float = SENTENCE_PENALTY, forced: float = FORCED_PENALTY, known: int = LIMIT) -> DataFrame:
+    """One row per piece; with ``with_ids`` also its ids (little-endian unsigned 32-bit).
+    ``known`` bounds how many words a worker remembers: memory against time."""
     content = tokenizer_bytes(tokenizer, "word_bpe_49k.json")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = ", ".join(f"{c} long" for c in names) + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = word_ids(content)
+        enc = word_ids(content, known)
         enders = np.unique([np.frombuffer(x, "<u4")[-1] for x in enc([b"x" + c for c in (b".", b"!", b"?", b"!!", b"...")])])
         end = np.array([END_ID], "<u4").tobytes()
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
