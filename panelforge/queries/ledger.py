@@ -11,7 +11,7 @@ from panelforge.operators import scoring as S
 from panelforge.queries.scoring import rounded
 from panelforge.sources.panel import TICKERS, lineitem_panel, lineitem_sql, with_returns
 
-EPOCH = "(year(o_orderdate) * 12 + month(o_orderdate))"
+EPOCH = "CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT)"
 FACTS = f"""facts AS (SELECT 'f' || (o_orderkey % 50) AS formula_id, {EPOCH} AS epoch, min(o_custkey % 20) AS uid, round(avg((o_orderkey * 7919 + o_custkey * 31) % 2000) / 10000.0 - 0.08, 6) AS ic FROM orders GROUP BY 1, 2)"""
 SCORES = f"scores AS (SELECT o_custkey % 20 AS uid, {EPOCH} AS epoch, round(avg((o_orderkey * 7919) % 1000) / 1000.0 + CASE WHEN {EPOCH} % 17 = 0 THEN 0.8 ELSE 0 END, 6) AS score FROM orders GROUP BY 1, 2)"
 ROLES = "CASE uid % 5 WHEN 0 THEN 'signal' WHEN 1 THEN 'strategy' WHEN 2 THEN 'risk' WHEN 3 THEN 'portfolio' ELSE 'meta' END"

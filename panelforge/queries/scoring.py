@@ -119,7 +119,7 @@ SAT = lambda x: f"greatest(0, least(1, 1 - exp(-greatest({x}, 0) / {S.REFERENCE_
 CAPS = ", ".join(f"({c}, {w})" for c, w in S.CAPITAL_WEIGHTS.items())
 HW = " ".join(f"WHEN {h} THEN {w}" for h, w in S.HORIZON_WEIGHTS.items())
 GRID_SQL = f"""cp(capital, w_c) AS (VALUES {CAPS}),
-grid AS (SELECT formula_id, horizon, capital, sharpe, {SAT('sharpe')} * {SAT(f'sharpe - turnover * capital / 1e6 * {S.TURNOVER_SCALE}')} AS cell, (CASE horizon {HW} END) * w_c AS weight FROM reb CROSS JOIN cp)"""
+grid AS (SELECT formula_id, horizon, capital, sharpe, {SAT('sharpe')} * {SAT(f'sharpe - turnover * capital / 1e6 * {S.TURNOVER_SCALE}')} AS cell, ((CASE horizon {HW} END) * w_c)::DOUBLE AS weight FROM reb CROSS JOIN cp)"""
 UNIT_SQL = lambda cap: f"""ct(asset, spread_bps, eta, adv_bn) AS (VALUES {', '.join(f"('{k}', {a}, {b}, {c})" for k, (a, b, c) in S.COSTS.items())}),
 vol AS (SELECT asset, stddev_samp(ret) AS sigma FROM p GROUP BY asset),
 unit AS (SELECT asset, spread_bps / 2e4 + eta * sigma * sqrt(greatest(0, least(1, {cap} / (adv_bn * 1e9)))) AS unit, spread_bps, eta, adv_bn, sigma
@@ -249,7 +249,7 @@ SELECT formula_id, round(avg(c), 6) AS stability FROM l3 WHERE c IS NOT NULL GRO
 )
 
 # costs
-add("unit_costs", lambda s, d: S.unit_costs(lineitem_panel(s, d), 1e6), f"{PRE}, {UNIT_SQL('1e6')} SELECT asset, {_cols('unit', 'spread_bps', 'eta', 'adv_bn', 'sigma')} FROM unit")
+add("unit_costs", lambda s, d: S.unit_costs(lineitem_panel(s, d), 1e6), f"{PRE}, {UNIT_SQL('1e6')} SELECT asset, round(unit, 6) AS unit, spread_bps::DOUBLE AS spread_bps, eta::DOUBLE AS eta, adv_bn::DOUBLE AS adv_bn, round(sigma, 6) AS sigma FROM unit")
 add(
     "net_of_costs",
     lambda s, d: S.net_of_costs(S.weights(linear(s, d)[1]), lineitem_panel(s, d), 1e6),
