@@ -122,7 +122,8 @@ def sharpe(mean: Column, std: Column) -> Column:
 def drawdowns(p: DataFrame) -> DataFrame:
     """Three forms: on the sum of profits, on the compounded value, and on the sum of the last 20."""
     run = per_formula().rowsBetween(Window.unboundedPreceding, 0)
-    c = p.withColumn("cum", F.sum("pnl").over(run)).withColumn("value", F.exp(F.sum(F.ln(1 + F.col("pnl"))).over(run)))
+    grown = F.ln(F.greatest(1 + F.col("pnl"), F.lit(1e-12)))  # a loss of everything stays one
+    c = p.withColumn("cum", F.sum("pnl").over(run)).withColumn("value", F.exp(F.sum(grown).over(run)))
     c = c.withColumn("rev", F.row_number().over(Window.partitionBy("formula_id").orderBy(F.desc("dt"))))
     c = c.withColumn("cum20", F.sum(F.when(F.col("rev") <= 20, F.col("pnl"))).over(run))
     c = c.select("formula_id", (F.col("cum") - F.max("cum").over(run)).alias("a"), F.try_divide("value", F.max("value").over(run)).alias("b"), (F.col("cum20") - F.greatest(F.max("cum20").over(run), F.lit(0.0))).alias("c"))

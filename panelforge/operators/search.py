@@ -222,7 +222,7 @@ def optimise(mean: np.ndarray, cov: np.ndarray, method: str, most: float = 0.4)
             w = np.maximum(w - (u[: k + 1].sum() - 1) / (k + 1), 0)
     elif method == "risk_parity":
         for _ in range(500):
-            risk = w * (cov @ w)
+            risk = np.maximum(w * (cov @ w), 1e-12 * np.trace(cov))
             w = w * np.sqrt((risk.sum() / n + 1e-18) / (risk + 1e-18))
             w = w / w.sum()
     else:

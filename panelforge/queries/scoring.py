@@ -97,7 +97,7 @@ h AS (SELECT formula_id, horizon, any_value(weight) AS weight, avg(ic) AS mean_i
 W_SQL = f"""r0 AS (SELECT *, {_rank_sql('val', 'formula_id, dt')} AS r FROM sig), r1 AS (SELECT *, r - avg(r) OVER (PARTITION BY formula_id, dt) AS c FROM r0),
 w AS (SELECT formula_id, dt, asset, asset_ord, c / (sum(abs(c)) OVER (PARTITION BY formula_id, dt) + 1e-8) AS w FROM r1)"""
 PNL_SQL = f"{_fwd(2)}, pnl AS (SELECT formula_id, dt, sum(w * fwd) AS pnl FROM w JOIN fwd USING (dt, asset) WHERE fwd IS NOT NULL GROUP BY ALL)"
-DD_SQL = """c1 AS (SELECT *, sum(pnl) OVER o AS cum, exp(sum(ln(1 + pnl)) OVER o) AS val, row_number() OVER (PARTITION BY formula_id ORDER BY dt DESC) AS rev FROM pnl WINDOW o AS (PARTITION BY formula_id ORDER BY dt ROWS UNBOUNDED PRECEDING)),
+DD_SQL = """c1 AS (SELECT *, sum(pnl) OVER o AS cum, exp(sum(ln(greatest(1 + pnl, 1e-12))) OVER o) AS val, row_number() OVER (PARTITION BY formula_id ORDER BY dt DESC) AS rev FROM pnl WINDOW o AS (PARTITION BY formula_id ORDER BY dt ROWS UNBOUNDED PRECEDING)),
 c2 AS (SELECT *, sum(pnl) FILTER (rev <= 20) OVER (PARTITION BY formula_id ORDER BY dt ROWS UNBOUNDED PRECEDING) AS cum20 FROM c1),
 c3 AS (SELECT formula_id, cum - max(cum) OVER o AS a, val / max(val) OVER o AS b, cum20 - greatest(max(cum20) OVER o, 0) AS c FROM c2 WINDOW o AS (PARTITION BY formula_id ORDER BY dt ROWS UNBOUNDED PRECEDING)),
 dd AS (SELECT formula_id, min(a) AS additive, min(b) - 1 AS relative, coalesce(min(c), 0) AS recent FROM c3 GROUP BY formula_id)"""
