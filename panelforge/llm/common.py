@@ -8,6 +8,8 @@ memory of a Python worker does not depend on how many rows a batch has.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,9 +61,22 @@ def tokenizer_bytes(path: str | None, name: str) -> bytes:
         return f.read()
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker process lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
     tune(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, size: int = BLOCK) -> Iterator[pa.RecordBatch]:
