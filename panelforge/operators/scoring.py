@@ -75,7 +75,6 @@ def ic_summary(ic: DataFrame, sample: bool = True) -> DataFrame:
 def ic_decay(sig: DataFrame, panel: DataFrame, lags: int = 5) -> DataFrame:
     """Mean IC by lag, from one table with all lags."""
     p = with_returns(panel)
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("ret", k).over(own_rows()).alias("fwd")) for k in range(1, lags + 1)]))
     f = p.select("dt", "asset", *[F.lead("ret", k).over(own_rows()).alias(f"f{k}") for k in range(1, lags + 1)])
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"f{k}").alias("fwd")) for k in range(1, lags + 1)]))
     f = f.select("dt", "asset", each.alias("x")).select("dt", "asset", "x.lag", "x.fwd")
