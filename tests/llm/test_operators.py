@@ -365,6 +365,16 @@ def test_common_lines_go_and_copies_stay(spark):
     assert not any(got[k] for k in range(30)) and all(got[k] for k in got if k >= 100)
 
 
+def test_lines_are_counted_by_document(spark):
+    """Different short documents that share a line with a low hash are not one document."""
+    rng = random.Random(5)
+    uniq = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    common = min((uniq(8) for _ in range(3000)), key=lambda x: hashlib.md5(x.encode()).digest())
+    rows = [(k, "\n".join([common, *(uniq(12) for _ in range(5))]), "a") for k in range(40)]
+    got = line_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert [r.n_removed_words for r in got] == [8] * 40
+
+
 # ---- 9 ---------------------------------------------------------------------------------------
 def test_encoding_equals_the_library(docs, rows):
     enc = merge_prefix.MergePrefixEncoder(tokenizer_bytes(None, "piece_bpe_32k.model"))
