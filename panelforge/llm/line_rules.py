@@ -6,11 +6,12 @@ loses too large a share of its words is rejected, as is one that fails the base
 
 Documents count as different when their sets of lines differ: copies of one document count once,
 so a text that was copied a thousand times is not taken for boilerplate; near copies count each.
-A line is above the limit when at least ``LEAST_DOCS`` different documents of a host hold it, and
-at least ``LEAST_SHARE`` percent of the host's.
+A line is above the limit when at least ``LEAST_DOCS`` different documents of a host hold it,
+however large the host is.
 
-The registered query counts ``unit="sketch"`` as its SQL does: documents with the same smallest
-line hash are one there, so fewer lines are above the limit.
+The registered query counts as its SQL does, by ``unit="sketch"`` and ``LEAST_SHARE``: documents
+with the same smallest line hash are one there, and a line must also be in that percentage of the
+host's, so fewer lines are above the limit.
 
 Defined results: a null or empty text has no words or lines and fails the base rules; a null
 host is a host of its own; rows with equal ids are judged each by its own text; null ids stay;
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import blocks, map_batches, mix, span_hash, text_bytes, word_spans, written
 
 LEAST_DOCS = 10
-LEAST_SHARE = 15
+LEAST_SHARE = 15  # percent, of the query and its SQL only
 DEPLETED_SHARE = 80
 MIN_WORDS = 50
 REPEAT_SHARE = 50
@@ -118,17 +119,20 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     return written(map_batches(d, run, schema).withColumn("row", F.monotonically_increasing_id()), "line-rules")
 
 
-def common_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, least_share: int = LEAST_SHARE, unit: str = "line_set") -> DataFrame:
-    """(host, key) of the lines above the limit; rows with equal ``unit`` are one document.  Every
+def common_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, least_share: int = 0, unit: str = "line_set") -> DataFrame:
+    """(host, key) of the lines above the limit; rows with equal ``unit`` are one document, and a
+    ``least_share`` above 0 asks for that percentage of the host's documents as well.  Every
     step counts on the map side first, so a line or host that a third of the documents have is no
     hot key."""
-    size = rows.where(F.col(unit).isNotNull()).groupBy("host", unit).agg(F.lit(1).alias("x")).groupBy("host").agg(F.count("*").alias("host_docs"))
     each = rows.select("host", unit, F.explode("lines").alias("l")).groupBy("host", F.col("l.key").alias("key"), unit).agg(F.lit(1).alias("x"))
     often = each.groupBy("host", "key").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs)
+    if not least_share:
+        return often.select("host", "key")
+    size = rows.where(F.col(unit).isNotNull()).groupBy("host", unit).agg(F.lit(1).alias("x")).groupBy("host").agg(F.count("*").alias("host_docs"))
     return often.join(size, "host").where(F.col("docs") * 100 >= F.col("host_docs") * least_share).select("host", "key")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, least_share: int = LEAST_SHARE, depleted_share: int = DEPLETED_SHARE, unit: str = "line_set") -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, least_share: int = 0, depleted_share: int = DEPLETED_SHARE, unit: str = "line_set") -> DataFrame:
     """Counts and verdict of every document; ``row`` tells rows with equal ids apart."""
     rows = measure(docs, id_col, text_col, host_col)
     lines = rows.select("row", "host", F.explode("lines").alias("l")).select("row", "host", F.col("l.key").alias("key"), (F.col("l.words") * F.col("l.times")).alias("words"))
@@ -150,7 +154,7 @@ def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), unit="sketch").select("doc_id", *COUNTS, "n_removed_words", "base_failed", "kept")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_share=LEAST_SHARE, unit="sketch").select("doc_id", *COUNTS, "n_removed_words", "base_failed", "kept")
 
 
 ORACLE_OP8 = rf"""

@@ -375,6 +375,19 @@ def test_lines_are_counted_by_document(spark):
     assert [r.n_removed_words for r in got] == [8] * 40
 
 
+def test_repeated_lines_go_in_hosts_of_every_size(spark):
+    rng = random.Random(6)
+    uniq = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows, want = [], {}
+    for host in (15, 150, 1500):
+        line = uniq(9)
+        for k in range(host):
+            want[len(rows)] = 9 if k < 12 else 0
+            rows.append((len(rows), "\n".join([*([line] if k < 12 else []), *(uniq(12) for _ in range(5))]), f"h{host}"))
+    got = line_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.n_removed_words for r in got} == want
+
+
 # ---- 9 ---------------------------------------------------------------------------------------
 def test_encoding_equals_the_library(docs, rows):
     enc = merge_prefix.MergePrefixEncoder(tokenizer_bytes(None, "piece_bpe_32k.model"))
