@@ -1,8 +1,9 @@
 """The corpus pipeline: quality rules, quality classifier, near-duplicate removal, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; between stages the rows are written
-as Parquet and read again.  All but the last keep the columns of ``documents``, and the texts as
-they are: what the rules and the classifier decide is which documents go on.
+as Parquet and read again.  All but the last keep the columns of ``documents``.  The quality rules
+take the lines above the limit out of the texts; the classifier and the removal of near
+duplicates leave the texts as they are and decide which documents go on.
 """
 
 from __future__ import annotations

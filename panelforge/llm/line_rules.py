@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, map_batches, mix, span_hash, text_bytes, word_spans, written
@@ -132,25 +132,39 @@ def common_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, least_share: int
     return often.join(size, "host").where(F.col("docs") * 100 >= F.col("host_docs") * least_share).select("host", "key")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, least_share: int = 0, depleted_share: int = DEPLETED_SHARE, unit: str = "line_set") -> DataFrame:
-    """Counts and verdict of every document; ``row`` tells rows with equal ids apart."""
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, least_share: int = 0, depleted_share: int = DEPLETED_SHARE, unit: str = "line_set", with_keys: bool = False) -> DataFrame:
+    """Counts and verdict of every document; ``row`` tells rows with equal ids apart.  ``with_keys``
+    adds the keys of its lines above the limit, in hexadecimal."""
     rows = measure(docs, id_col, text_col, host_col)
     lines = rows.select("row", "host", F.explode("lines").alias("l")).select("row", "host", F.col("l.key").alias("key"), (F.col("l.words") * F.col("l.times")).alias("words"))
-    lost = lines.join(common_lines(rows, least_docs, least_share, unit), ["host", "key"], "left_semi").groupBy("row").agg(F.sum("words").alias("n_removed_words"))
+    lost = lines.join(common_lines(rows, least_docs, least_share, unit), ["host", "key"], "left_semi").groupBy("row").agg(F.sum("words").alias("n_removed_words"), *([F.collect_list(F.lpad(F.hex("key"), 16, "0")).alias("removed_keys")] if with_keys else []))
     out = rows.drop("lines", "sketch", "line_set", "host").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
     depleted = 100 * F.col("n_removed_words") >= depleted_share * F.col("n_words")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
-def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that stay, with all their columns.  Verdicts depend on text and host alone,
-    and are joined by id and text hash."""
+def without_lines(text: Column, keys: Column) -> Column:
+    """The text without the lines that have one of the keys; all other lines stay as they are."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    norm = lambda x: F.trim(F.regexp_replace(F.translate(x, upper, upper.lower()), r"[\x20\x09-\x0D]+", " "))
+    stays = lambda x: ~F.array_contains(keys, F.upper(F.substring(F.md5(norm(x).cast("binary")), 1, 16)))
+    return F.array_join(F.filter(F.split(text, "\n", -1), stays), "\n")
+
+
+def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The documents that stay, with all their columns, without their lines above the limit;
+    ``chars_col``, where there is one, is that of the text that is left.  Verdicts depend on text
+    and host alone, and are joined by id and text hash."""
     tag = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(host_col).cast("string"), F.lit("\0")))
     tagged = docs.withColumn("_tag", tag)
-    v = judge(tagged.select(F.col("_tag").alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host")), "doc_id", "text", "host")
-    bad = v.where("not kept").groupBy(F.col("doc_id").alias("_tag")).agg(F.lit(1).alias("x")).select("_tag")
-    return tagged.join(bad, "_tag", "left_anti").select(*docs.columns)
+    v = judge(tagged.select(F.col("_tag").alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host")), "doc_id", "text", "host", with_keys=True)
+    fate = v.where("not kept or n_removed_words > 0").groupBy(F.col("doc_id").alias("_tag")).agg(F.first("kept").alias("_kept"), F.first("removed_keys").alias("_keys"))
+    out = tagged.join(fate, "_tag", "left").where("_kept is null or _kept")
+    out = out.withColumn(text_col, F.when(F.col("_keys").isNull(), F.col(text_col)).otherwise(without_lines(F.col(text_col), F.col("_keys"))))
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.when(F.col("_keys").isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
+    return out.select(*docs.columns)
 
 
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -388,6 +388,21 @@ def test_repeated_lines_go_in_hosts_of_every_size(spark):
     assert {r.doc_id: r.n_removed_words for r in got} == want
 
 
+def test_lines_above_the_limit_leave_the_text(spark):
+    rng = random.Random(8)
+    uniq = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows, want = [], {}
+    for k in range(24):
+        a, b, c = uniq(30), uniq(30), uniq(30)
+        copies = 1 if k % 2 else 2
+        text = "\n".join([f"{a}  é", *["\t All  Rights RÉserved \r"] * copies, "", b, "all rights rÉserved", c]) if k < 20 else f"{a}\n{b}\n\n{c}\n"
+        want[k] = f"{a}  é\n\n{b}\n{c}" if k < 20 else text
+        rows.append((k, text, "a" if k < 23 else None, len(text), k))
+    got = {r.doc_id: r for r in line_rules.filter_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, removed_keys long")).collect()}
+    assert {k: r.text for k, r in got.items()} == want
+    assert all(r.n_chars == len(r.text) and r.removed_keys == k for k, r in got.items())
+
+
 # ---- 9 ---------------------------------------------------------------------------------------
 def test_encoding_equals_the_library(docs, rows):
     enc = merge_prefix.MergePrefixEncoder(tokenizer_bytes(None, "piece_bpe_32k.model"))
