@@ -47,3 +47,10 @@ def test_query(spark, sf_dir, duck, name):
     assert len(rows) == len(want)
     bad = [(x, y) for x, y in zip(sorted(rows, key=key), sorted(want, key=key), strict=True) if not all(map(close, x, y))]
     assert not bad, bad[:3]
+
+
+@pytest.mark.parametrize(("name", "table", "key"), [("asof_backward_all", "events", "event_id"), ("asof_nearest_all", "orders", "o_orderkey")])
+def test_asof_takes_all_rows(spark, sf_dir, name, table, key):
+    got = registry.queries()[name](spark, sf_dir)
+    every = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    assert sorted(r[0] for r in got.select(key).collect()) == sorted(r[0] for r in every.select(key).collect())
