@@ -2,16 +2,13 @@
 
 Each line is normalised (A-Z lowered, white space to single spaces) and hashed.  Per host, the
 documents that hold a line are counted; lines above the limit are removed, and a document that
-loses too large a share of its words is rejected, as is one that fails the base rules.
+this depletes is rejected, as is one that fails the base rules.
 
 Documents count as different when their sets of lines differ: copies of one document count once,
 so a text that was copied a thousand times is not taken for boilerplate; near copies count each.
 A line is above the limit when at least ``LEAST_DOCS`` different documents of a host hold it,
-however large the host is.
-
-The registered query counts as its SQL does, by ``unit="sketch"`` and ``LEAST_SHARE``: documents
-with the same smallest line hash are one there, and a line must also be in that percentage of the
-host's, so fewer lines are above the limit.
+however large the host is.  A document is depleted when it loses ``DEPLETED_SHARE`` percent of its
+words, or when fewer than ``MIN_WORDS`` are left of it.
 
 Defined results: a null or empty text has no words or lines and fails the base rules; a null
 host is a host of its own; rows with equal ids are judged each by its own text; null ids stay;
@@ -28,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, map_batches, mix, span_hash, text_bytes, word_spans, written
+from .common import blocks, fresh, map_batches, mix, span_hash, text_bytes, word_spans, written
 
 LEAST_DOCS = 10
-LEAST_SHARE = 15  # percent, of the query and its SQL only
-DEPLETED_SHARE = 80
+DEPLETED_SHARE = 20
 MIN_WORDS = 50
 REPEAT_SHARE = 50
 #: Fixed value: the symbols that count.
@@ -72,9 +68,9 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return n_words, chars, symbols, repeat
 
 
-def line_keys(text: bytes) -> tuple[int, list[tuple[int, int, int]], int | None, int | None]:
-    """(repeated lines, (key, words, times) of each distinct normalised line, sketch, key of the
-    whole set of lines)."""
+def line_keys(text: bytes) -> tuple[int, list[tuple[int, int, int]], int | None]:
+    """(repeated lines, (key, words, times) of each distinct normalised line, key of the whole set
+    of lines)."""
     lines: dict[bytes, int] = {}
     for raw in text.split(b"\n"):
         if raw and not raw.isspace():
@@ -89,58 +85,51 @@ def line_keys(text: bytes) -> tuple[int, list[tuple[int, int, int]], int | None,
         else:
             keys[k] = [len(words), n]
     out = [(int.from_bytes(k, "big", signed=True), w, n) for k, (w, n) in keys.items()]
-    if not keys:
-        return dup, out, None, None
-    whole = hashlib.md5(b"".join(sorted(keys))).digest()[:8]
-    return dup, out, int.from_bytes(min(keys), "big", signed=True), int.from_bytes(whole, "big", signed=True)
+    return dup, out, int.from_bytes(hashlib.md5(b"".join(sorted(keys))).digest()[:8], "big", signed=True) if keys else None
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", id_type: str = "long") -> DataFrame:
     """Base counts and lines of every document, written to the shared folder once."""
-    schema = "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS) + ", sketch long, line_set long, lines array<struct<key:long,words:int,times:int>>"
+    schema = f"doc_id {id_type}, host string, " + ", ".join(f"{c} long" for c in COUNTS) + ", line_set long, lines array<struct<key:long,words:int,times:int>>"
     kind = pa.list_(pa.struct([("key", pa.int64()), ("words", pa.int32()), ("times", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", 1 << 20):
             data, off = text_bytes(b.column("text"))
             n_words, chars, symbols, repeat = base_counts(data, off)
-            dup, lines, sketch, line_set = [], [], [], []
+            dup, lines, line_set = [], [], []
             raw = data.tobytes()
             for x, y in zip(off.tolist(), off[1:].tolist(), strict=False):
-                d, rows, s, whole = line_keys(raw[x:y])
+                d, rows, whole = line_keys(raw[x:y])
                 dup.append(d)
                 lines.append([{"key": k, "words": w, "times": n} for k, w, n in rows])
-                sketch.append(s)
                 line_set.append(whole)
-            cols = [b.column("doc_id"), b.column("host")] + [pa.array(c, pa.int64()) for c in (n_words, chars, symbols, dup, repeat, sketch, line_set)] + [pa.array(lines, kind)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "host", *COUNTS, "sketch", "line_set", "lines"])
+            cols = [b.column("doc_id"), b.column("host")] + [pa.array(c, pa.int64()) for c in (n_words, chars, symbols, dup, repeat, line_set)] + [pa.array(lines, kind)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "host", *COUNTS, "line_set", "lines"])
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"), F.col(text_col).cast("string").alias("text"))
+    d = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"), F.col(text_col).cast("string").alias("text"))
     return written(map_batches(d, run, schema).withColumn("row", F.monotonically_increasing_id()), "line-rules")
 
 
-def common_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, least_share: int = 0, unit: str = "line_set") -> DataFrame:
-    """(host, key) of the lines above the limit; rows with equal ``unit`` are one document, and a
-    ``least_share`` above 0 asks for that percentage of the host's documents as well.  Every
-    step counts on the map side first, so a line or host that a third of the documents have is no
+def common_lines(rows: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(host, key) of the lines above the limit; documents with equal sets of lines are one.  Both
+    steps count on the map side first, so a line or host that a third of the documents have is no
     hot key."""
-    each = rows.select("host", unit, F.explode("lines").alias("l")).groupBy("host", F.col("l.key").alias("key"), unit).agg(F.lit(1).alias("x"))
-    often = each.groupBy("host", "key").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs)
-    if not least_share:
-        return often.select("host", "key")
-    size = rows.where(F.col(unit).isNotNull()).groupBy("host", unit).agg(F.lit(1).alias("x")).groupBy("host").agg(F.count("*").alias("host_docs"))
-    return often.join(size, "host").where(F.col("docs") * 100 >= F.col("host_docs") * least_share).select("host", "key")
+    each = rows.select("host", "line_set", F.explode("lines").alias("l")).groupBy("host", F.col("l.key").alias("key"), "line_set").agg(F.lit(1).alias("x"))
+    return each.groupBy("host", "key").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("host", "key")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, least_share: int = 0, depleted_share: int = DEPLETED_SHARE, unit: str = "line_set", with_keys: bool = False) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, depleted_share: int = DEPLETED_SHARE, with_keys: bool = False, id_type: str = "long") -> DataFrame:
     """Counts and verdict of every document; ``row`` tells rows with equal ids apart.  ``with_keys``
     adds the keys of its lines above the limit, in hexadecimal."""
-    rows = measure(docs, id_col, text_col, host_col)
+    rows = measure(docs, id_col, text_col, host_col, id_type)
     lines = rows.select("row", "host", F.explode("lines").alias("l")).select("row", "host", F.col("l.key").alias("key"), (F.col("l.words") * F.col("l.times")).alias("words"))
-    lost = lines.join(common_lines(rows, least_docs, least_share, unit), ["host", "key"], "left_semi").groupBy("row").agg(F.sum("words").alias("n_removed_words"), *([F.collect_list(F.lpad(F.hex("key"), 16, "0")).alias("removed_keys")] if with_keys else []))
-    out = rows.drop("lines", "sketch", "line_set", "host").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
+    keys = [F.collect_list(F.lpad(F.hex("key"), 16, "0")).alias("removed_keys")] if with_keys else []  # of one document
+    lost = lines.join(common_lines(rows, least_docs), ["host", "key"], "left_semi").groupBy("row").agg(F.sum("words").alias("n_removed_words"), *keys)
+    out = rows.drop("lines", "line_set", "host").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
-    depleted = 100 * F.col("n_removed_words") >= depleted_share * F.col("n_words")
+    left = F.col("n_words") - F.col("n_removed_words")
+    depleted = (F.col("n_removed_words") > 0) & ((left < MIN_WORDS) | (100 * F.col("n_removed_words") >= depleted_share * F.col("n_words")))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
@@ -155,20 +144,21 @@ def without_lines(text: Column, keys: Column) -> Column:
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """The documents that stay, with all their columns, without their lines above the limit;
     ``chars_col``, where there is one, is that of the text that is left.  Verdicts depend on text
-    and host alone, and are joined by id and text hash."""
-    tag = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(host_col).cast("string"), F.lit("\0")))
-    tagged = docs.withColumn("_tag", tag)
-    v = judge(tagged.select(F.col("_tag").alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host")), "doc_id", "text", "host", with_keys=True)
-    fate = v.where("not kept or n_removed_words > 0").groupBy(F.col("doc_id").alias("_tag")).agg(F.first("kept").alias("_kept"), F.first("removed_keys").alias("_keys"))
-    out = tagged.join(fate, "_tag", "left").where("_kept is null or _kept")
-    out = out.withColumn(text_col, F.when(F.col("_keys").isNull(), F.col(text_col)).otherwise(without_lines(F.col(text_col), F.col("_keys"))))
+    and host alone, and are joined by a 128-bit hash of both."""
+    tag, kept, keys = (fresh(docs, c) for c in ("_tag", "_kept", "_keys"))
+    host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))
+    tagged = docs.withColumn(tag, F.md5(F.concat(host, F.lit("\0"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    v = judge(tagged.select(F.col(tag).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host")), "doc_id", "text", "host", with_keys=True, id_type="string")
+    fate = v.where("not kept or n_removed_words > 0").groupBy(F.col("doc_id").alias(tag)).agg(F.first("kept").alias(kept), F.first("removed_keys").alias(keys))
+    out = tagged.join(fate, tag, "left").where(F.col(kept).isNull() | F.col(kept))
+    out = out.withColumn(text_col, F.when(F.col(keys).isNull(), F.col(text_col)).otherwise(without_lines(F.col(text_col), F.col(keys))))
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("_keys").isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
+        out = out.withColumn(chars_col, F.when(F.col(keys).isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
     return out.select(*docs.columns)
 
 
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_share=LEAST_SHARE, unit="sketch").select("doc_id", *COUNTS, "n_removed_words", "base_failed", "kept")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", *COUNTS, "n_removed_words", "base_failed", "kept")
 
 
 ORACLE_OP8 = rf"""
@@ -177,10 +167,8 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS
 l AS (SELECT r, host, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
       FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 k AS (SELECT r, host, norm, substr(md5(norm), 1, 16) AS key, len(string_split(norm, ' ')) AS words FROM l),
-s AS (SELECT r, host, min(key) AS sketch FROM k GROUP BY ALL),
-hosts AS (SELECT host, count(DISTINCT sketch) AS host_docs FROM s GROUP BY host),
-often AS (SELECT k.host, key FROM k JOIN s USING (r) JOIN hosts ON hosts.host = k.host GROUP BY k.host, key, host_docs
-          HAVING count(DISTINCT sketch) >= {LEAST_DOCS} AND count(DISTINCT sketch) * 100 >= host_docs * {LEAST_SHARE}),
+s AS (SELECT r, string_agg(DISTINCT key, '' ORDER BY key) AS line_set FROM k GROUP BY r),
+often AS (SELECT host, key FROM k JOIN s USING (r) GROUP BY host, key HAVING count(DISTINCT line_set) >= {LEAST_DOCS}),
 lost AS (SELECT r, sum(words) AS n FROM k JOIN often USING (host, key) GROUP BY r),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l GROUP BY r),
 g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
@@ -190,7 +178,8 @@ o AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x
         coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_removed_words
       FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN lost USING (r))
 SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words AS base_failed,
-       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words) AND 100 * n_removed_words < {DEPLETED_SHARE} * n_words AS kept
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words)
+       AND (n_removed_words = 0 OR (100 * n_removed_words < {DEPLETED_SHARE} * n_words AND n_words - n_removed_words >= {MIN_WORDS})) AS kept
 FROM o"""
 
 QUERIES = {"op8_line_rules": op8_line_rules}
