@@ -1,9 +1,9 @@
 """Exact, cached encoding with the tokenizers library.
 
-A text is cut where a pre-token must begin whatever stands around it; the library encodes each
-piece that a worker does not know, and the ids of known pieces are joined.  Where no certain
-place to cut is known, a longer piece is encoded whole.  A worker process keeps what it knows,
-in a bounded table, from task to task.
+A text is cut where a pre-token must begin whatever stands around it.  The library encodes the
+pieces that a worker does not know, many in one call; the ids of known pieces are joined.  A
+worker process keeps what it knows, in a bounded table, from task to task.  Results never depend
+on what is known.
 """
 
 from __future__ import annotations
@@ -11,39 +11,72 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Hashable, Iterable
 from functools import lru_cache
-from operator import add
 
-LIMIT = 400_000
+LIMIT = 600_000
 
 
 class Known(dict):
-    """piece -> value, in two generations: what was not used lately is forgotten.
+    """piece -> ids (bytes), in two generations: what was not used lately is forgotten.
 
-    ``make`` gives the value of a new piece; ``tail`` may split a new piece into a shorter one
-    and the value of what follows it, and ``join`` puts two values together.
+    ``encode`` gives the ids of new pieces, many at once; ``tail`` may split a new piece into a
+    shorter one and the ids of what follows it.
     """
 
-    def __init__(self, make: Callable, tail: Callable = lambda p: None, join: Callable = add, limit: int = LIMIT):
+    def __init__(self, encode: Callable[[list], list[bytes]], tail: Callable = lambda p: None, limit: int = LIMIT):
         super().__init__()
-        self.limit = limit
-        self.old: dict = {}
-        self.make, self.tail, self.join = make, tail, join
-
-    def __missing__(self, piece):
-        v = self.old.get(piece)
-        if v is None:
-            t = self.tail(piece)
-            v = self.make(piece) if t is None else self.join(self[t[0]], t[1])
-        self[piece] = v
-        return v
-
-    def each(self, pieces: list) -> Iterable:
+        self.encode, self.tail, self.limit = encode, tail, limit
+        self.old: dict[Hashable, bytes] = {}
+
+    def learn(self, pieces: Iterable) -> None:
+        """Make all of these known."""
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        return map(self.__getitem__, pieces)
+        split: dict = {}
+        new: set = set()
+        for p in pieces:
+            v = self.old.get(p)
+            if v is not None:
+                self[p] = v
+                continue
+            t = self.tail(p)
+            if t is None:
+                new.add(p)
+                continue
+            split[p] = t
+            if t[0] not in self:
+                v = self.old.get(t[0])
+                if v is None:
+                    new.add(t[0])
+                else:
+                    self[t[0]] = v
+        todo = list(new)
+        self.update(zip(todo, self.encode(todo), strict=True))
+        for p, (core, v) in split.items():
+            self[p] = self[core] + v
+
+    def join(self, texts: list[list]) -> list[bytes]:
+        """The joined ids of each list of pieces."""
+        out: list = [None] * len(texts)
+        get = self.__getitem__
+        missing: set = set()
+        rest = []
+        for k, pieces in enumerate(texts):
+            try:
+                out[k] = b"".join(map(get, pieces))
+            except KeyError:
+                missing.update([p for p in pieces if p not in self])
+                rest.append(k)
+        if rest:
+            kept = dict(self) if len(self) > self.limit else None
+            self.learn(missing)
+            if kept is not None:  # this block may need what has just been put aside
+                get = lambda p: self[p] if p in self else kept[p]
+            for k in rest:
+                out[k] = b"".join(map(get, texts[k]))
+        return out
 
 
 def plain_tokenizer(content: bytes):
@@ -55,88 +88,125 @@ def plain_tokenizer(content: bytes):
     return t
 
 
+#: Letters of ASCII and Latin-1, and those with both cases in one range.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: Fixed value: the letter that stands for each byte in a byte-level file: printable bytes are
+#: themselves, the others follow from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_STANDS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
+
+
+def in_letters(text: str) -> str:
+    return text if text.isascii() else text.encode().decode("latin-1").translate(_STANDS)
+
+
+def _many(t, kind: str, plain: list[tuple[int, bytes, str]], other: list[tuple[int, str]]) -> list[bytes]:
+    """Ids of pieces, by place.  A plain piece is one pre-token of Latin letters, which the
+    library's model takes at once, after some ids known before; others go through all of the
+    library's steps."""
+    out: list = [b""] * (len(plain) + len(other))
+    model = t.model.tokenize
+    for k, before, piece in plain:
+        out[k] = before + array(kind, [x.id for x in model(piece)]).tobytes()
+    for (k, _), e in zip(other, t.encode_batch_fast([x for _, x in other], add_special_tokens=False), strict=True):
+        out[k] = array(kind, e.ids).tobytes()
+    return out
+
+
 class WordIds:
     """For a tokenizer that drops white space and never joins over it: pieces are the runs
     between ASCII white space, with A-Z lowered.  Ids are little-endian unsigned 32-bit
-    integers (2 or 4 bytes in host order below; the engine's hosts are little-endian)."""
+    integers (the engine's hosts are little-endian)."""
 
-    def __init__(self, content: bytes, limit: int = LIMIT):
-        import json
-
-        import tiktoken
+    MARKS = (".", ",", "!", "?", ";", ":")
+    PLAIN = re.compile(f"[{LETTERS}]+").fullmatch
+    TAIL = re.compile(f"(?s).*[{LETTERS}][.,!?;:]").fullmatch
 
+    def __init__(self, content: bytes, limit: int = LIMIT):
         self.t = plain_tokenizer(content)
-        vocab = json.loads(content)["model"]["vocab"]
-        end = {p: i for p, i in vocab.items() if re.fullmatch("[a-z]+(</w>)?", p)}
-        ranks = {p.removesuffix("</w>").encode() + b"\xff" * p.endswith("</w>"): i for p, i in end.items()}
-        self.plain = re.compile(b"[a-z]+").fullmatch
-        ranks |= {bytes([b]): len(vocab) + b for b in range(256) if bytes([b]) not in ranks}
-        self.merge = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.after = {c: self.make(bytes([c])) for c in b".,!?;:"}
-        self.known = Known(self.make, self.tail, limit=limit)
+        self.after = {m.encode(): v for m, v in zip(self.MARKS, self.encode([m.encode() for m in self.MARKS]), strict=True)}
+        self.known = Known(self.encode, self.tail, limit)
 
     def tail(self, w: bytes) -> tuple[bytes, bytes] | None:
         """One such mark after a letter is a pre-token of its own."""
-        v = self.after.get(w[-1])
-        return (w[:-1], v) if v is not None and w[-2:-1].isalpha() else None
-
-    def make(self, word: bytes) -> bytes:
-        if self.plain(word):
-            return array("I", self.merge(word + b"\xff")).tobytes()
-        return array("I", self.t.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        v = self.after.get(w[-1:])
+        return (w[:-1], v) if v is not None and self.TAIL(w.decode()) else None
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        plain, other = [], []
+        for k, w in enumerate(words):
+            x = w.decode()
+            if self.PLAIN(x):
+                plain.append((k, b"", in_letters(x.lower())))
+            else:
+                other.append((k, x))
+        return _many(self.t, "I", plain, other)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        return [b"".join(self.known.each(t.lower().split())) for t in texts]
+        return self.known.join([t.lower().split() for t in texts])
 
 
 class ByteIds:
-    """Ids of a byte-level tokenizer whose file says no more than merges and a pre-token pattern.
+    """For a byte-level tokenizer whose pre-tokens hold white space only at their beginning (at
+    most one space) or are white space alone: a pre-token must begin wherever white space follows
+    another character.  Pieces are a run of ASCII white space and what follows it.  Where a text
+    has white space outside ASCII, the library encodes it whole.
 
-    tiktoken's encoder gives the same ids from the same vocabulary in a quarter of the time, so
-    texts go to it, as ranks and pattern of the tokenizers file.  The tokenizers library stays
-    the measure: the first texts that a worker sees, and every ``EVERY``-th after them, are
-    encoded by both, and a difference is an error; it alone gets texts with very long words.
+    Keys: what follows one space; a line feed and what follows it; or any other piece, in a tuple.
     """
 
-    #: Fixed value: the pre-token pattern of this kind of tokenizer.
-    PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-    LONG = re.compile(r"\S{1000}")
-    EVERY = 1000
-
-    def __init__(self, content: bytes, dtype: str):
-        import json
-
-        import tiktoken
-
-        self.t, self.kind = plain_tokenizer(content), {"<u2": "H", "<u4": "I"}[dtype]
-        vocab = json.loads(content)["model"]["vocab"]
-        letters = self._letters()
-        ranks = {bytes(letters[c] for c in p): i for p, i in vocab.items() if all(c in letters for c in p)}
-        self.fast = tiktoken.Encoding("bytes", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.seen = 0
-
-    @staticmethod
-    def _letters() -> dict[str, int]:
-        """The letter that stands for each byte in such a file: printable bytes are themselves,
-        the others follow from U+0100 on."""
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in plain]
-        return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-    def one(self, text: str) -> bytes:
-        if self.LONG.search(text):
-            return self.exact(text)
-        out = array(self.kind, self.fast.encode_ordinary(text)).tobytes()
-        self.seen += 1
-        if (self.seen < 20 or self.seen % self.EVERY == 0) and out != self.exact(text):
-            raise ValueError("the two encoders differ")
+    PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+    #: Fixed value: white space outside ASCII.
+    OTHER = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    SPACE = _STANDS[32]
+    RUNS = ("  ", "\n ", " \n", "\n\n\n", "\t", "\r", "\x0b", "\x0c")
+    MARKS = (".", ",", "!", "?", ";", ":")
+    PLAIN = re.compile(f"\n?[{LETTERS}]+").fullmatch
+    LETTER = re.compile(f"[{LETTERS}]").match
+
+    def __init__(self, content: bytes, limit: int = LIMIT):
+        self.t = plain_tokenizer(content)
+        self.kind = "H" if self.t.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.kind).itemsize
+        self.line = self.whole(["\n"])[0]
+        self.after = dict(zip(self.MARKS, self.whole(list(self.MARKS)), strict=True))
+        self.known = Known(self.encode, self.tail, limit)
+
+    def keys(self, text: str) -> list:
+        if not any(map(text.__contains__, self.RUNS)) and not text.endswith("\n\n"):
+            out: list = text.replace("\n", " \n").split(" ")
+            out[0] = (out[0],)
+            return out
+        out = []
+        for p in self.PIECE.findall(text):
+            lone = len(p) > 1 and p[1] not in " \t\n\r\x0b\x0c"
+            out.append(p[1:] if lone and p[0] == " " else p if lone and p[0] == "\n" else (p,))
         return out
 
-    def exact(self, text: str) -> bytes:
-        return array(self.kind, self.t.encode(text, add_special_tokens=False).ids).tobytes()
+    def tail(self, key) -> tuple[str, bytes] | None:
+        """One such mark after a letter, with white space or the end behind it, is a pre-token."""
+        v = self.after.get(key[-1]) if key and type(key) is str else None
+        return (key[:-1], v) if v is not None and self.LETTER(key[-2:-1]) else None
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return _many(self.t, self.kind, [], list(enumerate(texts)))
+
+    def encode(self, keys: list) -> list[bytes]:
+        plain, other = [], []
+        for k, key in enumerate(keys):
+            if type(key) is tuple:
+                other.append((k, key[0]))
+            elif self.PLAIN(key):
+                plain.append((k, self.line, in_letters(key[1:])) if key[0] == "\n" else (k, b"", self.SPACE + in_letters(key)))
+            else:
+                other.append((k, key if key[:1] == "\n" else " " + key))
+        return _many(self.t, self.kind, plain, other)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [self.one(t) for t in texts]
+        odd = [k for k, t in enumerate(texts) if not t.isascii() and self.OTHER.search(t)]
+        whole = dict(zip(odd, self.whole([texts[k] for k in odd]), strict=True))
+        out = self.known.join([[] if k in whole else self.keys(t) for k, t in enumerate(texts)])
+        return [whole.get(k, x) for k, x in enumerate(out)] if whole else out
 
 
 @lru_cache(2)
@@ -146,5 +216,5 @@ def word_ids(content: bytes, limit: int = LIMIT) -> WordIds:
 
 
 @lru_cache(2)
-def byte_ids(content: bytes, dtype: str) -> ByteIds:
-    return ByteIds(content, dtype)
+def byte_ids(content: bytes, limit: int = LIMIT) -> ByteIds:
+    return ByteIds(content, limit)

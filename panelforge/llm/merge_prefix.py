@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -23,13 +23,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunk_cache import Known
 from .common import blocks, map_batches, tokenizer_bytes
 
 SPACE = "▁"
 PAIRS = 1_500_000
 
 
+class Units(dict):
+    """unit -> (ids, ids as text), in two generations: what was not used lately is forgotten.
+    ``tail`` may split a new unit into a shorter one and the value of what follows it."""
+
+    def __init__(self, make: Callable, tail: Callable, limit: int = 400_000):
+        super().__init__()
+        self.make, self.tail, self.limit = make, tail, limit
+        self.old: dict = {}
+
+    def __missing__(self, unit: str) -> tuple:
+        v = self.old.get(unit)
+        if v is None:
+            t = self.tail(unit)
+            if t is None:
+                v = self.make(unit)
+            else:
+                core = self[t[0]]
+                v = (core[0] + t[1][0], f"{core[1]} {t[1][1]}")
+        self[unit] = v
+        return v
+
+    def each(self, units: list[str]) -> list[tuple]:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        return [self[u] for u in units]
+
+
 class MergePrefixEncoder:
     """Encodes text like the library does with the model whose file's content is given."""
 
@@ -56,7 +83,7 @@ class MergePrefixEncoder:
         self.inside = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         self.pairs = 0
         self.last: dict[str, tuple] = {}
-        self.known = Known(self.unit_ids, self.tail, lambda a, b: (a[0] + b[0], f"{a[1]} {b[1]}"))
+        self.known = Units(self.unit_ids, self.tail)
         self.automaton = ahocorasick.Automaton()
         for p in self.id_of:
             if len(p) == 1 or self.merged(p) == [p]:  # pieces that no merges reach are never tokens
@@ -154,7 +181,7 @@ class MergePrefixEncoder:
     def encode_all(self, texts: list[str]) -> list[tuple[list[int], str]]:
         out = []
         for t in texts:
-            parts = list(self.known.each(self.split(t)))
+            parts = self.known.each(self.split(t))
             ids = list(chain.from_iterable([p[0] for p in parts]))
             ids.append(self.end)
             out.append((ids, " ".join([p[1] for p in parts] + [str(self.end)])))

@@ -3,19 +3,21 @@
 A rolling hash over the ids cuts each document's id stream into chunks; each distinct chunk is
 stored once, under its digest.  A recipe per document lists the digests of its chunks, and a
 Merkle root over them; recipes lie in ascending doc_id order with the running start of each
-document, and a manifest has a Merkle root for every run of recipes and one over all.
+document.  The manifest is a Merkle tree over the recipes' roots: a node for every run of at most
+``RUN`` recipes, one for every bucket over its runs, and one over all buckets.
 
 Layout of a store (a folder; Parquet throughout):
 
 * ``chunks``   digest binary(16: BLAKE2b of body), n long, body binary (unsigned ids,
   little-endian, 2 bytes each where all vocabulary ids fit, else 4);
-* ``recipes``  bucket int, doc_id long, start long, n_tokens long, root binary, digests binary
-  (16 bytes each), uid binary; files and rows ascend by doc_id;
-* ``manifest`` bucket int, first_start long, n_docs long, n_tokens long, root string; bucket -2
-  holds the root over all buckets.
+* ``recipes``  bucket int, run long, doc_id long, start long, n_tokens long, root binary, digests
+  binary (16 bytes each), uid binary; files and rows ascend by doc_id;
+* ``manifest`` level int (0 runs, 1 buckets, 2 all), bucket int, run long, first_start long,
+  n_docs long, n_tokens long, root binary.
 
-Reading checks every stored chunk against its digest and every recipe against its root.  The
-crc32 of a document is combined from those of its chunks, so that no chunk is moved again.
+Reading builds the tree anew from the recipes and compares it with the manifest, both ways; it
+checks every stored chunk against its digest and every recipe against its root.  The crc32 of a
+document is combined from those of its chunks, so that no chunk is moved again.
 
 Defined results: a null or empty text is its end id alone; equal rows get a recipe each and
 share all chunks; rows with equal ids follow each other in order of their roots; null ids come
@@ -35,13 +37,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunk_cache import byte_ids
-from .common import blocks, map_batches, mix, partitions, shared_dir, tokenizer_bytes
+from .common import blocks, delete, map_batches, mix, partitions, shared_dir, tokenizer_bytes
 from .ordered import bucket_of
 
 END_ID = 2
 MASK_BITS = 9
 LEAST, MOST = 64, 4096
 REACH = 16
+RUN = 1024
 #: Fixed value: the polynomial of crc32, bits reversed.
 CRC_POLY = 0xEDB88320
 
@@ -125,10 +128,11 @@ def combined_crc(crcs: list[np.ndarray], sizes: list[np.ndarray]) -> list[int]:
 def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> None:
     """Tokenise, chunk and store all texts."""
     content = tokenizer_bytes(tokenizer, "byte_bpe_50k.json")
-    dtype = "<u2"
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = byte_ids(content, dtype)
+        enc = byte_ids(content)
+        wide = enc.width
+        dtype = f"<u{wide}"
         end = np.array([END_ID], dtype).tobytes()
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
         seen: set[bytes] = set()
@@ -139,7 +143,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 raw = x + end
                 a, ds = 0, []
                 for e in chunk_ends(np.frombuffer(raw, dtype)):
-                    c = raw[2 * a : 2 * e]
+                    c = raw[wide * a : wide * e]
                     d = hashlib.blake2b(c, digest_size=16).digest()
                     ds.append(d)
                     if d not in seen:  # what this task has sent need not be sent again
@@ -183,28 +187,48 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     bases = spark.createDataFrame(base, "bucket int, base long")
     order = Window.partitionBy("bucket").orderBy(F.asc_nulls_first("doc_id"), "root", "uid")
     before = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
-    rec = rec.repartitionByRange(partitions(spark), "bucket").join(F.broadcast(bases), "bucket").withColumn("start", F.col("base") + before)
-    rec.select("bucket", "doc_id", "start", "n_tokens", "root", "digests", "uid").sortWithinPartitions("bucket", "start").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    run = F.floor((F.row_number().over(order) - 1) / RUN)
+    rec = rec.repartitionByRange(partitions(spark), "bucket").join(F.broadcast(bases), "bucket").withColumn("start", F.col("base") + before).withColumn("run", run.cast("long"))
+    rec.select("bucket", "run", "doc_id", "start", "n_tokens", "root", "digests", "uid").sortWithinPartitions("bucket", "start").write.option("compression", "zstd").parquet(f"{path}/recipes")
     _manifest(spark, path).write.parquet(f"{path}/manifest")
+    delete(spark, f"{path}/spool")
+
+
+MANIFEST = "level int, bucket int, run long, first_start long, n_docs long, n_tokens long, root binary"
+
+
+def _nodes(rows: DataFrame, level: int, *by: str) -> DataFrame:
+    """A Merkle node over the roots of each group, in order of their starts.  Groups are small: at
+    most ``RUN`` recipes of a run, a bucket's rows / ``RUN`` runs, or two buckets a partition."""
+    leaves = F.transform(F.array_sort(F.collect_list(F.struct("first_start", "root"))), lambda x: x["root"])
+    groups = rows.groupBy(*by).agg(F.min("first_start").alias("first_start"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), leaves.alias("leaves")).where("n_docs is not null")
+    groups = groups.select(F.lit(level).alias("level"), *(F.col(c) if c in by else F.lit(-2).cast(t).alias(c) for c, t in (("bucket", "int"), ("run", "long"))), "first_start", "n_docs", "n_tokens", "leaves")
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            root = pa.array([merkle(x) for x in b.column("leaves").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], root], [*b.schema.names[:-1], "root"])
+
+    return map_batches(groups, roots, MANIFEST)
 
 
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Roots of the buckets (each a bounded run of recipes), then one over all of them."""
-    roots = F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: F.hex(x["root"]))
-    m = recipes(spark, path).groupBy("bucket").agg(F.min("start").alias("first_start"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.concat_ws("", roots), 256).alias("root"))
-    top = F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("bucket", "root"))), lambda x: x["root"])), 256)
-    every = m.agg(F.min("first_start").alias("first_start"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), top.alias("root")).where("n_docs is not null")
-    return m.unionByName(every.select(F.lit(-2).alias("bucket"), "first_start", "n_docs", "n_tokens", "root"))
+    leaves = recipes(spark, path).select("bucket", "run", F.col("start").alias("first_start"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root")
+    runs = _nodes(leaves, 0, "bucket", "run")
+    buckets = _nodes(runs, 1, "bucket")
+    return runs.unionByName(buckets).unionByName(_nodes(buckets, 2))
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("bucket int, doc_id long, start long, n_tokens long, root binary, digests binary, uid binary").parquet(f"{path}/recipes")
+    return spark.read.schema("bucket int, run long, doc_id long, start long, n_tokens long, root binary, digests binary, uid binary").parquet(f"{path}/recipes")
 
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest rows that the recipes on disk do not confirm: none in a sound store."""
-    kept = spark.read.schema("bucket int, first_start long, n_docs long, n_tokens long, root string").parquet(f"{path}/manifest")
-    return kept.exceptAll(_manifest(spark, path))
+    """Nodes that only the manifest or only the recipes on disk have: none in a sound store."""
+    kept = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").withColumn("side", F.lit(1))
+    both = kept.unionByName(_manifest(spark, path).withColumn("side", F.lit(-1)))
+    names = [c.split(" ")[0] for c in MANIFEST.split(", ")]
+    return both.groupBy(*names).agg(F.sum("side").alias("side")).where("side <> 0")
 
 
 def read_chunks(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -214,9 +238,9 @@ def read_chunks(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         for b in batches:
             crc, wide = [], []
             for d, n, body in zip(b.column("digest").to_pylist(), b.column("n").to_pylist(), b.column("body").to_pylist(), strict=True):
-                if hashlib.blake2b(body, digest_size=16).digest() != d or len(body) != 2 * n:
+                if hashlib.blake2b(body, digest_size=16).digest() != d or len(body) not in (2 * n, 4 * n):
                     raise ValueError(f"chunk {d.hex()} is damaged")
-                w = np.frombuffer(body, "<u2").astype("<u4").tobytes()
+                w = np.frombuffer(body, f"<u{len(body) // n}").astype("<u4").tobytes()
                 crc.append(zlib.crc32(w))
                 wide.append(w)
             cols = [b.column("digest"), b.column("n"), pa.array(crc, pa.int64())] + ([pa.array(wide, pa.binary())] if with_ids else [])
@@ -235,6 +259,8 @@ def _entries(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the store's files."""
+    if not verify_manifest(spark, path).isEmpty():
+        raise ValueError("recipes and manifest differ")
     parts = _entries(spark, path).join(read_chunks(spark, path), "digest", "left")
     docs = parts.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("k", "digest", "n", "crc"))).alias("parts"))
 
