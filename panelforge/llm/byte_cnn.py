@@ -5,9 +5,10 @@ six bytes wide pass over the bytes (and over one channel that says where the las
 repeat ones shortly before), and each filter's maximum is kept.  The chunks' maxima are averaged
 and one logistic unit gives the probability.
 
-The network is fitted on the driver on at most ``TRAIN_ROWS`` labelled rows of each class, with
-at most ``TRAIN_CHUNKS`` chunks of each, evenly spread over the text: a fixed bound.  Scoring
-reads every chunk of every text, in one pass without a shuffle.
+The network is fitted on the driver, on all chunks of at most ``TRAIN_ROWS`` labelled rows of each
+class; rows are taken in order of a hash of their id, and no further ones once those of a class
+hold ``TRAIN_BYTES``: a fixed bound on rows, never on a text.  Scoring reads every chunk of every
+text, in one pass without a shuffle.
 
 Defined results: a null or empty text is one blank chunk; rows with equal ids are scored each; a
 null id counts as the empty text for the training rule; unlabelled rows and null labels teach
@@ -22,10 +23,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_of_id, map_batches, text_bytes
+from .common import blocks, crc_of_id, fresh, map_batches, text_bytes
 
 CHUNK = 256
 STEP = 224
@@ -33,13 +34,14 @@ WIDTH = 6
 DIM = 6
 FILTERS = 24
 TRAIN_ROWS = 1500
-TRAIN_CHUNKS = 8
+TRAIN_BYTES = 32 << 20
 STEPS = 400
-BATCH = 64
+BATCH = 32
 RATE = 0.01
 THRESHOLD = 0.7
 REPEAT_REACH = 24
-PLACES = CHUNK // 2 - 2
+PLACES = CHUNK - WIDTH + 1
+ROWS = 512  # chunks that are convolved at once
 
 
 def chunk_starts(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,13 +61,12 @@ def gather(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def repeats(x: np.ndarray) -> np.ndarray:
-    """1 where the last four bytes equal the four that lie 2 to ``REPEAT_REACH`` bytes before;
-    one value for every second place."""
+    """Whether the last four bytes equal the four that lie 2 to ``REPEAT_REACH`` bytes before."""
     r = np.zeros(x.shape, bool)
     for d in range(2, REPEAT_REACH + 1):
         e = (x[:, d:] == x[:, :-d]) & (x[:, d:] != 0)
         r[:, d + 3 :] |= e[:, 3:] & e[:, 2:-1] & e[:, 1:-2] & e[:, :-3]
-    return r[:, 3 : 3 + 2 * PLACES : 2]
+    return r[:, 3 : 3 + PLACES]
 
 
 class Network:
@@ -89,7 +90,7 @@ class Network:
         e = p["emb"][x]
         h = np.zeros((len(x), PLACES, FILTERS), np.float32)
         for k in range(WIDTH):
-            h += e[:, k : k + 2 * PLACES : 2] @ p["w"][k]
+            h += e[:, k : k + PLACES] @ p["w"][k]
         return h + rep[:, :, None] * p["u"] + p["b"]
 
     def fit(self, x: np.ndarray, doc: np.ndarray, y: np.ndarray, seed: int = 6) -> Network:
@@ -97,7 +98,7 @@ class Network:
         rng = np.random.default_rng(seed)
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         edge = np.searchsorted(doc, np.arange(len(y) + 1))
-        rep = repeats(x).astype(np.float32)
+        rep = np.concatenate([repeats(x[a : a + ROWS]) for a in range(0, len(x), ROWS)])
         weight = (len(y) / (2 * np.bincount(y.astype(int), minlength=2)))[y.astype(int)].astype(np.float32)  # classes count alike
         epochs = -(-STEPS // -(-len(y) // BATCH))
         t = 0
@@ -119,9 +120,11 @@ class Network:
 
     def gradient(self, x: np.ndarray, rep: np.ndarray, of: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> dict[str, np.ndarray]:
         p = self.p
-        h = self.conv(x, rep)
-        at = h.argmax(axis=1)  # (chunks, FILTERS)
-        top = np.take_along_axis(h, at[:, None], axis=1)[:, 0]
+        at, top = np.empty((len(x), FILTERS), np.int64), np.empty((len(x), FILTERS), p["v"].dtype)
+        for a in range(0, len(x), ROWS):
+            h = self.conv(x[a : a + ROWS], rep[a : a + ROWS])
+            at[a : a + ROWS] = h.argmax(axis=1)
+            top[a : a + ROWS] = np.take_along_axis(h, at[a : a + ROWS, None], axis=1)[:, 0]
         share = (1 / np.bincount(of))[of].astype(np.float32)
         pooled = np.zeros((len(y), FILTERS), np.float32)
         np.add.at(pooled, of, np.maximum(top, 0) * share[:, None])
@@ -132,9 +135,10 @@ class Network:
         g["w"], g["emb"] = np.zeros_like(p["w"]), np.zeros_like(p["emb"])
         row = np.arange(len(x))[:, None]
         for k in range(WIDTH):
-            byte = x[row, 2 * at + k]
+            byte = x[row, at + k]
             g["w"][k] = np.einsum("nfd,nf->df", p["emb"][byte], dtop)
-            np.add.at(g["emb"], byte, dtop[:, :, None] * p["w"][k].T)
+            for d in range(DIM):
+                g["emb"][:, d] += np.bincount(byte.ravel(), (dtop * p["w"][k][d]).ravel(), 256)
         return g
 
     def tables(self) -> list[np.ndarray]:
@@ -163,15 +167,15 @@ def probabilities(data: np.ndarray, off: np.ndarray, net: Network, tables: list[
     begin, end = np.repeat(off[:-1], n) + inner, np.repeat(off[1:], n)
     pooled = np.empty((len(begin), FILTERS), np.float32)
     p = net.p
-    for a in range(0, len(begin), 256):
-        x = gather(data, begin[a : a + 256], end[a : a + 256])
-        pair = x.view("<u2")
-        h = tables[0][pair[:, :-2]]
-        h += tables[1][pair[:, 1:-1]]
-        h += tables[2][pair[:, 2:]]
+    for a in range(0, len(begin), 128):
+        x = gather(data, begin[a : a + 128], end[a : a + 128])
+        pair = x[:, :-1] + x[:, 1:].astype(np.uint16) * np.uint16(256)
+        h = tables[0][pair[:, :PLACES]]
+        h += tables[1][pair[:, 2 : 2 + PLACES]]
+        h += tables[2][pair[:, 4 : 4 + PLACES]]
         i, j = np.nonzero(repeats(x))
         h[i, j] += p["u"]
-        pooled[a : a + 256] = h.max(axis=1)
+        pooled[a : a + 128] = h.max(axis=1)
     pooled = np.maximum(pooled + p["b"], 0)
     mean = np.add.reduceat(pooled, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0) / n[:, None]
     return 1 / (1 + np.exp(-(mean @ p["v"] + p["c"]).astype(np.float64)))
@@ -181,30 +185,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> bytes |
     """Packed weights, or a constant score where there is nothing to learn from."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_of_id() % 4 != 2))
     few = [lab.where(F.col("quality") == q).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for q in (0, 1)]
-    ids = few[0].unionByName(few[1])
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text", 1 << 20):
-            data, off = text_bytes(b.column("text"))
-            out = []
-            for x, y in zip(off.tolist(), off[1:].tolist(), strict=False):
-                n, inner = chunk_starts(np.array([y - x]))
-                use = np.unique(np.linspace(0, int(n[0]) - 1, min(int(n[0]), TRAIN_CHUNKS)).astype(int))
-                out.append(gather(data, x + inner[use], np.full(len(use), y)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(out, pa.binary())], ["doc_id", "quality", "chunks"])
-
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = map_batches(d.join(F.broadcast(ids), "doc_id"), sample, "doc_id long, quality int, chunks binary").collect()  # bounded by rows * TRAIN_CHUNKS
-    got = sorted(got, key=lambda r: (r.doc_id, r.quality, bytes(r.chunks)))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    size = F.octet_length("text")
+    before = F.sum(size).over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1))  # over at most ``rows`` labelled ids
+    got = d.join(F.broadcast(few[0].unionByName(few[1])), "doc_id").withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < TRAIN_BYTES).drop("before").collect()  # bounded by TRAIN_BYTES
+    got = sorted(got, key=lambda r: (r.doc_id, r.quality, bytes(r.text)))
     ones = sum(r.quality for r in got)
     if ones in (0, len(got)):
         return (ones + 1) / (len(got) + 2)
-    x = np.concatenate([np.frombuffer(bytes(r.chunks), np.uint8).reshape(-1, CHUNK) for r in got])
-    doc = np.repeat(np.arange(len(got)), [len(r.chunks) // CHUNK for r in got])
-    return packed(Network().fit(x, doc, np.array([r.quality for r in got], np.float32)))
+    data = np.frombuffer(b"".join(bytes(r.text) for r in got), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(r.text) for r in got])])
+    n, inner = chunk_starts(np.diff(off))
+    x = gather(data, np.repeat(off[:-1], n) + inner, np.repeat(off[1:], n))
+    return packed(Network().fit(x, np.repeat(np.arange(len(got)), n), np.array([r.quality for r in got], np.float32)))
 
 
-def score(docs: DataFrame, model: bytes | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: bytes | float, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
     """doc_id and score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,17 +211,18 @@ def score(docs: DataFrame, model: bytes | float, id_col: str = "doc_id", text_co
                 s = probabilities(*text_bytes(b.column("text")), *unpacked(model))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(d, run, "doc_id long, score double")
+    d = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return map_batches(d, run, f"doc_id {id_type}, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score of at least ``THRESHOLD``, with all their columns.  A score
-    depends on the text alone, so verdicts are joined by text hash."""
+    depends on the text alone, so verdicts are joined by a 128-bit hash of the text."""
     model = train(docs, labels)
-    tagged = docs.withColumn("_tag", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    bad = score(tagged, model, "_tag").where(F.col("score") < THRESHOLD).groupBy(F.col("doc_id").alias("_tag")).agg(F.lit(1).alias("x")).select("_tag")
-    return tagged.join(bad, "_tag", "left_anti").select(*docs.columns)
+    tag = fresh(docs, "_tag")
+    tagged = docs.withColumn(tag, F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    bad = score(tagged, model, tag, id_type="string").where(F.col("score") < THRESHOLD).groupBy(F.col("doc_id").alias(tag)).agg(F.lit(1).alias("x")).select(tag)
+    return tagged.join(bad, tag, "left_anti").select(*docs.columns)
 
 
 def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
