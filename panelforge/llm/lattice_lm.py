@@ -1,15 +1,17 @@
 """LM scoring by subword lattice likelihood.
 
-The vocabulary is that of an existing subword tokenizer; each piece's log probability is its
-smoothed share among the pieces that the tokenizer gives for the training texts.  A word's
+The vocabulary is that of an existing subword tokenizer.  The one such file at hand is of the
+merge kind, whose scores are merge ranks and no probabilities (its piece number k has score -k);
+so a piece's log probability is its smoothed share among the pieces that the tokenizer gives for
+the training texts, which is what a unigram vocabulary's scores stand for.  A word's
 probability is the sum over all its segmentations, by forward recursion in log space; words
 (with the vocabulary's word-begin mark) are independent, so a text's log10 probability is the
 sum over its words, plus that of the end.
 
 Words are counted on the map side, so a word that every text has is a few rows per task.  The
 lattice runs once per distinct word of the corpus.  Scores come back to the texts on two ways:
-those of the ``HEAD`` most frequent words (a fixed bound) are broadcast; rarer words are joined
-on the word, where none is hot.
+those of at most ``HEAD`` most frequent words (a fixed bound) are broadcast; rarer words are
+joined on the word, where none is hot.
 
 Defined results: a null or empty text is its end alone; rows with equal ids are scored each; a
 null id counts as the empty text for the training rule, so it is held out; an empty table gives
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import blocks, map_batches, tokenizer_bytes, written
 
 HEAD = 1 << 16
+BINS = 16  # of the histogram of counts, for each doubling
 FLUSH = 150_000
 ADD = 0.1
 MARK = "▁"
@@ -127,6 +130,17 @@ def count_words(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+def least_count(scored: DataFrame, head: int) -> float:
+    """A count that at most ``head`` words reach, from a histogram of a few hundred bins."""
+    bins = scored.groupBy(F.floor(F.log2(F.col("n").cast("double")) * BINS).alias("bin")).agg(F.count("*").alias("words")).collect()
+    total = 0
+    for r in sorted(bins, key=lambda r: -r.bin):
+        total += r.words
+        if total > head:
+            return 2 ** ((r.bin + 1) / BINS) - 1e-9
+    return 0
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
@@ -166,7 +180,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
             )
 
     scored = written(map_batches(counted, lattice, "word string, known boolean, base double, score double, n long"), "word-scores")
-    top = scored.orderBy(F.desc("n"), "word").limit(head).collect()  # bounded by ``head``
+    top = scored.where(F.col("n") >= least_count(scored, head)).collect()  # at most ``head`` rows
     known = spark.sparkContext.broadcast({r.word.encode(): (int(r.known), r.base, r.score) for r in top})
     names = ["doc_id", "key", "word", "times", "n_tokens", "n_known", "base", "score"]
 
