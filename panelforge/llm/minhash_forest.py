@@ -6,19 +6,30 @@ trees, each of which reads the signature from another place, so sorting by a tre
 the longest common prefixes together.  The table of all trees is range-partitioned by the order
 itself, so no prefix, however common, is one task's.
 
-Within an order a class's candidates are the ``REACH`` classes on either side with a common
-prefix.  The depth of that prefix adapts to the region: where few classes share a first minimum
-all of them are candidates; in a crowded region the neighbours are those with the longest
-prefixes.  In two rounds:
-
-1. in every tree each class proposes its most alike neighbour; proposals are confirmed on the
-   full sets and give components;
-2. the trees are read again with the components as labels: every pair of neighbours in different
-   components, and in regions wider than the reach also every class against the four classes
-   nearest to the region's most common signature, is confirmed on the full sets.
-
-So a group of thousands of near copies costs a few confirmations per member, and no pair between
-different components that the trees bring together is left unconfirmed.
+The depth adapts to the region: a row's region is the widest run of rows around it with a common
+prefix that has at most ``REACH + 1`` rows.  Where few classes share a first minimum, that is all of
+them; in a crowded place the prefix gets longer until the run is small enough.  All pairs within a
+region are candidates, and so are the next ``BESIDE`` rows on either side with any common prefix.
+Three rounds:
+
+1. in every tree each class proposes the candidate with the longest common prefix (ties: the more
+   alike by a sketch); proposals are confirmed on the full sets and give components;
+2. the trees are read again with the components as labels: all candidates in different components
+   are confirmed;
+3. the exact way for crowded places, where pairs with a short common prefix lie in different
+   regions: classes that share a first minimum with more than ``REACH`` others, not all of one
+   component, are grouped anew by three minima each, in 21 orders that use all 64.  In every
+   group with several components all classes outside the largest one are compared with all of the
+   group, block by block; the ``BEST`` most alike of each other component are confirmed.  Where a
+   component had more than those, the round is repeated with eight times as many.
+
+Only pairs whose sketches estimate them more than ``DEVIATIONS`` standard deviations below 75 % are
+never confirmed.  A pair at 75 % is missed by all eight trees with probability 0.25 ** 8, and in a
+crowded place by all 21 orders with 0.58 ** 21, about one in 100,000 either way.
+
+A group of thousands of near copies costs a few confirmations per member.  Confirming deals the
+texts by pair: a text that many pairs need is sent once for each ``FAN`` of them, so no text's pairs
+are one task's.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; rows with
 equal ids are one node; a row without id gets its class's component, or none; an empty table
@@ -35,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, map_batches, mix, partitions, span_hash, text_bytes, word_spans, written
+from .common import LOWER, blocks, dropped, fresh, map_batches, mix, partitions, span_hash, text_bytes, word_spans, written
 from .graph import components
 
 WORDS = 5
@@ -43,7 +54,11 @@ HASHES = 64
 TREES = 8
 DEPTH = 16
 REACH = 16
-MEDOIDS = 4
+BESIDE = 4
+DEEP, ORDERS = 3, 21  # of the third round
+SIDE = 2048  # rows of a block there
+BEST, MORE = 8, 8
+FAN = 64
 SIMILAR = 75  # percent
 BINS = 256  # of the sketch by which likeness is estimated
 DEVIATIONS = 4.5  # below 75 % that an estimate may fall for the pair still to be confirmed
@@ -132,23 +147,37 @@ def _alike(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -
     return out
 
 
+def _depths(prefix: np.ndarray) -> np.ndarray:
+    """For rows in order, whose neighbours share prefixes of these lengths: the least depth (1 at
+    least) at which a row's run has no more than ``REACH + 1`` rows; ``DEPTH`` where none has."""
+    n = len(prefix) + 1
+    depth = np.zeros(n, np.int64)
+    for d in range(1, DEPTH):
+        start = np.concatenate([[0], np.flatnonzero(prefix < d) + 1])
+        size = np.diff(np.concatenate([start, [n]]))
+        depth[(depth == 0) & np.repeat(size <= REACH + 1, size)] = d
+        if depth.all():
+            break
+    depth[depth == 0] = DEPTH
+    return depth
+
+
 def _near(tree: np.ndarray, key: np.ndarray, sketch: np.ndarray, size: np.ndarray, label: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates (i, j, estimated likeness) among rows in order.  Without labels: each row's most
-    alike neighbour; with labels: all neighbours of another label."""
+    """Candidates (i, j, estimated likeness) among rows in order.  Without labels: each row's
+    neighbour with the longest common prefix; with labels: all neighbours of another label."""
     n = len(tree)
     none = np.zeros(0, np.int64)
     if n < 2:
         return none, none, none
     same = (tree[1:] == tree[:-1])[:, None] & (key[1:] == key[:-1])
     prefix = np.logical_and.accumulate(same, axis=1).sum(axis=1)
-    joined = prefix > 0
+    depth = _depths(prefix)
     best, partner = np.full(n, -1), np.full(n, -1)
     found: list[tuple] = []
-    run = joined.copy()
+    common = prefix.copy()  # of the rows i and i + o
     for o in range(1, min(REACH, n - 1) + 1):
-        i = np.flatnonzero(run[: n - o])
-        if not len(i):
-            break
+        least = np.maximum(depth[: n - o], depth[o:]) if o > BESIDE else 1
+        i = np.flatnonzero(common >= least)
         j = i + o
         if label is not None:
             other = label[i] != label[j]
@@ -159,26 +188,15 @@ def _near(tree: np.ndarray, key: np.ndarray, sketch: np.ndarray, size: np.ndarra
         if label is not None:
             found.append((i, j, e))
         else:
+            rank = common[i] * 1001 + e
             for x, y in ((i, j), (j, i)):
-                up = e > best[x]
-                best[x[up]], partner[x[up]] = e[up], y[up]
-        run[: n - o - 1] &= joined[o : n - 1]
-        run[n - o - 1 :] = False
+                up = rank > best[x]
+                best[x[up]], partner[x[up]] = rank[up], y[up]
+        common = np.minimum(common[: n - o - 1], prefix[o:])
     if label is None:
         i = np.flatnonzero(partner >= 0)
-        return i, partner[i], best[i]
-    edge = np.concatenate([[0], np.flatnonzero(~joined) + 1, [n]])
-    for x, y in zip(edge.tolist(), edge[1:].tolist(), strict=False):
-        if y - x <= REACH + 1 or (label[x:y] == label[x]).all():
-            continue
-        part = sketch[x:y]
-        mode = np.array([np.bincount(part[:, c], minlength=256).argmax() for c in range(BINS)], np.uint8)
-        for m in np.argsort(-(part == mode).sum(axis=1), kind="stable")[:MEDOIDS] + x:
-            i = x + np.flatnonzero(label[x:y] != label[m])
-            j = np.full(len(i), m)
-            e = _alike(sketch, size, i, j)
-            found.append((i[e >= 0], j[e >= 0], e[e >= 0]))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (none, none, none)
+        return i, partner[i], best[i] % 1001
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _candidates(classes: DataFrame, n_rows: int, labelled: bool) -> DataFrame:
@@ -249,28 +267,110 @@ def _candidates(classes: DataFrame, n_rows: int, labelled: bool) -> DataFrame:
     return raw.where("border is null").select(*cols).unionByName(over.select(*cols))
 
 
+def _crowded(classes: DataFrame, best: int) -> DataFrame:
+    """(a, b, label_a, label_b, cut): the third round's candidates; ``cut`` where a class and a
+    component had more than ``best``."""
+    trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("minima", 4 * t * (HASHES // TREES) + 1, 4).alias("key")) for t in range(TREES)]))
+    first = classes.select("rep", "label", trees.alias("o")).select("rep", "label", "o.tree", "o.key")
+    wide = first.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where((F.col("n") > REACH + 1) & (F.col("x") != F.col("y"))).select("tree", "key")
+    reps = first.join(wide, ["tree", "key"], "left_semi").groupBy("rep").agg(F.lit(1).alias("x")).select("rep")
+
+    orders = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("minima", 4 * t * DEEP + 1, 4 * DEEP).alias("key")) for t in range(ORDERS)]))
+    deep = classes.select("rep", "label", "minima").join(reps, "rep", "left_semi").select("rep", "label", orders.alias("o")).select("rep", "label", "o.tree", "o.key")
+    deep = written(deep, "deep")
+    parts = deep.groupBy("tree", "key", "label").agg(F.count("*").alias("n"))
+    groups = parts.groupBy("tree", "key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
+    blocks_of = lambda c: F.ceil(F.col(c) / SIDE).cast("int")
+    groups = groups.select("tree", "key", "main", blocks_of("n").alias("of_all"), F.ceil((F.col("n") - F.col("top")) / SIDE).cast("int").alias("of_few"))
+    members = deep.join(groups, ["tree", "key"]).join(classes.select("rep", "sketch", "n"), "rep")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cols = ["tree", "key", "rep", "label", "sketch", "n"]
+    every = members.select(*cols, F.pmod(F.xxhash64("rep"), F.col("of_all")).cast("int").alias("block"), each("of_few").alias("part"), F.lit(False).alias("few"))
+    few = members.where(F.col("label") != F.col("main")).select(*cols, F.pmod(F.xxhash64("rep"), F.col("of_few")).cast("int").alias("part"), each("of_all").alias("block"), F.lit(True).alias("few")).select(*every.columns)
+    at = ["tree", "key", "block", "part"]
+    dealt = every.unionByName(few).repartition(partitions(classes.sparkSession), *at).sortWithinPartitions(*at)
+    schema = "a long, b long, label_a long, label_b long, cut boolean"
+
+    def compare(rows: list[tuple]) -> list[tuple]:
+        left = [r for r in rows if r[9]]
+        lab, rep = np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
+        size = np.array([r[5] for r in rows], np.int64)
+        sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, BINS)
+        right = np.flatnonzero([not r[9] for r in rows])
+        out = []
+        for k in np.flatnonzero([r[9] for r in rows]) if left else ():
+            j = right[(lab[right] != lab[k]) & (100 * np.minimum(size[right], size[k]) >= SIMILAR * np.maximum(size[right], size[k]))]
+            e = _alike(sketch, size, np.full(len(j), k), j)
+            j, e = j[e >= 0], e[e >= 0]
+            order = np.lexsort((-e, lab[j]))
+            j = j[order]
+            first = np.flatnonzero(np.concatenate([[True], lab[j][1:] != lab[j][:-1]])) if len(j) else j
+            count = np.diff(np.concatenate([first, [len(j)]])) if len(j) else j
+            for a, c in zip(first.tolist(), count.tolist(), strict=True):
+                out += [(int(rep[k]), int(rep[x]), int(lab[k]), int(lab[x]), c > best) for x in j[a : a + min(c, best)]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        names = ["tree", "key", "rep", "label", "sketch", "n", "block", "part", "tree", "few"]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch | None:
+            found = compare(rows)
+            if not found:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int64()] * 4 + [pa.bool_()], strict=True)], ["a", "b", "label_a", "label_b", "cut"])
+
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if held and (r[0], r[1], r[6], r[7]) != (held[0][0], held[0][1], held[0][6], held[0][7]):
+                    if x := out(held):
+                        yield x
+                    held = []
+                held.append(r)
+        if held and (x := out(held)):
+            yield x
+
+    return written(map_batches(dealt, run, schema), "crowded")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b, label_a, label_b) whose full sets are alike enough.  Only texts that occur
-    in a pair are dealt, once for each side."""
-    pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    few = ids.count() <= SEND_AT_MOST
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b, label_a, label_b) of a written table whose full sets are alike enough.  Only
+    texts that occur in a pair are dealt, one copy for each ``FAN`` pairs that need it."""
+    uses = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.ceil(F.count("*") / FAN).cast("int").alias("copies")), "uses")
+    few = uses.count() <= SEND_AT_MOST
+    texts = docs.join(F.broadcast(uses) if few else uses, "doc_id").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    hubs = written(uses.where("copies > 1"), "hubs")  # at most one for each FAN / 2 pairs
+
+    def dealt(df: DataFrame, me: str, other: str) -> DataFrame:
+        h = hubs.select(F.col("doc_id").alias(me), "copies")
+        salt = F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")
+        return df.join(h, me, "left").withColumn(f"salt_{me}", salt).drop("copies")
+
+    p = dealt(dealt(pairs.select("a", "b", "label_a", "label_b"), "a", "b"), "b", "a")
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("salt").alias(f"salt_{c}"), F.col("text").alias(f"text_{c}"))
+    two = p.join(side("a"), ["a", "salt_a"]).join(side("b"), ["b", "salt_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text_b", 1 << 20):
-            s, at = shingles(*text_bytes(b.column("text_a")))
-            u, to = shingles(*text_bytes(b.column("text_b")))
-            keep = []
-            for i in range(b.num_rows):
-                x, y = s[at[i] : at[i + 1]], u[to[i] : to[i + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= SIMILAR * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b", "label_a", "label_b")], ["a", "b", "label_a", "label_b"]).filter(pa.array(keep))
+        for whole in blocks(batches, "text_a", 1 << 20):
+            for b in blocks(iter([whole]), "text_b", 1 << 20):
+                s, at = shingles(*text_bytes(b.column("text_a")))
+                u, to = shingles(*text_bytes(b.column("text_b")))
+                keep = []
+                for i in range(b.num_rows):
+                    x, y = s[at[i] : at[i + 1]], u[to[i] : to[i + 1]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both > 0 and 100 * both >= SIMILAR * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b", "label_a", "label_b")], ["a", "b", "label_a", "label_b"]).filter(pa.array(keep, pa.bool_()))
+
+    out = written(map_batches(two.select("a", "b", "label_a", "label_b", "text_a", "text_b"), run, "a long, b long, label_a long, label_b long"), "confirmed")
+    dropped(uses, hubs)
+    return out
+
 
-    return map_batches(two.select("a", "b", "label_a", "label_b", "text_a", "text_b"), run, "a long, b long, label_a long, label_b long")
+def _relabelled(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, label) of all classes, after links (label_a, label_b) between components."""
+    top = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return written(classes.select("rep", "label").join(top, "label", "left").select("rep", F.coalesce("top", "label").alias("label")), "labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,24 +380,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sig.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch"), F.first("n_shingles").cast("int").alias("n")).where("rep is not null")
     classes = written(classes, "classes")
     n = classes.count()
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+
+    def swapped(df: DataFrame) -> DataFrame:
+        """The smaller id first, with its label."""
+        up = F.col("a") < F.col("b")
+        return df.select(*ordered, F.when(up, F.col("label_a")).otherwise(F.col("label_b")).alias("label_a"), F.when(up, F.col("label_b")).otherwise(F.col("label_a")).alias("label_b")).where("a <> b").dropDuplicates(["a", "b"])
 
     cand = _candidates(classes.withColumn("label", F.lit(None).cast("long")), n, False)
-    pairs = written(cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "proposals")
-    same = pairs.select("a", "b", F.col("a").alias("label_a"), F.col("b").alias("label_b"))
-    label = written(components(confirmed(same, d)), "components")
-
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    again = classes.join(nodes, "rep", "left_semi").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    again = written(again.select("rep", "minima", "sketch", "n", "label"), "labelled")
-    cand = _candidates(again, again.count(), True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "label_a", "label_b").where("a <> b").dropDuplicates(["a", "b"])
-    more = written(cand.join(pairs, ["a", "b"], "left_anti"), "proposals")
+    seen = written(cand.select(*ordered).where("a <> b").distinct(), "proposals")
+    links = confirmed(seen.select("a", "b", F.col("a").alias("label_a"), F.col("b").alias("label_b")), d)
+    labels = _relabelled(classes.select("rep", F.col("rep").alias("label")), links)
+
+    #: A class that the sketches kept from every proposal has no candidate in its regions.
+    nodes = seen.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    again = written(classes.join(nodes, "rep", "left_semi").join(labels, "rep").select("rep", "minima", "sketch", "n", "label"), "labelled")
+    more = written(swapped(_candidates(again, again.count(), True)).join(seen, ["a", "b"], "left_anti"), "proposals")
+    dropped(again, links)
     if not more.isEmpty():
-        links = confirmed(more, d).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-        top = components(links).select(F.col("node").alias("label"), F.col("label").alias("top"))
-        ends = again.select("rep", "label").join(top, "label", "left").select("rep", F.coalesce("top", "label").alias("label"))
-        label = written(ends.where("rep <> label").distinct(), "components").withColumnRenamed("rep", "node")
-
-    by_class = classes.select("set_key", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component_id"))
+        labels = _relabelled(labels, confirmed(more, d))
+        seen = seen.unionByName(more.select("a", "b"))
+
+    best, cut = BEST, True
+    while cut:
+        state = classes.join(labels, "rep").select("rep", "minima", "sketch", "n", "label")
+        cand = _crowded(state, best)
+        cut = not cand.where("cut").isEmpty()
+        more = written(swapped(cand).join(seen, ["a", "b"], "left_anti"), "proposals")
+        if not more.isEmpty():
+            labels = _relabelled(labels, confirmed(more, d))
+            seen = seen.unionByName(more.select("a", "b"))
+        best *= MORE
+        dropped(cand)
+
+    by_class = classes.select("set_key", "rep").join(labels, "rep").select("set_key", F.col("label").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
@@ -305,8 +421,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all columns."""
     v = written(near_duplicates(docs, id_col, text_col), "verdicts")
-    gone = v.where("not kept and doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(F.lit(1).alias("x")).select("_gone")
-    out = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    mark = fresh(docs, "_gone")
+    gone = v.where("not kept and doc_id is not null").groupBy(F.col("doc_id").alias(mark)).agg(F.lit(1).alias("x")).select(mark)
+    out = docs.join(gone, docs[id_col] == gone[mark], "left_anti")
     twice = v.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if twice.isEmpty():
         return out
