@@ -6,16 +6,19 @@ fields (URL, IP, date, type, length), version 2 ten (with result code, checksum,
 offset and file name between type and length).  ``parse_arc`` reads the version from the file's
 own header, takes the lengths as declared (a payload may hold anything, also lines that look
 like headers) and ``to_warc`` makes the WARC record that is equivalent: identifier (a name-based
-UUID of URL, date and the record's key), WARC date, type and digests.  Records whose payload is
-that of another are revisits of the one with the smallest key.
+UUID of URL, date and the record's key), WARC date, type and digests.  The version block becomes
+a ``warcinfo`` record; a block with an HTTP header a ``response``, one without (name look-ups,
+old servers' bare bodies) a ``resource``.  Records whose payload is that of another are revisits
+of the one with the smallest key; among equal keys, of the first in the archives.
 
-Everything is a stream: archives are cut into files of about ``ARC_BYTES``, and reading back
-inflates a WARC file piece by piece.
+Archives are cut at about ``ARC_BYTES``; a WARC file holds at most ``WARC_RECORDS`` records, each a
+gzip member of its own, and is read member by member.  Bytes are written as they are: a payload
+need not be text.
 
 Defined results: a null html is an empty payload; a null url is ``urn:page:<id>``; rows with
-equal ids and payloads: one of them is the response; a null page_id never is smallest, and is
-response only where all of its payload are null; an empty table gives no record.  Other columns
-are ignored.
+equal ids and payloads: exactly one of them is the response; a null page_id never is smallest,
+and is response only where all of its payload are null; an empty table gives no record.  An ARC
+or WARC file that is cut off or not as long as declared is an error.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +29,17 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, map_batches, shared_dir
+from .common import blocks, map_batches, shared_dir, written
 
 ARC_BYTES = 1 << 20
+WARC_RECORDS = 20_000
 ARC_DATE = "20240102030405"
 #: The field lists of the two versions of the format.
 FIELDS = {
@@ -71,11 +77,16 @@ def arc_file(name: str, version: int, records: list[tuple[str, bytes]]) -> bytes
 
 
 def parse_arc(data: bytes) -> Iterator[dict[str, object]]:
-    """Records of an ARC file, as its header line's version and declared lengths say."""
+    """Version block and records of an ARC file (gzip or not), as its header line's version and
+    declared lengths say."""
+    if data[:2] == b"\x1f\x8b":
+        data = b"".join(inflate(data))
     at, names = 0, None
     while at < len(data):
-        eol = data.index(b"\n", at)
-        line = data[at:eol].split(b" ")
+        eol = data.find(b"\n", at)
+        line = data[at : max(eol, at)].split(b" ")
+        if not line[-1].isdigit():
+            raise ValueError(f"no record line at {at}")
         size = int(line[-1])
         body = data[eol + 1 : eol + 1 + size]
         if len(body) != size or data[eol + 1 + size : eol + 2 + size] != b"\n":
@@ -86,20 +97,24 @@ def parse_arc(data: bytes) -> Iterator[dict[str, object]]:
             names = [f.decode() for f in fields.split(b" ")]
             if not line[0].startswith(b"filedesc://") or len(names) != len(FIELDS[version].split(b" ")):
                 raise ValueError("no version block")
+            yield {"url": line[0].decode("utf-8", "replace"), "ip": "0.0.0.0", "date": line[2].decode(), "type": "version", "block": body}
         else:
             if len(line) != len(names):
                 raise ValueError(f"the record line at {at} has {len(line)} fields")
-            r = dict(zip(names, (x.decode() for x in line), strict=True))
+            r = dict(zip(names, (x.decode("utf-8", "replace") for x in line), strict=True))
             if "Checksum" in r and hashlib.md5(body).hexdigest() != r["Checksum"]:
                 raise ValueError(f"the record at {at} has another checksum")
-            yield {"url": r["URL"], "ip": r["IP-address"], "date": r["Archive-date"], "block": body}
+            yield {"url": r["URL"], "ip": r["IP-address"], "date": r["Archive-date"], "type": r["Content-type"], "block": body}
         at = eol + 2 + size
 
 
 def split_http(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
-    """(header bytes with the empty line, header fields in lower case, payload)."""
-    cut = block.index(b"\r\n\r\n") + 4
-    fields = (x.partition(":") for x in block[:cut].decode().split("\r\n")[1:] if x)
+    """(header bytes with the empty line, header fields in lower case, payload); a block that is no
+    HTTP response is payload altogether."""
+    cut = block.find(b"\r\n\r\n") + 4
+    if not block.startswith(b"HTTP/") or cut < 4:
+        return b"", {}, block
+    fields = (x.partition(":") for x in block[:cut].decode("latin-1").split("\r\n")[1:] if x)
     return block[:cut], {k.lower(): v.strip() for k, _, v in fields}, block[cut:]
 
 
@@ -107,32 +122,47 @@ def record_id(url: str, date: str, key: str | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{url} {date} {key}')}>"
 
 
-def to_warc(arc: dict, refers: tuple[str, str] | None = None) -> bytes:
-    """The WARC record equivalent to an ARC record, without its last line feed.  ``refers``:
-    (key, url) of the response that it revisits; the payload is then left out."""
+def to_warc(arc: dict, refers: tuple[str, str, str] | None = None) -> bytes:
+    """The WARC record equivalent to an ARC record.  ``refers``: (key, url, date) of the record that
+    it revisits; the payload is then left out."""
     head, fields, payload = split_http(arc["block"])
-    d, key = arc["date"], fields.get("x-record-key")
-    date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+    date = lambda d: f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
     block = head if refers else arc["block"]
+    info = arc["type"] == "version"
+    kind = "warcinfo" if info else "revisit" if refers else "response" if head else "resource"
+    content = "application/x-arc-version-block" if info else "application/http; msgtype=response" if head else arc["type"]
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if refers else 'response'}",
-        f"WARC-Record-ID: {record_id(arc['url'], d, key)}",
-        f"WARC-Date: {date}",
-        f"WARC-Target-URI: {arc['url']}",
+        f"WARC-Type: {kind}",
+        f"WARC-Record-ID: {record_id(arc['url'], arc['date'], fields.get('x-record-key'))}",
+        f"WARC-Date: {date(arc['date'])}",
+        f"WARC-Filename: {arc['url'].removeprefix('filedesc://')}" if info else f"WARC-Target-URI: {arc['url']}",
         f"WARC-IP-Address: {arc['ip']}",
         f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}",
+        f"WARC-Payload-Length: {len(payload)}",
         f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
     ]
     if refers:
         lines += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: {record_id(refers[1], d, refers[0])}",
+            f"WARC-Refers-To: {record_id(refers[1], refers[2], refers[0])}",
             f"WARC-Refers-To-Target-URI: {refers[1]}",
-            f"WARC-Refers-To-Key: {refers[0]}",
+            f"WARC-Refers-To-Date: {date(refers[2])}",
+            f"WARC-Refers-To-Key: {refers[0] or ''}",
         ]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
-    return "\r\n".join(lines).encode() + block + b"\r\n\r"
+    lines += [f"Content-Type: {content}", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+
+
+def member(record: bytes) -> bytes:
+    """A gzip member without its last byte, which is 0: the writer's separator supplies it.  (The
+    byte is the highest of the record's length; where it is not 0, an empty member follows.)"""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = z.compress(record) + z.flush()
+    if out[-1]:
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += z.flush()
+    return out[:-1]
 
 
 def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -141,10 +171,11 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
+        part = TaskContext.get().partitionId()
         for b in blocks(batches, "html", ARC_BYTES):
             html = b.column("html").cast(pa.binary()).to_pylist()
             records = [(u, http_block(k, h)) for k, u, h in zip(b.column("key").to_pylist(), b.column("url").to_pylist(), html, strict=True)]
-            name = f"{hashlib.md5(records[0][1]).hexdigest()}-{n}.arc"
+            name = f"{part:06d}-{n:06d}.arc"
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([arc_file(name, 1 + n % 2, records)], pa.binary())], ["archive", "content"])
             n += 1
 
@@ -152,46 +183,52 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def arc_records(archives: DataFrame) -> DataFrame:
-    """Rows of the ARC files in a table (archive, content): key, url, date, ip, payload and its
-    digest."""
+    """Records of the ARC files in a table (archive, content): place in the archives, key, url,
+    date, ip, type, block, and the payload's digest and size."""
+    schema = "archive string, at long, key string, url string, date string, ip string, type string, block binary, digest string, size long"
+    kinds = [pa.string(), pa.int64()] + [pa.string()] * 5 + [pa.binary(), pa.string(), pa.int64()]
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column("content").to_pylist():
+            for name, content in zip(b.column("archive").to_pylist(), b.column("content"), strict=True):
                 out: list[tuple] = []
-                for r in parse_arc(content):
+                held = 0
+                for at, r in enumerate(parse_arc(content.as_py())):
                     _, fields, payload = split_http(r["block"])
-                    out.append((fields.get("x-record-key"), r["url"], r["date"], r["ip"], r["block"], sha1_base32(payload), len(payload)))
-                kinds = [pa.string()] * 4 + [pa.binary(), pa.string(), pa.int64()]
+                    out.append((name, at, fields.get("x-record-key"), r["url"], r["date"], r["ip"], r["type"], r["block"], sha1_base32(payload), len(payload)))
+                    held += len(r["block"])
+                    if held > 4 * ARC_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                        out, held = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "url", "date", "ip", "block", "digest", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return map_batches(archives, run, "key string, url string, date string, ip string, block binary, digest string, size long")
+    return map_batches(archives, run, schema)
 
 
 def convert(archives: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Convert ARC files to WARC files (gzip) in ``path``.  Only keys and digests are grouped to
-    find the responses; blocks are dealt once, by digest, where a hot one is split."""
-    r = arc_records(archives)
+    """Convert ARC files to WARC files in ``path``.  The archives are written to the shared folder
+    first, so that a record's place in them stays what it is.  Only keys and digests are grouped
+    to find the responses; blocks are dealt once, by digest, where a hot one is split."""
+    r = arc_records(written(archives.select("archive", "content"), "arc"))
     key = F.expr("try_cast(key as bigint)")
-    first = r.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min_by(F.struct("key", "url"), F.struct(key.isNull(), key, "key", "url")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    j = r.join(first, "digest", "left").select("key", "url", "date", "ip", "block", "first")
+    page = F.col("type") != "version"
+    first = r.where(page & (F.col("size") >= least_bytes)).groupBy("digest").agg(F.min_by(F.struct("key", "url", "date", "archive", "at"), F.struct(key.isNull(), key, "key", "url", "archive", "at")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
+    j = r.join(first, "digest", "left").select("archive", "at", "key", "url", "date", "ip", "type", "block", F.when(page, F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nulls: set[str] = set()
         for b in blocks(batches, "block"):
             out = []
             for row in b.to_pylist():
                 f = row["first"]
-                mine = f is None or (f["key"], f["url"]) == (row["key"], row["url"])
-                if mine and f is not None and f["key"] is None:
-                    pay = sha1_base32(split_http(row["block"])[2])
-                    mine = pay not in nulls
-                    nulls.add(pay)
-                out.append(to_warc(row, None if mine else (f["key"] or "", f["url"])).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                mine = f is None or (f["archive"], f["at"]) == (row["archive"], row["at"])
+                out.append(member(to_warc(row, None if mine else (f["key"], f["url"], f["date"]))))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    map_batches(j, run, "value string").write.option("compression", "gzip").text(path)
+    # The text writer puts a string's bytes down as they are, and the separator after each.
+    members = map_batches(j, run, "value binary").select(F.col("value").cast("string").alias("value"))
+    members.write.option("lineSep", "\0").option("maxRecordsPerFile", WARC_RECORDS).text(path)
 
 
 def parse_warc(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -207,7 +244,7 @@ def parse_warc(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]
                 cut = buf.find(b"\r\n\r\n", at)
                 if cut < 0:
                     break
-                head = buf[at:cut].decode().split("\r\n")
+                head = buf[at:cut].decode("utf-8", "replace").split("\r\n")
                 if not head[0].startswith("WARC/"):
                     raise ValueError(f"no record at {at}: {head[0][:40]}")
                 fields = {k: v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
@@ -226,39 +263,46 @@ def parse_warc(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]
 
 
 def inflate(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    z = zlib.decompressobj(31)
-    for a in range(0, len(data), step):
-        part = z.decompress(data[a : a + step], step)
-        while part:
-            yield part
-            part = z.decompress(z.unconsumed_tail, step)
-    yield z.flush()
+    """The content of all gzip members, piece by piece."""
+    at = 0
+    while at < len(data):
+        z = zlib.decompressobj(31)
+        while not z.eof:
+            feed = z.unconsumed_tail
+            if not feed:
+                feed = data[at : at + step]
+                at += len(feed)
+            part = z.decompress(feed, step)
+            if part:
+                yield part
+            elif not feed and not z.eof:
+                raise ValueError("the last gzip member is cut off")
+        at -= len(z.unused_data)
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """Records of the WARC files in a folder, each checked against its block digest."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     schema = "key string, url string, record_id string, record_type string, payload_digest string, payload_bytes long, refers_to string, refers_to_id string" + (", payload binary" if with_payload else "")
+    kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_payload
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def rows(content: bytes) -> Iterator[tuple]:
+        for f, block in parse_warc(inflate(content)):
+            if f["WARC-Block-Digest"] != f"sha1:{sha1_base32(block)}":
+                raise ValueError(f"{f['WARC-Record-ID']} is damaged")
+            _, http, payload = split_http(block)
+            kind = f["WARC-Type"]
+            if kind != "revisit" and f["WARC-Payload-Digest"] != f"sha1:{sha1_base32(payload)}":
+                raise ValueError(f"{f['WARC-Record-ID']} has another payload")
+            row = (http.get("x-record-key"), f.get("WARC-Target-URI"), f["WARC-Record-ID"], kind, f["WARC-Payload-Digest"][5:], int(f["WARC-Payload-Length"]), f.get("WARC-Refers-To-Key"), f.get("WARC-Refers-To"))
+            yield row + ((payload,) if with_payload else ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_payload
-        names = [x.split(" ")[0] for x in schema.split(", ")]
         for b in batches:
             for content in b.column("content"):
-                out: list[tuple] = []
-                for f, block in parse_warc(inflate(content.as_py())):
-                    if f["WARC-Block-Digest"] != f"sha1:{sha1_base32(block)}":
-                        raise ValueError(f"{f['WARC-Record-ID']} is damaged")
-                    _, http, payload = split_http(block)
-                    kind = f["WARC-Type"]
-                    if kind == "response" and f["WARC-Payload-Digest"] != f"sha1:{sha1_base32(payload)}":
-                        raise ValueError(f"{f['WARC-Record-ID']} has another payload")
-                    row = (http.get("x-record-key"), f["WARC-Target-URI"], f["WARC-Record-ID"], kind, f["WARC-Payload-Digest"][5:], int(http["content-length"]), f.get("WARC-Refers-To-Key"), f.get("WARC-Refers-To"))
-                    out.append(row + ((payload,) if with_payload else ()))
-                    if len(out) == 512:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                        out = []
-                if out:
+                every = rows(content.as_py())
+                while out := list(islice(every, 512)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return map_batches(files, run, schema)
@@ -267,7 +311,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
 def op4_arc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     convert(pages_to_arc(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
-    r = read_warc(spark, path)
+    r = read_warc(spark, path).where("record_type <> 'warcinfo'")
     return r.select(F.expr("try_cast(key as bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(refers_to as bigint)").alias("refers_to"), "record_id", "refers_to_id")
 
 
