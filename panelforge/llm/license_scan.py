@@ -1,11 +1,13 @@
 """License scan by diagonal voting, in DataFrame operations only.
 
-Every position of every text gives a rolling hash of its next words.  These are joined to the
-positions of the templates' word grams (a fixed, small table, broadcast); the gram's words are
-compared at once, so a hash collision is no hit.  Hits vote for the diagonal ``position in the
+Every word of a text is hashed once; a rolling hash (a cyclic polynomial: rotated word hashes,
+combined by exclusive or) over the next ``GRAM`` words stands for every position.  These are
+joined to the positions of the templates' word grams (a fixed, small table, broadcast); the
+gram's words are compared at once, so a hash collision is no hit.  Hits vote for the diagonal ``position in the
 text - position in the template``.  Diagonals that lie close together (words were inserted or
 left out) are merged to spans, and a span counts when it holds at least 75 % of the template's
-grams within twice the template's length.  Base phrases are templates of one gram.
+grams within twice the template's length.  Base phrases are templates of one gram; one shorter than
+``GRAM`` has the hash of its own words, at positions of its first word only.
 
 The explode, the hashing, the join and the first aggregation are one stage of generated code; no
 row of a position is ever written.  A text's end is a gram of its own, so that texts without
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,6 +48,9 @@ NOTICES = (
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("mit", "Released under the MIT License"),
+    ("mit", "Licensed under the MIT License"),
+    ("mit", "Distributed under the terms of the MIT License"),
+    ("mit", "This project is licensed under the terms of the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
@@ -64,20 +69,34 @@ def template_grams(notices=NOTICES) -> tuple[list[tuple], list[tuple]]:
     return templates, grams
 
 
+def rolling(hashes: list[Column]) -> Column:
+    """A cyclic polynomial of word hashes; words that are not there count as nothing."""
+    turned = lambda c, n: F.shiftleft(c, n).bitwiseOR(F.shiftrightunsigned(c, 64 - n)) if n else c
+    out = F.lit(0).cast("long")
+    for k, h in enumerate(hashes):
+        out = out.bitwiseXOR(F.coalesce(turned(h, 21 * k), F.lit(0).cast("long")))
+    return out
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices=NOTICES, with_spans: bool = False) -> DataFrame:
     """A row per document: counts, labels and score; with ``with_spans`` also the verified spans
     (label, first word, word after the last, share of the template)."""
     spark = docs.sparkSession
     templates, grams = template_grams(notices)
-    first_two = F.xxhash64(F.get("gram", F.lit(0)), F.get("gram", F.lit(1)))
-    table = spark.createDataFrame([*grams, (-1, 0, [END])], "t int, t_at int, gram array<string>").withColumn("g_hash", first_two)
+    word_hash = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    table = spark.createDataFrame([*grams, (-1, 0, [END])], "t int, t_at int, gram array<string>")
+    own = word_hash(F.col("gram"))
+    table = table.withColumn("g_hash", rolling([F.get(own, F.lit(k)) for k in range(GRAM)]))
+    short = sorted({g[0] for _, _, g in grams if len(g) < GRAM} | {END})
     about = spark.createDataFrame([*templates, (-1, "", False, 0, 1, 1)], "t int, label string, base boolean, t_words int, t_grams int, k int")
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = F.lower(F.replace(text, F.lit("K"), F.lit("é")))  # the one other letter whose lower case is ASCII
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row_hash"), F.array_append(F.regexp_extract_all(plain, F.lit(f"({WORD})"), F.lit(1)), END).alias("words"))
-    at = d.select("doc_id", "row_hash", "words", F.posexplode("words").alias("at", "word"))
-    at = at.select("doc_id", "row_hash", "words", "at", F.xxhash64("word", F.get("words", F.col("at") + 1)).alias("h"))
+    at = d.withColumn("hashes", word_hash(F.col("words"))).select("doc_id", "row_hash", "words", "hashes", F.posexplode("words").alias("at", "word"))
+    hashes = [F.get("hashes", F.col("at") + k) for k in range(GRAM)]
+    few = F.array_distinct(F.array(*[rolling(hashes[:k]) for k in range(GRAM, 0, -1)]))
+    at = at.select("doc_id", "row_hash", "words", "at", F.explode(F.when(F.col("word").isin(short), few).otherwise(F.array(rolling(hashes)))).alias("h"))
     same = (F.col("h") == F.col("g_hash")) & (F.slice("words", F.col("at") + 1, F.size("gram")) == F.col("gram"))
     hits = at.join(F.broadcast(table), same).select("doc_id", "row_hash", "t", "t_at", "at", (F.col("at") - F.col("t_at")).alias("diagonal"))
 
