@@ -20,8 +20,9 @@ Three rounds:
    regions: classes that share a first minimum with more than ``REACH`` others, not all of one
    component, are grouped anew by three minima each, in 21 orders that use all 64.  In every
    group with several components all classes outside the largest one are compared with all of the
-   group, block by block; the ``BEST`` most alike of each other component are confirmed.  Where a
-   component had more than those, the round is repeated with eight times as many.
+   group, block by block: first by sketches, which leaves the classes that have a candidate in
+   another component; then, among these, on the full sets.  Tasks give out such classes and
+   links, never pairs of candidates.
 
 Only pairs whose sketches estimate them more than ``DEVIATIONS`` standard deviations below 75 % are
 never confirmed.  A pair at 75 % is missed by all eight trees with probability 0.25 ** 8, and in a
@@ -56,8 +57,7 @@ DEPTH = 16
 REACH = 16
 BESIDE = 4
 DEEP, ORDERS = 3, 21  # of the third round
-SIDE = 2048  # rows of a block there
-BEST, MORE = 8, 8
+SIDE = 512  # rows of a block there
 FAN = 64
 SIMILAR = 75  # percent
 BINS = 256  # of the sketch by which likeness is estimated
@@ -267,70 +267,105 @@ def _candidates(classes: DataFrame, n_rows: int, labelled: bool) -> DataFrame:
     return raw.where("border is null").select(*cols).unionByName(over.select(*cols))
 
 
-def _crowded(classes: DataFrame, best: int) -> DataFrame:
-    """(a, b, label_a, label_b, cut): the third round's candidates; ``cut`` where a class and a
-    component had more than ``best``."""
+def _blocks(classes: DataFrame, *more: str) -> DataFrame:
+    """The third round's groups, dealt in blocks: all of a group's classes (``few`` false) against
+    those outside its largest component (``few`` true)."""
     trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("minima", 4 * t * (HASHES // TREES) + 1, 4).alias("key")) for t in range(TREES)]))
     first = classes.select("rep", "label", trees.alias("o")).select("rep", "label", "o.tree", "o.key")
-    wide = first.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where((F.col("n") > REACH + 1) & (F.col("x") != F.col("y"))).select("tree", "key")
-    reps = first.join(wide, ["tree", "key"], "left_semi").groupBy("rep").agg(F.lit(1).alias("x")).select("rep")
+    wide = first.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y"))
+    if not more:
+        wide = wide.where(F.col("n") > REACH + 1)
+    reps = first.join(wide.select("tree", "key"), ["tree", "key"], "left_semi").groupBy("rep").agg(F.lit(1).alias("x")).select("rep")
 
     orders = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("minima", 4 * t * DEEP + 1, 4 * DEEP).alias("key")) for t in range(ORDERS)]))
     deep = classes.select("rep", "label", "minima").join(reps, "rep", "left_semi").select("rep", "label", orders.alias("o")).select("rep", "label", "o.tree", "o.key")
     deep = written(deep, "deep")
     parts = deep.groupBy("tree", "key", "label").agg(F.count("*").alias("n"))
     groups = parts.groupBy("tree", "key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
-    blocks_of = lambda c: F.ceil(F.col(c) / SIDE).cast("int")
-    groups = groups.select("tree", "key", "main", blocks_of("n").alias("of_all"), F.ceil((F.col("n") - F.col("top")) / SIDE).cast("int").alias("of_few"))
-    members = deep.join(groups, ["tree", "key"]).join(classes.select("rep", "sketch", "n"), "rep")
+    groups = groups.select("tree", "key", "main", F.ceil(F.col("n") / SIDE).cast("int").alias("of_all"), F.ceil((F.col("n") - F.col("top")) / SIDE).cast("int").alias("of_few"))
+    members = deep.join(groups, ["tree", "key"]).join(classes.select("rep", "minima", "sketch", "n", *more), "rep")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    cols = ["tree", "key", "rep", "label", "sketch", "n"]
+    cols = ["tree", "key", "rep", "label", "minima", "sketch", "n", *more]
     every = members.select(*cols, F.pmod(F.xxhash64("rep"), F.col("of_all")).cast("int").alias("block"), each("of_few").alias("part"), F.lit(False).alias("few"))
     few = members.where(F.col("label") != F.col("main")).select(*cols, F.pmod(F.xxhash64("rep"), F.col("of_few")).cast("int").alias("part"), each("of_all").alias("block"), F.lit(True).alias("few")).select(*every.columns)
     at = ["tree", "key", "block", "part"]
-    dealt = every.unionByName(few).repartition(partitions(classes.sparkSession), *at).sortWithinPartitions(*at)
-    schema = "a long, b long, label_a long, label_b long, cut boolean"
-
-    def compare(rows: list[tuple]) -> list[tuple]:
-        left = [r for r in rows if r[9]]
-        lab, rep = np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
-        size = np.array([r[5] for r in rows], np.int64)
-        sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, BINS)
-        right = np.flatnonzero([not r[9] for r in rows])
-        out = []
-        for k in np.flatnonzero([r[9] for r in rows]) if left else ():
+    return every.unionByName(few).repartition(partitions(classes.sparkSession), *at).sortWithinPartitions(*at)
+
+
+def _alike_in_blocks(dealt: DataFrame, exact: bool) -> DataFrame:
+    """Of the blocks' pairs in different components that the sketches do not rule out: the classes
+    (rep), or, where ``exact``, those alike on the full sets, one for a class and a component.  A
+    pair is taken in the first order that brings it together."""
+    schema = "a long, b long, label_a long, label_b long" if exact else "rep long"
+    names = ["tree", "key", "block", "part", "few", "rep", "label", "n", "minima", "sketch"] + ["shingles"] * exact
+
+    def compare(rows: list[tuple]) -> pa.RecordBatch | None:
+        cols = list(zip(*rows, strict=True))
+        few = np.array(cols[4])
+        rep, lab, size = (np.array(c, np.int64) for c in cols[5:8])
+        minima = np.frombuffer(b"".join(cols[8]), ">u4").reshape(len(rows), HASHES)[:, : DEEP * ORDERS].reshape(-1, ORDERS, DEEP)
+        sketch = np.frombuffer(b"".join(cols[9]), np.uint8).reshape(-1, BINS)
+        right = np.flatnonzero(~few)
+        found: list[tuple] = []
+        seen = np.zeros(len(rows), bool)
+        for k in np.flatnonzero(few):
             j = right[(lab[right] != lab[k]) & (100 * np.minimum(size[right], size[k]) >= SIMILAR * np.maximum(size[right], size[k]))]
-            e = _alike(sketch, size, np.full(len(j), k), j)
-            j, e = j[e >= 0], e[e >= 0]
-            order = np.lexsort((-e, lab[j]))
-            j = j[order]
-            first = np.flatnonzero(np.concatenate([[True], lab[j][1:] != lab[j][:-1]])) if len(j) else j
-            count = np.diff(np.concatenate([first, [len(j)]])) if len(j) else j
-            for a, c in zip(first.tolist(), count.tolist(), strict=True):
-                out += [(int(rep[k]), int(rep[x]), int(lab[k]), int(lab[x]), c > best) for x in j[a : a + min(c, best)]]
-        return out
+            j = j[(minima[j] == minima[k]).all(axis=2).argmax(axis=1) == rows[0][0]]
+            j = j[_alike(sketch, size, np.full(len(j), k), j) >= 0]
+            if not exact:
+                seen[j] = True
+                seen[k] |= len(j) > 0
+                continue
+            mine, done = np.frombuffer(cols[10][k], np.uint64), set()
+            for x in j.tolist():
+                if int(lab[x]) not in done:
+                    other = np.frombuffer(cols[10][x], np.uint64)
+                    both = len(np.intersect1d(mine, other, assume_unique=True))
+                    if both and 100 * both >= SIMILAR * (len(mine) + len(other) - both):
+                        done.add(int(lab[x]))
+                        found.append((int(rep[k]), int(rep[x]), int(lab[k]), int(lab[x])))
+        if not exact:
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(rep[seen]))], ["rep"]) if seen.any() else None
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "label_a", "label_b"]) if found else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        names = ["tree", "key", "rep", "label", "sketch", "n", "block", "part", "tree", "few"]
-
-        def out(rows: list[tuple]) -> pa.RecordBatch | None:
-            found = compare(rows)
-            if not found:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int64()] * 4 + [pa.bool_()], strict=True)], ["a", "b", "label_a", "label_b", "cut"])
-
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-                if held and (r[0], r[1], r[6], r[7]) != (held[0][0], held[0][1], held[0][6], held[0][7]):
-                    if x := out(held):
+                if held and r[:4] != held[0][:4]:
+                    if x := compare(held):
                         yield x
                     held = []
                 held.append(r)
-        if held and (x := out(held)):
+        if held and (x := compare(held)):
             yield x
 
-    return written(map_batches(dealt, run, schema), "crowded")
+    return map_batches(dealt.select(*names), run, schema)
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, shingles: the hashes of the set, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text", 1 << 20):
+            s, at = shingles(*text_bytes(b.column("text")))
+            sets = [s[x:y].tobytes() for x, y in zip(at.tolist(), at[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+    return map_batches(docs, run, "doc_id long, shingles binary")
+
+
+def _crowded_links(classes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """The third round."""
+    state = classes.join(labels, "rep").select("rep", "minima", "sketch", "n", "label")
+    some = written(_alike_in_blocks(_blocks(state), False).distinct(), "crowded")
+    if some.isEmpty():
+        return None
+    sets = shingle_sets(docs.join(some.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"))
+    again = written(state.join(sets.withColumnRenamed("doc_id", "rep"), "rep"), "crowded")
+    links = written(_alike_in_blocks(_blocks(again, "shingles"), True), "crowded")
+    dropped(some, again)
+    return links
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -399,19 +434,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dropped(again, links)
     if not more.isEmpty():
         labels = _relabelled(labels, confirmed(more, d))
-        seen = seen.unionByName(more.select("a", "b"))
-
-    best, cut = BEST, True
-    while cut:
-        state = classes.join(labels, "rep").select("rep", "minima", "sketch", "n", "label")
-        cand = _crowded(state, best)
-        cut = not cand.where("cut").isEmpty()
-        more = written(swapped(cand).join(seen, ["a", "b"], "left_anti"), "proposals")
-        if not more.isEmpty():
-            labels = _relabelled(labels, confirmed(more, d))
-            seen = seen.unionByName(more.select("a", "b"))
-        best *= MORE
-        dropped(cand)
+
+    links = _crowded_links(classes, labels, d)
+    if links is not None and not links.isEmpty():
+        labels = _relabelled(labels, links)
 
     by_class = classes.select("set_key", "rep").join(labels, "rep").select("set_key", F.col("label").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
