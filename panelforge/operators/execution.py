@@ -80,12 +80,13 @@ def drawdown_guard(pnl: DataFrame, limit: float = -0.05, floor: float = 0.25, wi
 
 
 def tracker(pnl: DataFrame, window: int = 20) -> DataFrame:
-    """Rolling Sharpe, mean and hit rate over the last rows, and the retrain latch: on when the
-    Sharpe of a full window is below -0.5."""
+    """Rolling Sharpe, mean and hit rate over the last rows, and the retrain latch: it fires
+    once when the Sharpe of a full window falls below -0.5, and again only after a recovery."""
     w = Window.partitionBy("formula_id").orderBy("dt").rowsBetween(-(window - 1), 0)
     s = F.avg("pnl").over(w) / (F.stddev_pop("pnl").over(w) + 1e-8) * F.sqrt(F.lit(252.0))
     x = pnl.select("formula_id", "dt", "pnl", s.alias("sharpe"), F.avg((F.col("pnl") > 0).cast("double")).over(w).alias("hit_rate"), F.count("pnl").over(w).alias("n"))
-    return x.withColumn("retrain", (F.col("n") == window) & (F.col("sharpe") < -0.5))
+    bad = (F.col("n") == window) & (F.col("sharpe") < -0.5)
+    return x.withColumn("retrain", bad & ~F.coalesce(F.lag(bad).over(Window.partitionBy("formula_id").orderBy("dt")), F.lit(False)))
 
 
 def late_labels(labels: DataFrame, steps: int = 5) -> DataFrame:

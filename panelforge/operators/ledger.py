@@ -7,6 +7,7 @@ are folds over the key's ordered history.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,35 +130,50 @@ def capital_feedback(trusted: DataFrame, positions: DataFrame, returns: DataFram
 
 
 # ---- lifecycle -------------------------------------------------------------------------------
-def lifecycle(facts: DataFrame, min_epochs: int = 5, min_ic: float = 0.02, retire_ic: float = -0.01, min_stability: float = 0.55, retire_after: int = 5) -> DataFrame:
-    """State of each formula after every epoch: a fold over its ordered history, one group per
-    formula (a formula's history is a few rows per epoch it lives)."""
+#: State (None: any), guard, next state; the first rule that applies is taken.
+TRANSITIONS = (
+    (None, "spent", "RETIRED"),
+    ("DECAYING", "overdue", "RETIRED"),
+    ("EXPERIMENTAL", "proven", "VALIDATED"),
+    ("VALIDATED", "weak", "DECAYING"),
+    ("VALIDATED", "steady", "PRODUCTION"),
+    ("PRODUCTION", "weak", "DECAYING"),
+    ("DECAYING", "recovered", "VALIDATED"),
+)
+
+
+def lifecycle(facts: DataFrame, min_epochs: int = 3, min_ic: float = 0.01, retire_ic: float = 0.005, min_stability: float = 0.60, retire_after: int = 5, half_life: float = 10.0) -> DataFrame:
+    """State of each formula after every epoch: running statistics are windows over its history,
+    then ``TRANSITIONS`` are folded over them, one group per formula (a row per epoch it lives).
+    An optional column ``msc`` must have a mean of at least 0 for production.  A formula decays
+    when the fit of ``ln |ic|``, over at least four values beyond 1e-8, has a shorter half-life."""
+    w = Window.partitionBy("formula_id").orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
+    msc = F.col("msc") if "msc" in facts.columns else F.lit(0.0)
+    x = facts.select("formula_id", "epoch", "ic", msc.alias("msc"), (F.row_number().over(Window.partitionBy("formula_id").orderBy("epoch")) - 1).cast("double").alias("t"))
+    y = F.when(F.abs("ic") > 1e-8, F.ln(F.abs("ic")))
+    rate = -F.regr_slope(y, F.col("t")).over(w)
+    h = x.select("formula_id", "epoch", F.count("*").over(w).alias("n"), F.avg("ic").over(w).alias("mean"), F.avg((F.col("ic") > 0).cast("double")).over(w).alias("stable"), F.avg("msc").over(w).alias("msc"), ((F.count(y).over(w) >= 4) & (rate > math.log(2) / half_life)).alias("falling"))
+    falling = F.coalesce("falling", F.lit(False))
+    h = h.select(
+        "formula_id",
+        "epoch",
+        ((F.col("n") >= min_epochs) & (F.col("mean") < retire_ic)).alias("spent"),
+        ((F.col("n") >= min_epochs) & (F.col("mean") >= min_ic)).alias("proven"),
+        (falling | (F.col("stable") < 0.35)).alias("weak"),
+        ((F.col("stable") >= min_stability) & (F.coalesce("msc", F.lit(0.0)) >= 0)).alias("steady"),
+        ((F.col("stable") >= 0.5) & ~falling).alias("recovered"),
+    )
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("epoch")
-        state, decaying, out, ics = "EXPERIMENTAL", 0, [], []
-        for epoch, ic in zip(pdf.epoch, pdf.ic, strict=True):
-            ics.append(ic)
-            n, mean, stable = len(ics), float(np.mean(ics)), float(np.mean([x > 0 for x in ics]))
-            falling = False
-            if n >= 4:
-                slope = np.polyfit(np.arange(n), np.log(np.maximum(np.abs(ics), 1e-6)), 1)[0]
-                falling = bool(slope < -0.05)
-            if n >= min_epochs and mean < retire_ic or state == "DECAYING" and decaying >= retire_after:
-                state = "RETIRED"
-            elif state == "EXPERIMENTAL":
-                state = "VALIDATED" if n >= min_epochs and mean >= min_ic else state
-            elif state == "VALIDATED":
-                state = "DECAYING" if falling or stable < 0.35 else "PRODUCTION" if stable >= min_stability else state
-            elif state == "PRODUCTION":
-                state = "DECAYING" if falling or stable < 0.35 else state
-            elif state == "DECAYING":
-                state = "VALIDATED" if stable >= 0.5 and not falling else state
-            decaying = decaying + 1 if state == "DECAYING" else 0
-            out.append((key[0], int(epoch), state, MULTIPLIERS[state]))
+        state, spent_in, out = "EXPERIMENTAL", 0, []
+        for row in pdf.sort_values("epoch").itertuples():
+            guard = row._asdict() | {"overdue": spent_in >= retire_after}
+            state = next((to for at, name, to in TRANSITIONS if at in (None, state) and guard[name]), state)
+            spent_in = spent_in + 1 if state == "DECAYING" else 0
+            out.append((key[0], row.epoch, state, MULTIPLIERS[state]))
         return pd.DataFrame(out, columns=["formula_id", "epoch", "state", "multiplier"])
 
-    return facts.select("formula_id", "epoch", "ic").groupBy("formula_id").applyInPandas(fold, "formula_id string, epoch long, state string, multiplier double")
+    return h.groupBy("formula_id").applyInPandas(fold, "formula_id string, epoch long, state string, multiplier double")
 
 
 def capacity(stability: Column, n: Column, msc: Column, crowding: Column, multiplier: Column) -> Column:
@@ -171,9 +187,10 @@ def retire_rule(facts: DataFrame) -> DataFrame:
 
 
 # ---- hypotheses and graph --------------------------------------------------------------------
-def hypotheses(evidence: DataFrame) -> DataFrame:
-    """Beta-Bernoulli posterior per hypothesis from its ICs, with its status."""
-    g = evidence.groupBy("hypothesis").agg(F.count("*").alias("n"), F.sum((F.col("ic") > 0).cast("long")).alias("successes"), F.avg("ic").alias("mean_ic"))
+def hypotheses(evidence: DataFrame, least_ic: float = 0.02) -> DataFrame:
+    """Beta-Bernoulli posterior per hypothesis from its ICs (a success is one above ``least_ic``),
+    with its status."""
+    g = evidence.groupBy("hypothesis").agg(F.count("*").alias("n"), F.sum((F.col("ic") > least_ic).cast("long")).alias("successes"), F.avg("ic").alias("mean_ic"))
     g = g.withColumn("confidence", (1 + F.col("successes")) / (2 + F.col("n")))
     return g.withColumn("status", F.when(F.col("n") < 3, "pending").when(F.col("confidence") < 0.30, "retired").when(F.col("confidence") > 0.50, "active").otherwise("pending"))
 

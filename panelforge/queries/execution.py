@@ -132,7 +132,7 @@ ORACLE = {
     "trade_orders": f"{ORD} SELECT dt, asset, side, round(change, 6) AS change, round(notional, 6) AS notional, round(cost_bps, 6) AS cost_bps, round(fill, 6) AS fill FROM od",
     "trade_plans": f"{ORD} SELECT dt, round(sum(abs(change)), 6) AS turnover, round(sum(cost_bps * abs(change)) / (sum(abs(change)) + 1e-8), 6) AS cost_bps, count(*) FILTER (side = 'BUY') AS n_buys, count(*) FILTER (side = 'SELL') AS n_sells FROM od GROUP BY dt",
     "drawdown_guard": f"{GUARD} SELECT formula_id, dt, round(pnl, 6) AS pnl, round(drawdown, 6) AS drawdown, round(CASE WHEN drawdown >= -0.05 THEN 1 ELSE greatest(0.25, 1 - 0.5 * least(abs(drawdown) / 0.05, 2)) END::DOUBLE, 6) AS scale FROM gd",
-    "tracker": f"{TRK} SELECT formula_id, dt, round(pnl, 6) AS pnl, round(sharpe, 6) AS sharpe, round(hit_rate, 6) AS hit_rate, n, n = 20 AND sharpe < -0.5 AS retrain FROM tk",
+    "tracker": f"{TRK} SELECT formula_id, dt, round(pnl, 6) AS pnl, round(sharpe, 6) AS sharpe, round(hit_rate, 6) AS hit_rate, n, n = 20 AND sharpe < -0.5 AND NOT coalesce(lag(n = 20 AND sharpe < -0.5) OVER (PARTITION BY formula_id ORDER BY dt), false) AS retrain FROM tk",
     "late_labels": f"{PRE}, {LABELS} SELECT dt, regime, lead(regime, 5) OVER (ORDER BY dt) AS actual FROM lab",
     "quality_report": f"""WITH b AS (SELECT date_trunc('week', o_orderdate)::DATE AS dt, o_orderpriority AS asset, round(avg(o_totalprice), 4) AS px FROM orders GROUP BY 1, 2), need(asset) AS (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW'), ('9-NONE')),
 g AS (SELECT asset, count(px) AS n, min(px) AS lowest, max(dt) AS last FROM b GROUP BY asset), t AS (SELECT count(DISTINCT dt) AS dates, max(dt) AS latest FROM b),

@@ -12,11 +12,29 @@ from panelforge.queries.scoring import rounded
 from panelforge.sources.panel import TICKERS, lineitem_panel, lineitem_sql, with_returns
 
 EPOCH = "CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT)"
-FACTS = f"""facts AS (SELECT 'f' || (o_orderkey % 50) AS formula_id, {EPOCH} AS epoch, min(o_custkey % 20) AS uid, round(avg((o_orderkey * 7919 + o_custkey * 31) % 2000) / 10000.0 - 0.08, 6) AS ic FROM orders GROUP BY 1, 2)"""
-SCORES = f"scores AS (SELECT o_custkey % 20 AS uid, {EPOCH} AS epoch, round(avg((o_orderkey * 7919) % 1000) / 1000.0 + CASE WHEN {EPOCH} % 17 = 0 THEN 0.8 ELSE 0 END, 6) AS score FROM orders GROUP BY 1, 2)"
+FACTS = f"""facts AS (SELECT 'f' || (o_orderkey % 50) AS formula_id, {EPOCH} AS epoch, min(o_custkey % 20) AS uid, CAST(sum((o_orderkey * 7919 + o_custkey * 31) % 2000) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1e4 - 8e-2 AS ic FROM orders GROUP BY 1, 2)"""
+SCORES = f"scores AS (SELECT o_custkey % 20 AS uid, {EPOCH} AS epoch, CAST(sum((o_orderkey * 7919) % 1000) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1e3 + CASE WHEN {EPOCH} % 17 = 0 THEN 8e-1 ELSE 0e0 END AS score FROM orders GROUP BY 1, 2)"
 ROLES = "CASE uid % 5 WHEN 0 THEN 'signal' WHEN 1 THEN 'strategy' WHEN 2 THEN 'risk' WHEN 3 THEN 'portfolio' ELSE 'meta' END"
 SUBS = f"subs AS (SELECT o_custkey % 20 AS uid, {EPOCH} AS epoch, CASE WHEN o_orderkey % 11 = 0 THEN '__import__(os)' WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 17 = 0 THEN 'a;b' ELSE ' rank(momentum_' || (o_orderkey % 7 * 5 + 5) || 'd) ' END AS formula FROM orders)"
 LINKS = "links AS (SELECT DISTINCT 'f' || (o_orderkey % 50) AS formula_id, 'h' || (o_custkey % 9) AS hypothesis FROM orders WHERE o_orderkey % 50 < 40 AND o_custkey % 9 < 7 AND o_custkey % 4 = 1 AND o_orderkey % 3 = 0)"
+#: States of all formulas after every epoch, as a recursive walk over their histories.
+LIFE = f"""WITH RECURSIVE {FACTS},
+h0 AS (SELECT formula_id, epoch, ic, row_number() OVER (PARTITION BY formula_id ORDER BY epoch) AS k FROM facts),
+h1 AS (SELECT formula_id, epoch, k, avg(ic) OVER w AS mean, avg((ic > 0)::INT) OVER w AS stable,
+  count(*) FILTER (abs(ic) > 1e-8) OVER w >= 4 AND coalesce(-regr_slope(CASE WHEN abs(ic) > 1e-8 THEN ln(abs(ic)) END, k::DOUBLE) OVER w > ln(2) / 10, false) AS falling
+  FROM h0 WINDOW w AS (PARTITION BY formula_id ORDER BY epoch ROWS UNBOUNDED PRECEDING)),
+life AS (SELECT DISTINCT formula_id, 0::BIGINT AS k, 0::BIGINT AS epoch, 'EXPERIMENTAL' AS state, 0 AS d FROM facts
+  UNION ALL
+  SELECT formula_id, k, epoch, state, CASE WHEN state = 'DECAYING' THEN d + 1 ELSE 0 END FROM (
+    SELECT h1.formula_id, h1.k, h1.epoch, d, CASE
+      WHEN h1.k >= 3 AND mean < 0.005 THEN 'RETIRED'
+      WHEN state = 'DECAYING' AND d >= 5 THEN 'RETIRED'
+      WHEN state = 'EXPERIMENTAL' AND h1.k >= 3 AND mean >= 0.01 THEN 'VALIDATED'
+      WHEN state IN ('VALIDATED', 'PRODUCTION') AND (falling OR stable < 0.35) THEN 'DECAYING'
+      WHEN state = 'VALIDATED' AND stable >= 0.6 THEN 'PRODUCTION'
+      WHEN state = 'DECAYING' AND stable >= 0.5 AND NOT falling THEN 'VALIDATED'
+      ELSE state END AS state
+    FROM life JOIN h1 ON h1.formula_id = life.formula_id AND h1.k = life.k + 1))"""
 POS = "pos AS (SELECT user_id % 15 AS uid, 's' || (event_id % 6) AS signal, CASE WHEN (event_id * 7 + user_id) % 3 = 0 THEN 'SHORT' ELSE 'LONG' END AS direction, event_id % 12 / 10.0 AS stake, event_id % 7 / 10.0 + 0.4 AS confidence FROM events)"
 ACTUAL = "actual AS (SELECT DISTINCT 's' || (event_id % 6) AS signal, (event_id % 6 % 3 - 1) * 0.05 AS actual_ic FROM events)"
 PROP = "prop AS (SELECT c_custkey % 6 AS validator, CASE c_custkey % 3 WHEN 0 THEN 'signal' WHEN 1 THEN 'risk' ELSE 'meta' END AS role, c_custkey % 13 AS uid, sum(c_custkey % 29 + 1) * 1.0 AS v FROM customer GROUP BY 1, 2, 3)"
@@ -162,7 +180,9 @@ lr AS (SELECT dt, asset, lret FROM p WHERE lret IS NOT NULL QUALIFY row_number()
 SELECT tl.uid, round(trust, 6) AS trust, round(annual, 6) AS annual, round(CASE WHEN annual IS NULL THEN trust ELSE greatest(0, 0.8 * trust + 0.2 * tanh(annual / 0.3)) END, 6) AS adjusted FROM tl LEFT JOIN an USING (uid)""",
     "retire_rule": f"WITH {FACTS} SELECT formula_id, count(*) AS n, round(avg(ic), 6) AS mean_ic, round(avg((ic > 0)::INT), 6) AS stability, count(*) >= 5 AND avg(ic) < 0.01 AND avg((ic > 0)::INT) < 0.3 AS retire FROM facts GROUP BY formula_id",
     "decay_fit": f"WITH {FACTS}, y AS (SELECT formula_id, (epoch - 23904)::DOUBLE AS t, ln(greatest(abs(ic), 1e-6)) AS y FROM facts), rg AS (SELECT formula_id, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept, regr_r2(y, t) AS r2, count(*) AS n FROM y GROUP BY 1) SELECT formula_id, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, n, round(CASE WHEN slope < 0 THEN ln(2.0) / -slope END, 6) AS half_life FROM rg",
-    "hypothesis_update": f"WITH {EVID}, hy AS (SELECT hypothesis, count(*) AS n, sum((ic > 0)::INT)::BIGINT AS successes, avg(ic) AS mean_ic FROM evid GROUP BY 1) SELECT hypothesis, n, successes, round(mean_ic, 6) AS mean_ic, round((1 + successes) / (2 + n), 6) AS confidence, CASE WHEN n < 3 THEN 'pending' WHEN (1 + successes) / (2 + n) < 0.3 THEN 'retired' WHEN (1 + successes) / (2 + n) > 0.5 THEN 'active' ELSE 'pending' END AS status FROM hy",
+    "lifecycle": f"{LIFE} SELECT formula_id, epoch, state, CASE {' '.join(f"WHEN state = '{k}' THEN {v}" for k, v in L.MULTIPLIERS.items())} END::DOUBLE AS multiplier FROM life WHERE k > 0",
+    "lifecycle_counts": f"{LIFE} SELECT state, count(*) AS n FROM (SELECT * FROM life QUALIFY row_number() OVER (PARTITION BY formula_id ORDER BY k DESC) = 1) GROUP BY 1",
+    "hypothesis_update": f"WITH {EVID}, hy AS (SELECT hypothesis, count(*) AS n, sum((ic > 0.02)::INT)::BIGINT AS successes, avg(ic) AS mean_ic FROM evid GROUP BY 1) SELECT hypothesis, n, successes, round(mean_ic, 6) AS mean_ic, round((1 + successes) / (2 + n), 6) AS confidence, CASE WHEN n < 3 THEN 'pending' WHEN (1 + successes) / (2 + n) < 0.3 THEN 'retired' WHEN (1 + successes) / (2 + n) > 0.5 THEN 'active' ELSE 'pending' END AS status FROM hy",
     "graph_propagation": f"WITH {EVID} SELECT hypothesis, formula_id, epoch, ic::DOUBLE AS ic FROM evid",
     "knowledge_degrees": f"WITH {FACTS}, {LINKS} SELECT f.formula_id AS node, count(hypothesis) AS degree, 'formula' AS kind FROM (SELECT DISTINCT formula_id FROM facts) f LEFT JOIN links USING (formula_id) GROUP BY 1 UNION ALL SELECT h.hypothesis, count(formula_id), 'hypothesis' FROM (SELECT 'h' || i AS hypothesis FROM range(9) t(i)) h LEFT JOIN links USING (hypothesis) GROUP BY 1",
     "shared_formulas": f"WITH {LINKS} SELECT x.hypothesis AS a, y.hypothesis AS b, count(*) AS shared FROM links x JOIN links y ON x.formula_id = y.formula_id AND x.hypothesis < y.hypothesis GROUP BY 1, 2",

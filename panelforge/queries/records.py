@@ -98,7 +98,7 @@ SELECT uid, round(ic, 6) AS ic, round(msc, 6) AS msc, round(reward, 6) AS reward
     "round_trip_costs": f"WITH ct(asset, spread_bps, eta, adv_bn) AS (VALUES {CT}) SELECT asset, round(spread_bps + 2 * eta * 0.01 * sqrt(1e6 * 0.05 / (adv_bn * 1e9)) * 1e4, 6)::DOUBLE AS bps FROM ct",
     "annual_drag": f"""WITH ct(asset, spread_bps, eta, adv_bn) AS (VALUES {CT}), u AS (SELECT unnest(['SPY','TLT','HYG','EEM','GLD','DBC','IWM','ZZZ']) AS asset), m AS (SELECT avg(coalesce(spread_bps, 5.0)) AS s, avg(coalesce(eta, 0.15)) AS e, avg(coalesce(adv_bn, 0.2)) AS a, count(*) AS n FROM u LEFT JOIN ct USING (asset)),
 c AS (SELECT unnest([1e3, 1e4, 1e5, 1e6]) AS capital) SELECT capital, round(0.2 * (s / 2e4 + e * 0.01 * sqrt(capital * 0.2 / n / (a * 1e9))) * 252, 6) AS drag FROM m CROSS JOIN c""",
-    "hypothesis_matching": f"""WITH {EVID}, hy AS (SELECT hypothesis, (1 + sum((ic > 0)::INT)) / (2 + count(*)) AS confidence FROM evid GROUP BY 1), hc AS (SELECT *, {CATS} AS category FROM hy), b AS (SELECT category, arg_max(hypothesis, (confidence, hypothesis)) AS hypothesis FROM hc GROUP BY 1),
+    "hypothesis_matching": f"""WITH {EVID}, hy AS (SELECT hypothesis, (1 + sum((ic > 0.02)::INT)) / (2 + count(*)) AS confidence FROM evid GROUP BY 1), hc AS (SELECT *, {CATS} AS category FROM hy), b AS (SELECT category, arg_max(hypothesis, (confidence, hypothesis)) AS hypothesis FROM hc GROUP BY 1),
 f AS (SELECT unnest({SOME}) AS formula), fc AS (SELECT formula, {CAT} AS category FROM f) SELECT fc.formula, fc.category, b.hypothesis FROM fc LEFT JOIN b USING (category)""",
     "strategy_combine": f"{PRE}, {LINEAR_SQL}, wt(formula_id, weight) AS (VALUES ('mom', 0.6), ('mix', 0.4)) SELECT dt, asset, round(sum(weight * val), 6) AS val FROM sig JOIN wt USING (formula_id) WHERE val IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 2",
     "regime_returns": f"{PRE}, {LABELS} SELECT dt, asset, round(px / lag(px) OVER (PARTITION BY asset ORDER BY dt) - 1, 6) AS ret FROM p WHERE dt IN (SELECT dt FROM lab WHERE regime = 'normal')",

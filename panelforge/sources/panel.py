@@ -65,11 +65,16 @@ def with_returns(panel: DataFrame) -> DataFrame:
     )
 
 
+def _total(col: str):
+    """A sum in decimals, which no order of rows changes, as a double."""
+    return F.sum(F.col(col).cast("decimal(18,2)")).cast("double")
+
+
 def lineitem_panel(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
     """Average price per unit of the seven line numbers, by week or day."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     tick = F.element_at(F.array(*map(F.lit, TICKERS)), F.col("l_linenumber").cast("int"))
-    px = F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 4)
+    px = _total("l_extendedprice") / _total("l_quantity")
     bars = li.groupBy(F.date_trunc(unit, "l_shipdate").cast("date").alias("dt"), tick.alias("asset"), F.col("l_linenumber").cast("int").alias("asset_ord")).agg(px.alias("px"))
     return complete(bars)
 
@@ -103,7 +108,7 @@ def lineitem_sql(unit: str = "week") -> str:
     ticks = ", ".join(f"'{t}'" for t in TICKERS)
     return _sql(
         f"""SELECT date_trunc('{unit}', l_shipdate)::DATE AS dt, ([{ticks}])[l_linenumber] AS asset, l_linenumber::INT AS asset_ord,
-  round(sum(l_extendedprice) / sum(l_quantity), 4) AS px FROM lineitem GROUP BY 1, 2, 3"""
+  sum(l_extendedprice::DECIMAL(18, 2))::DOUBLE / sum(l_quantity::DECIMAL(18, 2))::DOUBLE AS px FROM lineitem GROUP BY 1, 2, 3"""
     )
 
 

@@ -83,29 +83,32 @@ def market(spark: SparkSession, model: str, assets: list[str], start: str, n: in
 
 #: Volatility factor, days, and total moves of the named shocks.
 SHOCKS = {
-    "rates_up_200bps": (1.6, 126, {"TLT": -0.26, "HYG": -0.12, "GLD": -0.03}),
-    "rates_down_100bps": (0.85, 126, {"TLT": 0.12, "HYG": 0.06, "SPY": 0.08, "GLD": 0.05}),
-    "equity_crash_30pct": (3.5, 63, {"SPY": -0.30, "IWM": -0.38, "EEM": -0.40, "HYG": -0.22, "DBC": -0.25, "TLT": 0.18, "GLD": 0.10}),
-    "oil_spike_50pct": (2.0, 42, {"DBC": 0.35, "GLD": 0.12, "TLT": -0.10, "EEM": -0.12, "SPY": -0.08}),
-    "china_crisis": (2.2, 45, {"EEM": -0.27, "DBC": -0.18, "TLT": 0.10, "GLD": 0.14, "SPY": -0.10}),
-    "soft_landing": (0.7, 252, {"SPY": 0.12, "IWM": 0.14, "TLT": 0.05, "HYG": 0.06, "EEM": 0.10}),
-    "stagflation": (2.0, 252, {"SPY": -0.20, "TLT": -0.18, "GLD": 0.28, "DBC": 0.22, "HYG": -0.14, "IWM": -0.24}),
-    "ai_boom": (0.85, 252, {"SPY": 0.22, "IWM": 0.14, "GLD": -0.03, "TLT": -0.04, "DBC": -0.08}),
+    "rates_up_200bps": (1.6, 126, {"TLT": -0.26, "IEF": -0.15, "HYG": -0.12, "QQQ": -0.18, "VNQ": -0.22, "GLD": -0.03}),
+    "rates_down_100bps": (0.85, 126, {"TLT": 0.12, "IEF": 0.07, "HYG": 0.06, "QQQ": 0.10, "SPY": 0.08, "GLD": 0.05}),
+    "equity_crash_30pct": (3.5, 63, {"SPY": -0.30, "QQQ": -0.35, "IWM": -0.38, "EEM": -0.40, "VNQ": -0.44, "FXI": -0.42, "HYG": -0.22, "DBC": -0.25, "TLT": 0.18, "GLD": 0.10}),
+    "oil_spike_50pct": (2.0, 42, {"DBC": 0.35, "GLD": 0.12, "TLT": -0.10, "QQQ": -0.14, "EEM": -0.12, "SPY": -0.08}),
+    "china_crisis": (2.2, 45, {"FXI": -0.38, "EEM": -0.27, "DBC": -0.18, "TLT": 0.10, "GLD": 0.14, "SPY": -0.10, "QQQ": -0.08}),
+    "soft_landing": (0.7, 252, {"SPY": 0.12, "QQQ": 0.18, "IWM": 0.14, "TLT": 0.05, "HYG": 0.06, "EEM": 0.10}),
+    "stagflation": (2.0, 252, {"SPY": -0.20, "QQQ": -0.28, "TLT": -0.18, "GLD": 0.28, "DBC": 0.22, "HYG": -0.14, "IWM": -0.24}),
+    "ai_boom": (0.85, 252, {"QQQ": 0.35, "SPY": 0.22, "IWM": 0.14, "GLD": -0.03, "TLT": -0.04, "DBC": -0.08}),
 }
 
 
 def shocked(panel: DataFrame, scenario: str, seed: int = 1) -> DataFrame:
-    """The panel with its first rows replaced by the scenario's drift and wider noise, and the
-    rest rebased on them: a running sum of new log returns."""
+    """The panel with the returns of its first days replaced, and the rest rebased on them: a
+    running sum of new log returns.  Assets that the scenario moves drift by an equal part of the
+    move a day, with noise of the widened volatility; all others keep their own returns, with
+    noise of the volatility's widening alone."""
     from panelforge.sources.panel import own_rows, with_returns
 
     factor, days, moves = SHOCKS[scenario]
-    drift = F.coalesce(*[F.when(F.col("asset") == t, F.lit(v)) for t, v in moves.items()], F.lit(0.0))
+    move = F.coalesce(*[F.when(F.col("asset") == t, F.lit(v)) for t, v in moves.items()])
     x = with_returns(panel)
-    sigma = F.stddev_samp("lret").over(own_rows().rowsBetween(-(1 << 30), 1 << 30))
+    sigma = F.stddev_pop(F.coalesce("lret", F.lit(0.0))).over(own_rows().rowsBetween(-(1 << 30), 1 << 30)) + 1e-8
     u = lambda k: (F.pmod(F.xxhash64(F.lit(seed * 10 + k), F.lit(scenario), "asset", "dt"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     z = F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * 3.141592653589793 * u(2))
-    x = x.withColumn("new", F.when(F.col("rn") == 1, 0.0).when(F.col("rn") <= days, F.ln(1 + drift) / days + sigma * factor * z).otherwise(F.col("lret")))
+    new = F.when(move.isNotNull(), move / days + sigma * factor * z).otherwise(F.col("lret") + sigma * max(0.0, factor - 1) * z)
+    x = x.withColumn("new", F.when(F.col("rn") == 1, 0.0).when(F.col("rn") <= days + 1, new).otherwise(F.col("lret")))
     first = F.first("px").over(by_asset())
     return x.select("dt", "asset", "asset_ord", (first * F.exp(F.sum("new").over(by_asset()))).alias("px"))
 

@@ -26,7 +26,7 @@ def test_guard(spark):
 def test_trust_and_lifecycle(spark):
     rows = [("a", e, 0.05) for e in range(8)] + [("b", e, -0.05) for e in range(8)]
     states = {(r.formula_id, r.epoch): r.state for r in L.lifecycle(spark.createDataFrame(rows, "formula_id string, epoch long, ic double")).collect()}
-    assert states["a", 3] == "EXPERIMENTAL" and states["a", 4] == "VALIDATED" and states["a", 7] == "PRODUCTION" and states["b", 5] == "RETIRED"
+    assert states["a", 1] == "EXPERIMENTAL" and states["a", 2] == "VALIDATED" and states["a", 3] == "PRODUCTION" and states["b", 1] == "EXPERIMENTAL" and states["b", 2] == "RETIRED"
     t = L.trust(spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.0), (1, 3, 0.0)], "uid int, epoch int, score double")).orderBy("epoch").collect()
     assert [r.trust for r in t] == pytest.approx([1.0, 0.9, 0.81])
 
