@@ -106,10 +106,8 @@ QUERIES = {
     "capital_engine": lambda s, d: rounded(E.capital_engine(_capital(s, d))),
     "backtest": lambda s, d: rounded(E.backtest(_constrained(s, d), with_returns(lineitem_panel(s, d)).select("dt", "asset", "ret"))),
     "quality_report": lambda s, d: rounded(files.quality_report(_sparse(s, d), ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "9-NONE"])),
-    "asof_backward": lambda s, d: rounded(A.asof(_bars(s, d).where("event_id % 50 = 7").select("event_id", "event_type", "ts"), _bars(s, d).where("event_id % 3 = 0").groupBy("event_type", "ts").agg(F.max("value").alias("value")), "ts", "value", ("event_type",))),
-    "asof_nearest": lambda s, d: rounded(A.asof(orders_panel(s, d).where("asset_ord = 1").select("dt", "asset"), lineitem_panel(s, d).where("asset = 'SPY' AND month(dt) % 3 = 0").select("dt", "px"), "dt", "px", (), "nearest")),
-    "asof_backward_all": lambda s, d: rounded(A.asof(_bars(s, d).select("event_id", "event_type", "ts"), _hours(s, d), "ts", "value", ("event_type",))),
-    "asof_nearest_all": lambda s, d: rounded(A.asof(_order_days(s, d), lineitem_panel(s, d).select("asset_ord", "dt", "px"), "dt", "px", ("asset_ord",), "nearest")),
+    "asof_backward": lambda s, d: rounded(A.asof(_bars(s, d).select("event_id", "event_type", "ts"), _hours(s, d), "ts", "value", ("event_type",))),
+    "asof_nearest": lambda s, d: rounded(A.asof(_order_days(s, d), lineitem_panel(s, d).select("asset_ord", "dt", "px"), "dt", "px", ("asset_ord",), "nearest")),
     "bars_tumbling": lambda s, d: rounded(B.bars(_bars(s, d), "1 hour")),
     "bars_sliding": lambda s, d: rounded(B.bars(_bars(s, d), "2 hours", "1 hour")),
     "sessions": lambda s, d: rounded(B.sessions(_bars(s, d), "30 minutes")),
@@ -138,11 +136,8 @@ ORACLE = {
 g AS (SELECT asset, count(px) AS n, min(px) AS lowest, max(dt) AS last FROM b GROUP BY asset), t AS (SELECT count(DISTINCT dt) AS dates, max(dt) AS latest FROM b),
 x AS (SELECT need.asset, 1 - coalesce(n, 0) / dates AS missing, lowest, last, n, latest FROM need LEFT JOIN g USING (asset) CROSS JOIN t)
 SELECT asset, round(missing, 6) AS missing, round(lowest, 6) AS lowest, last, array_to_string(list_filter([CASE WHEN n IS NULL THEN 'absent' END, CASE WHEN missing > 0.05 THEN 'gaps' END, CASE WHEN lowest <= 0 THEN 'price' END, CASE WHEN latest - last > 5 THEN 'stale' END], lambda v: v IS NOT NULL), ',') AS problems FROM x""",
-    "asof_backward": "WITH l AS (SELECT event_id, event_type, ts FROM events WHERE event_id % 50 = 7), r AS (SELECT event_type, ts, max(value) AS value FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2) SELECT l.event_id, l.event_type, l.ts, round(r.value, 6) AS value FROM l ASOF LEFT JOIN r ON l.event_type = r.event_type AND l.ts >= r.ts",
-    "asof_nearest": f"""WITH {lineitem_sql()}, r AS (SELECT dt, px FROM p WHERE asset = 'SPY' AND month(dt) % 3 = 0), l AS (SELECT DISTINCT date_trunc('week', o_orderdate)::DATE AS dt FROM orders),
-n AS (SELECT l.dt, px FROM l CROSS JOIN r QUALIFY row_number() OVER (PARTITION BY l.dt ORDER BY abs(l.dt - r.dt), r.dt) = 1) SELECT dt, '1-URGENT' AS asset, round(px, 6) AS px FROM n""",
-    "asof_backward_all": f"WITH e AS ({EV}), r AS (SELECT event_type, h + INTERVAL 1 HOUR AS ts, max(value) AS value FROM e GROUP BY 1, 2) SELECT l.event_id, l.event_type, l.ts, round(r.value, 6) AS value FROM e l ASOF LEFT JOIN r ON l.event_type = r.event_type AND l.ts >= r.ts",
-    "asof_nearest_all": f"""WITH {lineitem_sql()}, r AS (SELECT asset_ord, dt, px FROM p), l AS (SELECT o_orderkey, (o_orderkey % 7 + 1)::INT AS asset_ord, o_orderdate::DATE AS dt FROM orders),
+    "asof_backward": f"WITH e AS ({EV}), r AS (SELECT event_type, h + INTERVAL 1 HOUR AS ts, max(value) AS value FROM e GROUP BY 1, 2) SELECT l.event_id, l.event_type, l.ts, round(r.value, 6) AS value FROM e l ASOF LEFT JOIN r ON l.event_type = r.event_type AND l.ts >= r.ts",
+    "asof_nearest": f"""WITH {lineitem_sql()}, r AS (SELECT asset_ord, dt, px FROM p), l AS (SELECT o_orderkey, (o_orderkey % 7 + 1)::INT AS asset_ord, o_orderdate::DATE AS dt FROM orders),
 b AS (SELECT l.*, r.dt AS bt, r.px AS bp FROM l ASOF LEFT JOIN r ON l.asset_ord = r.asset_ord AND l.dt >= r.dt), n AS (SELECT b.*, r.dt AS ft, r.px AS fp FROM b ASOF LEFT JOIN r ON b.asset_ord = r.asset_ord AND b.dt <= r.dt)
 SELECT o_orderkey, asset_ord, dt, round(CASE WHEN ft IS NULL OR dt - bt <= ft - dt THEN bp ELSE fp END, 6) AS px FROM n""",
     "bars_tumbling": _bars_sql(1),

@@ -49,7 +49,7 @@ def test_query(spark, sf_dir, duck, name):
     assert not bad, bad[:3]
 
 
-@pytest.mark.parametrize(("name", "table", "key"), [("asof_backward_all", "events", "event_id"), ("asof_nearest_all", "orders", "o_orderkey")])
+@pytest.mark.parametrize(("name", "table", "key"), [("asof_backward", "events", "event_id"), ("asof_nearest", "orders", "o_orderkey")])
 def test_asof_takes_all_rows(spark, sf_dir, name, table, key):
     got = registry.queries()[name](spark, sf_dir)
     every = spark.read.parquet(f"{sf_dir}/{table}.parquet")
