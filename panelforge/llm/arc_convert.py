@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, map_batches, shared_dir, written
+from .common import blocks, dropped, map_batches, shared_dir, written
 
 ARC_BYTES = 1 << 20
 WARC_RECORDS = 20_000
@@ -211,7 +211,8 @@ def convert(archives: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Convert ARC files to WARC files in ``path``.  The archives are written to the shared folder
     first, so that a record's place in them stays what it is.  Only keys and digests are grouped
     to find the responses; blocks are dealt once, by digest, where a hot one is split."""
-    r = arc_records(written(archives.select("archive", "content"), "arc"))
+    kept = written(archives.select("archive", "content"), "arc", "zstd")
+    r = arc_records(kept)
     key = F.expr("try_cast(key as bigint)")
     page = F.col("type") != "version"
     first = r.where(page & (F.col("size") >= least_bytes)).groupBy("digest").agg(F.min_by(F.struct("key", "url", "date", "archive", "at"), F.struct(key.isNull(), key, "key", "url", "archive", "at")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
@@ -229,6 +230,7 @@ def convert(archives: DataFrame, path: str, least_bytes: int = 0) -> None:
     # The text writer puts a string's bytes down as they are, and the separator after each.
     members = map_batches(j, run, "value binary").select(F.col("value").cast("string").alias("value"))
     members.write.option("lineSep", "\0").option("maxRecordsPerFile", WARC_RECORDS).text(path)
+    dropped(kept)
 
 
 def parse_warc(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
