@@ -12,11 +12,11 @@ Layout of a store (a folder; Parquet throughout):
   little-endian, 2 bytes each where all vocabulary ids fit, else 4);
 * ``recipes``  bucket int, run long, doc_id long, start long, n_tokens long, root binary, digests
   binary (16 bytes each), uid binary; files and rows ascend by doc_id;
-* ``manifest`` level int (0 runs, 1 buckets, 2 all), bucket int, run long, first_start long,
+* ``manifest/of=<level>`` level int (0 runs, 1 buckets, 2 all), bucket int, run long, first_start long,
   n_docs long, n_tokens long, root binary.
 
-Reading builds the tree anew from the recipes and compares it with the manifest, both ways; it
-checks every stored chunk against its digest and every recipe against its root.  The crc32 of a
+Reading builds each level of the tree anew from the level below it and compares it with the manifest,
+both ways; it checks every stored chunk against its digest and every recipe against its root.  The crc32 of a
 document is combined from those of its chunks, so that no chunk is moved again.
 
 Defined results: a null or empty text is its end id alone; equal rows get a recipe each and
@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -190,7 +191,8 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     run = F.floor((F.row_number().over(order) - 1) / RUN)
     rec = rec.repartitionByRange(partitions(spark), "bucket").join(F.broadcast(bases), "bucket").withColumn("start", F.col("base") + before).withColumn("run", run.cast("long"))
     rec.select("bucket", "run", "doc_id", "start", "n_tokens", "root", "digests", "uid").sortWithinPartitions("bucket", "start").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _manifest(spark, path).write.parquet(f"{path}/manifest")
+    for level in range(3):
+        _level(spark, path, level).write.parquet(f"{path}/manifest/of={level}")
     delete(spark, f"{path}/spool")
 
 
@@ -212,11 +214,17 @@ def _nodes(rows: DataFrame, level: int, *by: str) -> DataFrame:
     return map_batches(groups, roots, MANIFEST)
 
 
-def _manifest(spark: SparkSession, path: str) -> DataFrame:
+def _level(spark: SparkSession, path: str, level: int) -> DataFrame:
+    """The manifest's nodes of a level, built from what lies below it on disk: the recipes, or the
+    nodes of the level before."""
+    if level:
+        return _nodes(_kept(spark, path, level - 1), level, *["bucket"] * (level == 1))
     leaves = recipes(spark, path).select("bucket", "run", F.col("start").alias("first_start"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root")
-    runs = _nodes(leaves, 0, "bucket", "run")
-    buckets = _nodes(runs, 1, "bucket")
-    return runs.unionByName(buckets).unionByName(_nodes(buckets, 2))
+    return _nodes(leaves, 0, "bucket", "run")
+
+
+def _kept(spark: SparkSession, path: str, level: int) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest/of={level}")
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -224,11 +232,11 @@ def recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes that only the manifest or only the recipes on disk have: none in a sound store."""
-    kept = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").withColumn("side", F.lit(1))
-    both = kept.unionByName(_manifest(spark, path).withColumn("side", F.lit(-1)))
+    """Nodes that only the manifest has, or only what lies below them on disk gives: none in a sound
+    store.  Each level is compared with the one below it, so the root vouches for all recipes."""
+    sides = [x.withColumn("side", F.lit(n)) for level in range(3) for x, n in ((_kept(spark, path, level), 1), (_level(spark, path, level), -1))]
     names = [c.split(" ")[0] for c in MANIFEST.split(", ")]
-    return both.groupBy(*names).agg(F.sum("side").alias("side")).where("side <> 0")
+    return reduce(DataFrame.unionByName, sides).groupBy(*names).agg(F.sum("side").alias("side")).where("side <> 0")
 
 
 def read_chunks(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
