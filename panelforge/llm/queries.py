@@ -18,6 +18,9 @@ MODULES = (
     "line_rules",
     "merge_prefix",
     "token_store",
+    "collocations",
+    "source_audit",
+    "fm_dedup",
 )
 
 
