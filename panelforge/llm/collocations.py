@@ -4,8 +4,9 @@ their parts would by chance.
 A first pass puts the hashes of all runs of one to ``LONGEST`` words, per language, into a sketch;
 its counts are upper bounds.  A second pass takes, in each shard of texts, the runs whose bucket
 and whose shorter runs reach the threshold, compiles them into Aho-Corasick automata over words
-guarded by delimiters, and counts all overlapping matches.  The counts of all shards are summed
-and held against the threshold, so hash collisions change nothing.  An automaton holds at most
+guarded by delimiters, and counts all overlapping matches.  The counts of a task's
+shards, packed by bucket of phrases, are summed in the task that a bucket is dealt to, and held
+against the threshold, so hash collisions change nothing.  An automaton holds at most
 ``PATTERNS`` phrases of one shard: neither the number of candidates nor the table's size enters a
 task's memory.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_batches, mix, span_hash, text_bytes, word_spans, written
+from .common import LOWER, map_batches, mix, partitions, span_hash, text_bytes, word_spans, written
 from .sketch import bits_for, gathered, heavy_buckets, passes
 
 LEAST = 100
@@ -37,6 +39,8 @@ UNIT = 1000
 TOP = 2000
 SHARD = 4 << 20
 PATTERNS = 50_000
+#: Phrases that a task holds before it sends their counts; buckets of phrases a partition.
+HELD, BUCKETS = 400_000, 16
 #: Languages whose totals are broadcast.
 SENT_LANGUAGES = 100_000
 #: What ends a piece, what parts words.
@@ -108,7 +112,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         g = np.concatenate(_runs(b, longest)[-1])
         return g[g != 0]
 
-    bitmap = d.sparkSession.sparkContext.broadcast(heavy_buckets(d, "text", hashes, bits, least)[0])
+    bitmap = d.sparkSession.sparkContext.broadcast(heavy_buckets(d, lambda x: gathered(x, "text"), hashes, bits, least)[0])
 
     def candidates(b: pa.RecordBatch, often: np.ndarray) -> list[str]:
         """The distinct runs of a shard, of one language, that may be frequent."""
@@ -127,25 +131,66 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
                 out.append(re.sub(rb"[ \t]+", b" ", raw[x:y]).decode())
         return out
 
+    n_buckets = BUCKETS * partitions(d.sparkSession)
+
+    def packed(held: dict[str, dict[str, int]]) -> Batches:
+        """The counts so far, a row per bucket of phrases and language."""
+        rows = []
+        for lang, counts in held.items():
+            phrases, n = list(counts), np.array(list(counts.values()), np.int64)
+            to = np.array([zlib.crc32(p.encode()) % n_buckets for p in phrases])
+            order = np.argsort(to, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                rows.append((int(to[part[0]]), lang, "\n".join([phrases[i] for i in part.tolist()]), n[part].tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.string(), pa.binary()), strict=True)], ["bucket", "lang", "phrases", "n"])
+
     def run(batches: Batches) -> Batches:
-        often = np.frombuffer(bitmap.value, np.uint8)
+        often, held, size = np.frombuffer(bitmap.value, np.uint8), {}, 0
         for whole in gathered(batches, "text", SHARD):
             langs = np.array(whole.column("lang").to_pylist(), object)
             for lang in dict.fromkeys(langs.tolist()):
                 b = whole.filter(pa.array(langs == lang))
                 data, off = text_bytes(b.column("text"))
-                words = len(word_spans(data, off, _OUTSIDE)[0])
-                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([""]), pa.array([words], pa.int64())], ["lang", "phrase", "n"])
+                counts = held.setdefault(lang, {"": 0})
+                counts[""] += len(word_spans(data, off, _OUTSIDE)[0])
                 phrases = candidates(b, often)
                 if not phrases:
                     continue
+                before = len(counts)
                 raw = data.tobytes()
                 texts = b"\n".join(raw[x:y] for x, y in zip(off.tolist(), off[1:].tolist(), strict=False))
                 for part, n in count_in(texts, phrases, patterns):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
-
-    rows = map_batches(d, run, "lang string, phrase string, n long")
-    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == ""))
+                    for p, k in zip(part, n.tolist(), strict=True):
+                        counts[p] = counts.get(p, 0) + k
+                size += len(counts) - before
+            if size > HELD:
+                yield from packed(held)
+                held, size = {}, 0
+        yield from packed(held)
+
+    def add(batches: Batches) -> Batches:
+        """Sums of one bucket after the other; phrases that reach the threshold go on."""
+        at, held = None, {}
+
+        def out() -> Batches:
+            for lang, counts in held.items():
+                some = [(p, n) for p, n in counts.items() if n >= least or not p]
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([p for p, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["lang", "phrase", "n"])
+
+        for b in batches:
+            for bucket, lang, phrases, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != at:
+                    yield from out()
+                    at, held = bucket, {}
+                counts = held.setdefault(lang, {})
+                for p, k in zip(phrases.split("\n"), np.frombuffer(n, np.int64).tolist(), strict=True):
+                    counts[p] = counts.get(p, 0) + k
+        yield from out()
+
+    rows = map_batches(d, run, "bucket int, lang string, phrases string, n binary")
+    return map_batches(rows.repartition(partitions(d.sparkSession), "bucket").sortWithinPartitions("bucket"), add, "lang string, phrase string, n long")
 
 
 def score(counts: DataFrame, percent: int = COVERED_PERCENT) -> DataFrame:

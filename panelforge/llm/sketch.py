@@ -55,7 +55,9 @@ def bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+def binary_rows(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A column of the packed parts of an array between neighbouring cuts."""
+    data = np.ascontiguousarray(data)
     off = (cuts * data.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(off), pa.py_buffer(data)])
 
@@ -69,15 +71,28 @@ def _counts(hashes: np.ndarray, bits: int) -> pa.RecordBatch:
     part = b >> np.uint32(SLICE_BITS)
     cuts = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(b))
     at = (b & np.uint32((1 << SLICE_BITS) - 1)).astype(np.uint16)
-    return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), _binary(at, cuts), _binary(n, cuts)], ["slice", "at", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), binary_rows(at, cuts), binary_rows(n, cuts)], ["slice", "at", "n"])
 
 
-def heavy_buckets(docs: DataFrame, text: str, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int, *least: int) -> list[bytes]:
-    """For each of ``least`` a bit per bucket: does it count at least so many?  ``hashes`` gives
-    the 64-bit hashes of all items of a block."""
+def many_rows(batches: Batches, rows: int = 500_000) -> Batches:
+    """Batches of about so many rows, for narrow tables."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield _joined(held)
+            held, n = [], 0
+    if held:
+        yield _joined(held)
+
+
+def heavy_buckets(docs: DataFrame, blocked: Callable[[Batches], Batches], hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int, *least: int) -> list[bytes]:
+    """For each of ``least`` a bit per bucket: does it count at least so many?  ``blocked``
+    makes blocks of the batches, ``hashes`` gives the 64-bit hashes of all items of a block."""
 
     def count(batches: Batches) -> Batches:
-        for b in gathered(batches, text):
+        for b in blocked(batches):
             h = hashes(b)
             if len(h):
                 yield _counts(h, bits)

@@ -93,7 +93,7 @@ def test_sketch_never_undercounts(spark):
     def hashes(b):
         return np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big") for t in b.column("text").to_pylist() for w in t.split()], np.uint64)
 
-    at_least = [np.frombuffer(m, np.uint8) for m in sketch.heavy_buckets(d, "text", hashes, 16, 2, 300)]
+    at_least = [np.frombuffer(m, np.uint8) for m in sketch.heavy_buckets(d, lambda x: sketch.gathered(x, "text"), hashes, 16, 2, 300)]
     for k, m in zip((2, 300), at_least, strict=True):
         often = [w for w, n in Counter(words).items() if n >= k]
         h = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big") for w in often], np.uint64)
