@@ -5,7 +5,8 @@ A window's anchor is its smallest ``GRAM``-word hash; neighbouring windows with
 segment.  Equal windows have equal anchors, at equal places, so segments are dealt to index shards
 by their anchors, and a window's copies meet in one shard.  A sketch of anchor counts first drops
 the segments whose anchor is unique.  Equal segments are made one before they are dealt, with the
-place of the first.  A shard puts its segments, in order of those places, into one word sequence,
+place of the first; an anchor with one segment left has no further windows to look for, so only
+segments of the others, by a second sketch, travel with their words.  A shard puts its segments, in order of those places, into one word sequence,
 builds its FM-index (a wavelet matrix over the Burrows-Wheeler transform, bits packed 64 to a word
 with running counts), and streams the segments against it: backward search gives every window's
 matching statistic, capped at the window's length, and its interval of suffixes; a window that
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, dropped, map_batches, mix, release, span_hash, text_bytes, tune, word_spans, written
-from .sketch import bits_for, gathered, heavy_buckets, passes
+from .sketch import bits_for, gathered, heavy_buckets, many_rows, passes
 
 WINDOW = 20
 GRAM = 6
@@ -167,7 +168,7 @@ def _segments(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> tupl
         return start, end, first, h, none, none, none, np.zeros(0, np.uint64)
     new = np.flatnonzero(np.concatenate([[True], (at[i[1:]] != at[i[:-1]]) | (i[1:] != i[:-1] + 1)]))
     head = i[new]
-    return start, end, first, h, doc[head], head, np.diff(np.append(new, len(i))), g[at[head]]
+    return start, end, first, h, doc[head], head, np.diff(np.append(new, len(i))), mix(g[at[head]])  # mixed: smallest hashes crowd
 
 
 def _double_hash(h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +196,7 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, often: int
     def anchors(b: pa.RecordBatch) -> np.ndarray:
         return _segments(*text_bytes(b.column("text")), window, gram)[-1]
 
-    maps = [docs.sparkSession.sparkContext.broadcast(m) for m in heavy_buckets(docs, "text", anchors, bits, 2, often)]
+    maps = [docs.sparkSession.sparkContext.broadcast(m) for m in heavy_buckets(docs, lambda x: gathered(x, "text"), anchors, bits, 2, often)]
 
     def run(batches: Batches) -> Batches:
         twice, many = (np.frombuffer(m.value, np.uint8) for m in maps)
@@ -225,12 +226,28 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, often: int
     return map_batches(docs, run, "h1 long, h2 long, anchor long, words binary, nul boolean, did long, tag long, start int, runs int")
 
 
+def _distinct(segs: DataFrame, *more) -> DataFrame:
+    """Equal segments as one: the first place, the number of copies, the anchor."""
+    place = F.struct(*KEY, "start")
+    one = segs.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("anchor").alias("anchor"), *more)
+    return one.select("h1", "h2", "place.*", "copies", "anchor", *[c for c in one.columns if c == "words"])
+
+
+def _where(df: DataFrame, bitmap, bits: int, inside: bool) -> DataFrame:
+    """Rows whose anchor's bit is set, or is not."""
+
+    def run(batches: Batches) -> Batches:
+        often = np.frombuffer(bitmap.value, np.uint8)
+        for b in batches:
+            yield b.filter(pa.array(passes(often, b.column("anchor").to_numpy().view(np.uint64), bits) == inside))
+
+    return map_batches(df, run, ", ".join(f"{c} {t}" for c, t in df.dtypes))
+
+
 def _by_shard(segs: DataFrame, n_shards: int, window: int) -> DataFrame:
     """(h1, h2, place of the first copy, which of its windows occur earlier) of every segment that
     has a copy or such a window."""
-    place = F.struct(*KEY, "start")
-    one = segs.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("words", ignorenulls=True).alias("words"), F.first("anchor").alias("anchor"))
-    one = one.select("h1", "h2", "place.*", "copies", "words", "anchor", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("int").alias("shard"))
+    one = _distinct(segs, F.first("words", ignorenulls=True).alias("words")).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("int"))
     tune(segs.sparkSession)
 
     def run(t: pa.Table) -> pa.Table:
@@ -252,9 +269,15 @@ def _by_shard(segs: DataFrame, n_shards: int, window: int) -> DataFrame:
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, often: int = OFTEN, bits: int | None = None) -> DataFrame:
     """(key of the document, spans): spans are (first window, mask of its windows) that occur earlier."""
+    bits = bits or bits_for(docs, "text")
     segs = written(segments(docs, window, gram, often, bits), "fm-segments", "zstd")
-    n_shards = max(1, segs.count() // SHARD_SEGMENTS)
-    first = written(_by_shard(segs, n_shards, window), "fm-windows")
+    one = written(_distinct(segs), "fm-distinct")
+    several = heavy_buckets(one.select("anchor"), lambda x: many_rows(x), lambda b: b.column("anchor").to_numpy().view(np.uint64), bits, 2)[0]
+    several = docs.sparkSession.sparkContext.broadcast(several)
+    n_shards = max(1, _where(one.select("anchor"), several, bits, True).count() // SHARD_SEGMENTS)
+    copies = _where(one.where("copies > 1"), several, bits, False).select("h1", "h2", *KEY, "start", F.lit(0).cast("long").alias("mask"))
+    first = written(_by_shard(_where(segs.drop("runs"), several, bits, True), n_shards, window).union(copies), "fm-windows")
+    dropped(one)
     own = [F.col(c) == F.col(f"f_{c}") for c in (*KEY, "start")]
     is_first = own[0] & own[1] & own[2] & own[3]
     f = first.select("h1", "h2", "mask", *[F.col(c).alias(f"f_{c}") for c in (*KEY, "start")])
