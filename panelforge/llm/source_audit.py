@@ -1,22 +1,25 @@
 """Source divergence audit: which terms a source uses more than its language, and how far sources
 are apart, as exact sums of absolute differences of smoothed shares.
 
-Each task counts (language, source, term) and the documents that hold a term, block by block.
-The counts are added up and range-partitioned by (language, term), so every task has a run of
-terms in UTF-8 order.  There the terms in enough documents are kept, in sorted arrays of at most
-``CHUNK`` terms; a row's term is found by ``searchsorted`` and counts are added by ``bincount``
-per group.  An id in a chunk follows UTF-8 order, so ties need no strings.  Each chunk, with the
-totals of its language, becomes one dense matrix of groups by terms, from which differences are
-summed; sums of chunks are added by Spark.
+A sketch of all terms' counts, which are upper bounds, first tells which terms may be in enough
+documents.  A task then counts such terms and the documents that hold them per (language, source): spans and hashes of
+all words of a block at once, integer ids for its terms, bincounts per group and id.  It sends a
+row per term with the counts of its groups.  These rows are range-partitioned by (language, term),
+so every task has a run of terms in UTF-8 order.  There the terms in enough documents are kept, in
+sorted arrays of at most ``CHUNK`` terms; a row's term is found by ``searchsorted``.  An id in a
+chunk follows UTF-8 order, so ties need no strings.  Each chunk, with the totals of its language,
+becomes dense vectors of groups, from which differences are summed; sums of chunks are added by
+Spark.
 
 Defined results: null text, language and source are empty strings; rows count each as a document,
 repeated or not; a language without kept terms has pairs of value 0 and no terms; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored.  Groups travel as 64-bit hashes of their names; should
+two names ever share one, the audit stops with an error.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, map_batches, partitions, text_bytes, written
-from .sketch import gathered
+from .common import dropped, map_batches, mix, partitions, span_hash, text_bytes, word_spans, written
+from .sketch import binary_rows, bits_for, gathered, heavy_buckets, passes
 
 LEAST_DOCS = 30
 UNIT = 1_000_000_000
@@ -38,48 +41,91 @@ CELLS = 1 << 22
 #: Groups whose totals are broadcast; beyond it they are joined by a salt.
 SENT_GROUPS = 200_000
 SALTS = 64
-#: Entries and bytes of a task's counts before they are sent on.
-HELD, HELD_BYTES = 400_000, 24 << 20
+#: Counts and bytes of terms that a task holds before it sends them.
+HELD, HELD_BYTES = 1_000_000, 24 << 20
 #: Letters and all that is not ASCII stay, A-Z in lower case; everything else is a space.
-_TERM = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+_TERM = np.array([c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], np.uint8)
+_GAP = _TERM == 32
 Batches = Iterator[pa.RecordBatch]
 
 
-def count_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, term, docs, n), added up; term '' says that the group occurs."""
-    part = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
-    d = docs.select(part(lang_col, "lang"), part(source_col, "source"), part(text_col, "text"))
-    names = ["lang", "source", "term", "docs", "n"]
-
-    def batch(held: dict) -> pa.RecordBatch:
-        g = [k[0] for k in held]
-        v = list(held.values())
-        cols = [pa.array([x[0] for x in g], pa.string()), pa.array([x[1] for x in g], pa.string()), pa.array([k[1] for k in held], pa.string())]
-        return pa.RecordBatch.from_arrays([*cols, pa.array([x[0] for x in v], pa.int64()), pa.array([x[1] for x in v], pa.int64())], names)
+def keyed(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return docs.select(part(lang_col).alias("lang"), part(source_col).alias("source"), F.xxhash64(part(lang_col), part(source_col)).alias("g"), part(text_col).alias("text"))
+
+
+def _terms(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of a block, its terms' starts, ends and documents, and their hashes with
+    the language's."""
+    data, off = text_bytes(b.column("text"))
+    low = _TERM[data]
+    start, end, first = word_spans(low, off, _GAP)
+    doc = np.repeat(np.arange(b.num_rows), np.diff(first))
+    langs = b.column("lang").to_pylist()
+    seeds = {x: int.from_bytes(hashlib.md5(x.encode()).digest()[:8], "big") for x in set(langs)}
+    seed = np.array([seeds[x] for x in langs], np.uint64)
+    return low, start, end, doc, mix(span_hash(low, start, end) ^ seed[doc]) if len(doc) else np.zeros(0, np.uint64)
+
+
+def _block(b: pa.RecordBatch, held: dict[int, tuple[str, bytes]], often: np.ndarray, bits: int) -> list[np.ndarray]:
+    """(term, group, documents, occurrences) of a block; terms are hashes, their names go to ``held``."""
+    low, start, end, doc, h = _terms(b)
+    keep = passes(often, h, bits)
+    start, end, doc, h = start[keep], end[keep], doc[keep], h[keep]
+    if not len(h):
+        return [np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64)]
+    langs = b.column("lang").to_pylist()
+    groups, group = np.unique(b.column("g").to_numpy(), return_inverse=True)
+    terms, at, ids = np.unique(h, return_index=True, return_inverse=True)
+    raw = low.tobytes()
+    for t, i in zip(terms.tolist(), at.tolist(), strict=True):
+        if t not in held:
+            held[t] = (langs[doc[i]], raw[start[i] : end[i]])
+    size = len(terms)
+    pair, n = np.unique(group[doc] * size + ids, return_counts=True)
+    of_doc = np.unique(doc * size + ids)  # once a document
+    docs = np.bincount(np.searchsorted(pair, group[of_doc // size] * size + of_doc % size), minlength=len(pair))
+    return [terms[pair % size], groups[pair // size], docs, n]
+
+
+def _summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The same, added up and in order of term and group."""
+    term, g, docs, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort([g, term])
+    term, g = term[order], g[order]
+    new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (g[1:] != g[:-1])]))
+    return [term[new], g[new], np.add.reduceat(docs[order], new), np.add.reduceat(n[order], new)]
+
+
+def count_terms(docs: DataFrame, least_docs: int = LEAST_DOCS, bits: int | None = None) -> DataFrame:
+    """Rows (lang, term, and packed: groups, documents, occurrences), several a term, of all terms
+    that occur in ``least_docs`` documents and perhaps others; ``docs`` as made by ``keyed``."""
+    docs = docs.select("lang", "g", "text")
+    bits = bits or bits_for(docs, "text")
+    bitmap = docs.sparkSession.sparkContext.broadcast(heavy_buckets(docs, lambda x: gathered(x, "text"), lambda b: _terms(b)[-1], bits, least_docs)[0])
+    names = ["lang", "term", "g", "docs", "n"]
+
+    def send(parts: list, held: dict) -> Batches:
+        term, g, n_docs, n = _summed(parts)
+        if len(term):
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])), len(term))
+            name = [held[t] for t in term[cuts[:-1]].tolist()]
+            cols = [pa.array([x[0] for x in name], pa.string()), pa.array([x[1] for x in name], pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, *(binary_rows(x.astype(np.int64), cuts) for x in (g, n_docs, n))], names)
 
     def run(batches: Batches) -> Batches:
-        held: dict = {}
-        size = 0
-        for b in gathered(batches, "text", 1 << 20):
-            data, off = text_bytes(b.column("text"))
-            raw = data.tobytes().translate(_TERM)
-            for group, x, y in zip(zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), strict=True), off.tolist(), off[1:].tolist(), strict=False):
-                for term, n in [(b"", 0), *Counter(raw[x:y].split()).items()]:
-                    key = (group, term)
-                    if key in held:
-                        held[key][0] += 1
-                        held[key][1] += n
-                    else:
-                        held[key] = [1, n]
-                        size += len(term)
-                if len(held) > HELD or size > HELD_BYTES:
-                    yield batch(held)
-                    held, size = {}, 0
-        if held:
-            yield batch(held)
-
-    rows = map_batches(d, run, "lang string, source string, term string, docs long, n long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+        parts, held, size = [], {}, 0
+        often = np.frombuffer(bitmap.value, np.uint8)
+        for b in gathered(batches, "text"):
+            parts.append(_block(b, held, often, bits))
+            size += len(parts[-1][0])
+            if size > HELD or sum(len(x[1]) for x in held.values()) > HELD_BYTES:
+                yield from send(parts, held)
+                parts, held, size = [], {}, 0
+        if parts:
+            yield from send(parts, held)
+
+    return map_batches(docs, run, "lang string, term string, g binary, docs binary, n binary")
 
 
 def add_up(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
@@ -88,76 +134,79 @@ def add_up(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(at, low, size).astype(np.int64) + (np.bincount(at, high, size).astype(np.int64) << 26)
 
 
-def _chunk(lang: bytes, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict:
+CHUNKS = pa.schema([("lang", pa.string()), ("terms", pa.list_(pa.string())), ("g", pa.list_(pa.int64())), ("sums", pa.list_(pa.int64())), ("cell", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+
+
+def _chunk(lang: str, terms: np.ndarray, g: np.ndarray, n: np.ndarray) -> dict:
     """Sorted kept terms of a chunk, its groups with their sums, and the counts as (cell, count),
     where a cell is group * terms + id."""
-    terms, sources, n = (np.concatenate(x) for x in zip(*held, strict=True))
     kept = np.unique(terms)  # bytes: UTF-8 order
-    names, group = np.unique(sources, return_inverse=True)
+    names, group = np.unique(g, return_inverse=True)
     cell = group * len(kept) + np.searchsorted(kept, terms)
-    return {"lang": lang, "terms": list(kept), "sources": list(names), "sums": add_up(group, n, len(names)).tolist(), "cell": cell.tolist(), "n": n.tolist()}
-
-
-CHUNKS = pa.schema([("lang", pa.string()), ("terms", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), ("sums", pa.list_(pa.int64())), ("cell", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+    return {"lang": lang, "terms": list(kept), "g": names.tolist(), "sums": add_up(group, n, len(names)).tolist(), "cell": cell.tolist(), "n": n.tolist()}
 
 
 def chunks(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """Rows of at most ``CHUNK`` neighbouring kept terms of a language with their counts."""
 
-    def run(batches: Batches) -> Batches:
-        lang, held, distinct, cells = None, [], 0, 0
+    def kept(t: pa.Table) -> Iterator[tuple[str, bytes, np.ndarray, np.ndarray]]:
+        """(lang, term, groups, occurrences) of the terms in enough documents."""
+        lang, term = (np.array(t.column(c).cast(pa.binary()).to_pylist(), object) for c in ("lang", "term"))
+        new = np.concatenate([[True], (lang[1:] != lang[:-1]) | (term[1:] != term[:-1])])
+        packed = [t.column(c).to_pylist() for c in ("g", "docs", "n")]
+        run = np.repeat(np.cumsum(new) - 1, [len(x) >> 3 for x in packed[0]])
+        g, docs, n = (np.frombuffer(b"".join(x), np.int64) for x in packed)
+        enough = add_up(run, docs, int(new.sum())) >= least_docs
+        some = enough[run]
+        run, g, docs, n = _summed([[run[some], g[some], docs[some], n[some]]]) if some.any() else (run[:0], g[:0], docs[:0], n[:0])
+        cuts = np.append(np.flatnonzero(np.diff(run, prepend=-1)), len(run))
+        head = np.flatnonzero(new)[enough]
+        for i, x, y in zip(head.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield lang[i].decode(), term[i], g[x:y], n[x:y]
+
+    def whole_terms(batches: Batches) -> Iterator[pa.Table]:
+        """Tables that end with a term's last row."""
         rest: pa.Table | None = None
-
-        def out() -> Batches:
-            if held:
-                yield pa.RecordBatch.from_pylist([_chunk(lang, held)], CHUNKS)
-
-        def whole(t: pa.Table) -> Batches:
-            """Rows of complete (lang, term) runs."""
-            nonlocal lang, held, distinct, cells
-            la, te = (np.array(t.column(c).cast(pa.binary()).to_pylist(), object) for c in ("lang", "term"))
-            so = np.array(t.column("source").cast(pa.binary()).to_pylist(), object)
-            docs, n = t.column("docs").to_numpy(), t.column("n").to_numpy()
-            new = np.flatnonzero(np.concatenate([[True], (la[1:] != la[:-1]) | (te[1:] != te[:-1])]))
-            end = np.append(new[1:], len(la))
-            keep = np.add.reduceat(docs, new) >= least_docs
-            for x, y in zip(new[keep].tolist(), end[keep].tolist(), strict=True):
-                if la[x] != lang or distinct >= CHUNK or cells >= ENTRIES:
-                    yield from out()
-                    lang, held, distinct, cells = la[x], [], 0, 0
-                held.append((te[x:y], so[x:y], n[x:y]))
-                distinct += 1
-                cells += y - x
-
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            # the last run may go on in the next batch
-            last = (t.column("lang")[-1].as_py(), t.column("term")[-1].as_py())
-            k = t.num_rows
-            la, te = t.column("lang").to_pylist(), t.column("term").to_pylist()
-            while k and (la[k - 1], te[k - 1]) == last:
+            lang, term, k = t.column("lang").to_pylist(), t.column("term").to_pylist(), t.num_rows
+            while k and (lang[k - 1], term[k - 1]) == (lang[-1], term[-1]):
                 k -= 1
             if k:
-                yield from whole(t.slice(0, k))
+                yield t.slice(0, k)
             rest = t.slice(k)
         if rest is not None:
-            yield from whole(rest)
+            yield rest
+
+    def run(batches: Batches) -> Batches:
+        lang, held, entries = None, [], 0
+
+        def out() -> Batches:
+            if held:
+                terms = np.repeat(np.array([x[0] for x in held], object), [len(x[1]) for x in held])
+                yield pa.RecordBatch.from_pylist([_chunk(lang, terms, *(np.concatenate([x[i] for x in held]) for i in (1, 2)))], CHUNKS)
+
+        for t in whole_terms(batches):
+            for la, term, g, n in kept(t):
+                if la != lang or len(held) >= CHUNK or entries >= ENTRIES:
+                    yield from out()
+                    lang, held, entries = la, [], 0
+                held.append((term, g, n))
+                entries += len(g)
         yield from out()
 
-    rows = counts.where("term <> ''").repartitionByRange(partitions(counts.sparkSession), "lang", "term").sortWithinPartitions("lang", "term")
-    return map_batches(rows, run, "lang string, terms array<string>, sources array<string>, sums array<long>, cell array<long>, n array<long>")
+    rows = counts.repartitionByRange(partitions(counts.sparkSession), "lang", "term").sortWithinPartitions("lang", "term")
+    return map_batches(rows, run, "lang string, terms array<string>, g array<long>, sums array<long>, cell array<long>, n array<long>")
 
 
-def totals(counts: DataFrame, parts: DataFrame) -> DataFrame:
-    """(lang, sources, n, v): the groups of each language in UTF-8 order with their sums over kept
-    terms, and the number of kept terms."""
-    each = F.explode(F.arrays_zip("sources", "sums")).alias("g")
-    sums = parts.select("lang", each).groupBy("lang", F.col("g.sources").alias("source")).agg(F.sum("g.sums").alias("n"))
+def totals(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(lang, source, g, n, v): the groups that occur with their sums over kept terms, and the
+    number of kept terms of the language."""
+    sums = parts.select(F.explode(F.arrays_zip("g", "sums")).alias("x")).groupBy(F.col("x.g").alias("g")).agg(F.sum("x.sums").alias("n"))
     v = parts.groupBy("lang").agg(F.sum(F.size("terms")).alias("v"))
-    groups = counts.where("term = ''").select("lang", "source")
-    return groups.join(sums, ["lang", "source"], "left").join(v, "lang", "left").fillna(0, ["n", "v"])
+    return docs.select("lang", "source", "g").distinct().join(sums, "g", "left").join(v, "lang", "left").fillna(0, ["n", "v"])
 
 
 def shares(count: np.ndarray, total: int, v: int) -> np.ndarray:
@@ -177,10 +226,10 @@ def _measure(chunk: dict, groups: list[dict], top: int) -> tuple[list[tuple], li
     terms = chunk["terms"]
     width = len(terms)
     names = [g["source"] for g in groups]
-    at = {s: i for i, s in enumerate(names)}
+    at = {g["g"]: i for i, g in enumerate(groups)}
     v = groups[0]["v"]
     cell = np.array(chunk["cell"], np.int64)
-    row = np.array([at[s] for s in chunk["sources"]], np.int64)[cell // width]
+    row = np.array([at[s] for s in chunk["g"]], np.int64)[cell // width]
     col, n = cell % width, np.array(chunk["n"], np.int64)
     q = shares(add_up(col, n, width), sum(g["n"] for g in groups), v)
     pairs = np.zeros((len(names), len(names)), np.int64)
@@ -206,11 +255,14 @@ def _measure(chunk: dict, groups: list[dict], top: int) -> tuple[list[tuple], li
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank): ``pair`` has the differences to the other sources of
     the language, ``term`` the terms furthest above the language."""
-    counts = written(count_terms(docs, text_col, lang_col, source_col), "audit-counts")
+    d = keyed(docs, text_col, lang_col, source_col)
+    counts = written(count_terms(d, least_docs), "audit-counts")
     parts = written(chunks(counts, least_docs), "audit-chunks", "zstd")
-    groups = written(totals(counts, parts), "audit-groups")
-    n_groups = groups.count()
-    by_lang = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n", "v"))).alias("groups"))
+    groups = written(totals(d, parts), "audit-groups")
+    n_groups, n_hashes = groups.agg(F.count("*"), F.countDistinct("g")).first()
+    if n_groups != n_hashes:
+        raise ValueError("two groups share a hash")
+    by_lang = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "g", "n", "v"))).alias("groups"))
     if n_groups <= SENT_GROUPS:
         joined = parts.join(F.broadcast(by_lang), "lang")
     else:
@@ -227,7 +279,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * len(rows), pa.string()), *(pa.array(c, pa.int64() if k == 3 else pa.string()) for k, c in enumerate(cols))], ["lang", "part", "source", "item", "value"])
 
-    found = written(map_batches(joined.select("lang", "terms", "sources", "cell", "n", "groups"), run, "lang string, part string, source string, item string, value long"), "audit-found")
+    found = written(map_batches(joined.select("lang", "terms", "g", "cell", "n", "groups"), run, "lang string, part string, source string, item string, value long"), "audit-found")
     one = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     both = one.union(one.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
     # every other source of the language, found or not
