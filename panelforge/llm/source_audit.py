@@ -3,10 +3,10 @@ are apart, as exact sums of absolute differences of smoothed shares.
 
 A sketch of all terms' counts, which are upper bounds, first tells which terms may be in enough
 documents.  A task then counts such terms and the documents that hold them per (language, source): spans and hashes of
-all words of a block at once, integer ids for its terms, bincounts per group and id.  It sends a
-row per term with the counts of its groups.  These rows are range-partitioned by (language, term),
-so every task has a run of terms in UTF-8 order.  There the terms in enough documents are kept, in
-sorted arrays of at most ``CHUNK`` terms; a row's term is found by ``searchsorted``.  An id in a
+all words of a block at once, integer ids for its terms, bincounts per group and id.  It sends
+them packed, a row per bucket of terms; where a bucket is dealt they are added, and terms in enough
+documents are kept.  These are range-partitioned by (language, term), so every task has a run of
+terms in UTF-8 order, and go into sorted arrays of at most ``CHUNK`` terms; a row's term is found by ``searchsorted``.  An id in a
 chunk follows UTF-8 order, so ties need no strings.  Each chunk, with the totals of its language,
 becomes dense vectors of groups, from which differences are summed; sums of chunks are added by
 Spark.
@@ -43,6 +43,8 @@ SENT_GROUPS = 200_000
 SALTS = 64
 #: Counts and bytes of terms that a task holds before it sends them.
 HELD, HELD_BYTES = 1_000_000, 24 << 20
+#: Buckets of terms a partition.
+BUCKETS = 16
 #: Letters and all that is not ASCII stay, A-Z in lower case; everything else is a space.
 _TERM = np.array([c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], np.uint8)
 _GAP = _TERM == 32
@@ -98,20 +100,29 @@ def _summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
 
 
 def count_terms(docs: DataFrame, least_docs: int = LEAST_DOCS, bits: int | None = None) -> DataFrame:
-    """Rows (lang, term, and packed: groups, documents, occurrences), several a term, of all terms
-    that occur in ``least_docs`` documents and perhaps others; ``docs`` as made by ``keyed``."""
+    """(lang, term, and packed: groups, occurrences) of all terms in ``least_docs`` documents;
+    ``docs`` as made by ``keyed``."""
     docs = docs.select("lang", "g", "text")
     bits = bits or bits_for(docs, "text")
     bitmap = docs.sparkSession.sparkContext.broadcast(heavy_buckets(docs, lambda x: gathered(x, "text"), lambda b: _terms(b)[-1], bits, least_docs)[0])
-    names = ["lang", "term", "g", "docs", "n"]
+    n_parts = partitions(docs.sparkSession)
+    n_buckets = np.uint64(BUCKETS * n_parts)
 
     def send(parts: list, held: dict) -> Batches:
+        """A row per bucket: its terms, the number of groups of each, and their counts."""
         term, g, n_docs, n = _summed(parts)
-        if len(term):
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])), len(term))
-            name = [held[t] for t in term[cuts[:-1]].tolist()]
-            cols = [pa.array([x[0] for x in name], pa.string()), pa.array([x[1] for x in name], pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*cols, *(binary_rows(x.astype(np.int64), cuts) for x in (g, n_docs, n))], names)
+        if not len(term):
+            return
+        to = term % n_buckets
+        order = np.argsort(to, kind="stable")
+        term, g, n_docs, n, to = term[order], g[order], n_docs[order], n[order], to[order]
+        new = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+        names, groups = [held[t] for t in term[new].tolist()], np.diff(np.append(new, len(term)))
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to))
+        of_term = np.searchsorted(new, cuts)
+        text = [[names[i] for i in range(x, y)] for x, y in zip(of_term[:-1].tolist(), of_term[1:].tolist(), strict=True)]
+        cols = [pa.array(to[cuts[:-1]].astype(np.int32)), pa.array([[x[0] for x in t] for t in text], pa.list_(pa.string())), pa.array([b" ".join(x[1] for x in t) for t in text], pa.binary()), binary_rows(groups.astype(np.int64), of_term)]
+        yield pa.RecordBatch.from_arrays([*cols, *(binary_rows(x.astype(np.int64), cuts) for x in (g, n_docs, n))], ["bucket", "langs", "terms", "groups", "g", "docs", "n"])
 
     def run(batches: Batches) -> Batches:
         parts, held, size = [], {}, 0
@@ -125,7 +136,35 @@ def count_terms(docs: DataFrame, least_docs: int = LEAST_DOCS, bits: int | None
         if parts:
             yield from send(parts, held)
 
-    return map_batches(docs, run, "lang string, term string, g binary, docs binary, n binary")
+    def kept(rows: list[tuple]) -> Batches:
+        """The terms of one bucket that are in enough documents."""
+        if not rows:
+            return
+        ids: dict[tuple[str, bytes], int] = {}
+        term = np.array([ids.setdefault(x, len(ids)) for langs, terms, *_ in rows for x in zip(langs, terms.split(), strict=True)])
+        groups, g, docs, n = (np.frombuffer(b"".join(r[i] for r in rows), np.int64) for i in range(2, 6))
+        term = np.repeat(term, groups)
+        some = (add_up(term, docs, len(ids)) >= least_docs)[term]
+        if some.any():
+            term, g, _, n = _summed([[term[some], g[some], docs[some], n[some]]])
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])), len(term))
+            names = list(ids)
+            names = [names[t] for t in term[cuts[:-1]].tolist()]
+            cols = [pa.array([x[0] for x in names], pa.string()), pa.array([x[1] for x in names], pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, binary_rows(g, cuts), binary_rows(n, cuts)], ["lang", "term", "g", "n"])
+
+    def add(batches: Batches) -> Batches:
+        at, rows = None, []
+        for b in batches:
+            for bucket, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != at:
+                    yield from kept(rows)
+                    at, rows = bucket, []
+                rows.append(row)
+        yield from kept(rows)
+
+    packed = map_batches(docs, run, "bucket int, langs array<string>, terms binary, groups binary, g binary, docs binary, n binary")
+    return map_batches(packed.repartition(n_parts, "bucket").sortWithinPartitions("bucket"), add, "lang string, term string, g binary, n binary")
 
 
 def add_up(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
@@ -146,40 +185,9 @@ def _chunk(lang: str, terms: np.ndarray, g: np.ndarray, n: np.ndarray) -> dict:
     return {"lang": lang, "terms": list(kept), "g": names.tolist(), "sums": add_up(group, n, len(names)).tolist(), "cell": cell.tolist(), "n": n.tolist()}
 
 
-def chunks(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+def chunks(counts: DataFrame) -> DataFrame:
     """Rows of at most ``CHUNK`` neighbouring kept terms of a language with their counts."""
 
-    def kept(t: pa.Table) -> Iterator[tuple[str, bytes, np.ndarray, np.ndarray]]:
-        """(lang, term, groups, occurrences) of the terms in enough documents."""
-        lang, term = (np.array(t.column(c).cast(pa.binary()).to_pylist(), object) for c in ("lang", "term"))
-        new = np.concatenate([[True], (lang[1:] != lang[:-1]) | (term[1:] != term[:-1])])
-        packed = [t.column(c).to_pylist() for c in ("g", "docs", "n")]
-        run = np.repeat(np.cumsum(new) - 1, [len(x) >> 3 for x in packed[0]])
-        g, docs, n = (np.frombuffer(b"".join(x), np.int64) for x in packed)
-        enough = add_up(run, docs, int(new.sum())) >= least_docs
-        some = enough[run]
-        run, g, docs, n = _summed([[run[some], g[some], docs[some], n[some]]]) if some.any() else (run[:0], g[:0], docs[:0], n[:0])
-        cuts = np.append(np.flatnonzero(np.diff(run, prepend=-1)), len(run))
-        head = np.flatnonzero(new)[enough]
-        for i, x, y in zip(head.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            yield lang[i].decode(), term[i], g[x:y], n[x:y]
-
-    def whole_terms(batches: Batches) -> Iterator[pa.Table]:
-        """Tables that end with a term's last row."""
-        rest: pa.Table | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            lang, term, k = t.column("lang").to_pylist(), t.column("term").to_pylist(), t.num_rows
-            while k and (lang[k - 1], term[k - 1]) == (lang[-1], term[-1]):
-                k -= 1
-            if k:
-                yield t.slice(0, k)
-            rest = t.slice(k)
-        if rest is not None:
-            yield rest
-
     def run(batches: Batches) -> Batches:
         lang, held, entries = None, [], 0
 
@@ -188,13 +196,13 @@ def chunks(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
                 terms = np.repeat(np.array([x[0] for x in held], object), [len(x[1]) for x in held])
                 yield pa.RecordBatch.from_pylist([_chunk(lang, terms, *(np.concatenate([x[i] for x in held]) for i in (1, 2)))], CHUNKS)
 
-        for t in whole_terms(batches):
-            for la, term, g, n in kept(t):
+        for b in batches:
+            for la, term, g, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if la != lang or len(held) >= CHUNK or entries >= ENTRIES:
                     yield from out()
                     lang, held, entries = la, [], 0
-                held.append((term, g, n))
-                entries += len(g)
+                held.append((term.encode(), np.frombuffer(g, np.int64), np.frombuffer(n, np.int64)))
+                entries += len(g) >> 3
         yield from out()
 
     rows = counts.repartitionByRange(partitions(counts.sparkSession), "lang", "term").sortWithinPartitions("lang", "term")
@@ -221,8 +229,8 @@ def shares(count: np.ndarray, total: int, v: int) -> np.ndarray:
     return out + 1
 
 
-def _measure(chunk: dict, groups: list[dict], top: int) -> tuple[list[tuple], list[tuple]]:
-    """(pairs of sources with their difference, terms above the language) of one chunk."""
+def _measure(chunk: dict, groups: list[dict], top: int) -> tuple[np.ndarray, list[tuple]]:
+    """(differences of every two groups, (group, term, value) above the language) of one chunk."""
     terms = chunk["terms"]
     width = len(terms)
     names = [g["source"] for g in groups]
@@ -248,8 +256,7 @@ def _measure(chunk: dict, groups: list[dict], top: int) -> tuple[list[tuple], li
             j = np.flatnonzero((c[i] > 0) & (f > 0))
             best = j[np.lexsort((j, -f[j]))][:top]
             found += [(i, terms[x + k], int(f[k])) for k in best]
-    a, b = np.triu_indices(len(names), 1)
-    return [(names[i], names[j], int(d)) for i, j, d in zip(a, b, pairs[a, b], strict=True)], [(names[i], t, f) for i, t, f in found]
+    return pairs, found
 
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
@@ -257,7 +264,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     the language, ``term`` the terms furthest above the language."""
     d = keyed(docs, text_col, lang_col, source_col)
     counts = written(count_terms(d, least_docs), "audit-counts")
-    parts = written(chunks(counts, least_docs), "audit-chunks", "zstd")
+    parts = written(chunks(counts), "audit-chunks", "zstd")
     groups = written(totals(d, parts), "audit-groups")
     n_groups, n_hashes = groups.agg(F.count("*"), F.countDistinct("g")).first()
     if n_groups != n_hashes:
@@ -270,14 +277,37 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
         joined = parts.withColumn("salt", F.pmod(F.xxhash64(F.element_at("terms", 1)), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"])
 
     def run(batches: Batches) -> Batches:
+        """Sums and best terms of all chunks that a task sees, so far as they fit."""
+        names: dict[str, list[str]] = {}
+        pairs: dict[str, np.ndarray] = {}
+        best: dict[tuple[str, str], list[tuple[int, str]]] = {}
+
+        def out() -> Batches:
+            rows = []
+            for lang, total in pairs.items():
+                a, b = np.triu_indices(len(total), 1)
+                rows += [(lang, "pair", names[lang][i], names[lang][j], v) for i, j, v in zip(a.tolist(), b.tolist(), total[a, b].tolist(), strict=True)]
+            rows += [(lang, "term", source, t, -f) for (lang, source), x in best.items() for f, t in x]
+            if rows:
+                cols = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 4 else pa.string()) for k, c in enumerate(cols)], ["lang", "part", "source", "item", "value"])
+
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
-                pairs, terms = _measure(r, r["groups"], top)
-                rows = [("pair", *x) for x in pairs] + [("term", *x) for x in terms]
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * len(rows), pa.string()), *(pa.array(c, pa.int64() if k == 3 else pa.string()) for k, c in enumerate(cols))], ["lang", "part", "source", "item", "value"])
+                lang, groups = r["lang"], r["groups"]
+                total, found = _measure(r, groups, top)
+                names[lang] = [g["source"] for g in groups]
+                pairs[lang] = pairs[lang] + total if lang in pairs else total
+                new: dict[tuple[str, str], list[tuple[int, str]]] = {}
+                for g, t, f in found:
+                    new.setdefault((lang, names[lang][g]), []).append((-f, t))
+                for k, x in new.items():
+                    best[k] = sorted(best.get(k, []) + x)[:top]
+                if sum(x.size for x in pairs.values()) + top * len(best) > CELLS:
+                    yield from out()
+                    pairs, best = {}, {}
+        yield from out()
 
     found = written(map_batches(joined.select("lang", "terms", "g", "cell", "n", "groups"), run, "lang string, part string, source string, item string, value long"), "audit-found")
     one = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
