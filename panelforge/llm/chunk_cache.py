@@ -1,6 +1,7 @@
 """Exact, cached encoding with the tokenizers library.
 
-A text is cut where a pre-token must begin whatever stands around it.  The library encodes the
+A text is cut where a pre-token must begin whatever stands around it; a text that holds one of the
+tokenizer's added tokens (as ``<|endoftext|>``) goes through the library whole.  The library encodes the
 pieces that a worker does not know, many in one call; the ids of known pieces are joined.  A
 worker process keeps what it knows, in a bounded table, from task to task.  Results never depend
 on what is known.
@@ -83,9 +84,12 @@ def plain_tokenizer(content: bytes):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_str(content.decode())
-    t.encode_special_tokens = True  # marks that stand in a text are ordinary text
-    return t
+    return Tokenizer.from_str(content.decode())
+
+
+def added(t) -> list[str]:
+    """The tokens that the library looks for before anything else."""
+    return [x.content for x in t.get_added_tokens_decoder().values() if x.content]
 
 
 #: Letters of ASCII and Latin-1, and those with both cases in one range.
@@ -124,6 +128,7 @@ class WordIds:
 
     def __init__(self, content: bytes, limit: int = LIMIT):
         self.t = plain_tokenizer(content)
+        self.added = [x.encode().lower() for x in added(self.t)]
         self.after = {m.encode(): v for m, v in zip(self.MARKS, self.encode([m.encode() for m in self.MARKS]), strict=True)}
         self.known = Known(self.encode, self.tail, limit)
 
@@ -143,7 +148,11 @@ class WordIds:
         return _many(self.t, "I", plain, other)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        return self.known.join([t.lower().split() for t in texts])
+        low = [t.lower() for t in texts]
+        odd = [k for k, t in enumerate(low) if any(map(t.__contains__, self.added))]
+        whole = dict(zip(odd, _many(self.t, "I", [], [(i, texts[k].decode()) for i, k in enumerate(odd)]), strict=True))
+        out = self.known.join([[] if k in whole else t.split() for k, t in enumerate(low)])
+        return [whole.get(k, x) for k, x in enumerate(out)] if whole else out
 
 
 class ByteIds:
@@ -166,6 +175,7 @@ class ByteIds:
 
     def __init__(self, content: bytes, limit: int = LIMIT):
         self.t = plain_tokenizer(content)
+        self.added = added(self.t)
         self.kind = "H" if self.t.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.kind).itemsize
         self.line = self.whole(["\n"])[0]
@@ -203,7 +213,7 @@ class ByteIds:
         return _many(self.t, self.kind, plain, other)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        odd = [k for k, t in enumerate(texts) if not t.isascii() and self.OTHER.search(t)]
+        odd = [k for k, t in enumerate(texts) if any(map(t.__contains__, self.added)) or (not t.isascii() and self.OTHER.search(t))]
         whole = dict(zip(odd, self.whole([texts[k] for k in odd]), strict=True))
         out = self.known.join([[] if k in whole else self.keys(t) for k, t in enumerate(texts)])
         return [whole.get(k, x) for k, x in enumerate(out)] if whole else out

@@ -345,7 +345,6 @@ def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(tokenizer_bytes(None, "word_bpe_49k.json").decode())
-    t.encode_special_tokens = True
     got = window_packing.pack(docs, with_ids=True).collect()
     by_seq, by_doc = {}, {}
     for r in got:
@@ -623,3 +622,19 @@ def test_empty_store(spark, empty):
     path = shared_dir(spark, "store-empty")
     token_store.write_store(empty, path)
     assert token_store.read_documents(spark, path).count() == 0
+
+
+def test_added_tokens_in_texts(spark):
+    """The library's own call decides, for marks in any case, alone, doubled or inside words."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "<unk>", "</s>"]
+    texts = [x for m in marks for x in (m, f"hello {m} world", f"a{m}b {m}{m}.", f"\n {m}\tÉa {m} ", f"x  y\n\n{m}")]
+    for name, kind in (("word_bpe_49k.json", chunk_cache.WordIds), ("byte_bpe_50k.json", chunk_cache.ByteIds)):
+        fresh = Tokenizer.from_file(str(path(name)))
+        with open(path(name), "rb") as f:
+            mine = kind(f.read())
+        got = mine([x.encode() for x in texts] if kind is chunk_cache.WordIds else texts)
+        for x, ids in zip(texts, got, strict=True):
+            assert np.frombuffer(ids, "<u4" if kind is chunk_cache.WordIds or mine.kind == "I" else "<u2").tolist() == fresh.encode(x, add_special_tokens=False).ids, x
