@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelforge.operators import attribution as A
 from panelforge.operators import ensemble as E
 from panelforge.operators import regimes as R
+from panelforge.operators import scoring as S
 from panelforge.operators.features import NAMES, features
 from panelforge.operators.scoring import per_formula
 from panelforge.plans.formula import encode, linear_signals
 from panelforge.queries.regimes import BASE
-from panelforge.queries.scoring import SHARPE, W_SQL, _rank_sql, rounded
+from panelforge.queries.scoring import LINEAR, LINEAR_SQL, PNL_SQL, PRE, SHARPE, W_SQL, _ic_sql, _rank_sql, linear, rounded
 from panelforge.sources.panel import TICKERS, lineitem_panel
 
 TRAIN = 0.7
@@ -66,6 +68,16 @@ def _blended(s, d):
     return E.blended(E.exploded(E.positions(E.combine(sig, E.pools(fitted), "portfolio"))), R.regime_shares(labels))
 
 
+#: Weights of the attributed portfolio.
+PORTFOLIO = dict(zip(LINEAR, (0.4, 0.3, 0.2, 0.1), strict=True))
+
+
+def _attribution(s, d):
+    p, sig = linear(s, d)
+    ic = S.ic_summary(S.ic_daily(sig, S.forward(p)))  # a row a formula
+    return A.report(S.pnl(S.weights(sig), p), PORTFOLIO, {r.formula_id: r.mean_ic for r in ic.collect()})
+
+
 # ---- DuckDB ----------------------------------------------------------------------------------
 def _sig_sql() -> str:
     parts = []
@@ -133,7 +145,26 @@ BLENDED = f"""{_held_sql(POOLS, FIT)}, pr AS (SELECT dt, calm + normal AS c, str
 bl AS (SELECT dt, asset, sum(position * CASE portfolio WHEN 'calm' THEN c / t ELSE s / t END) AS x FROM hp JOIN pr USING (dt) GROUP BY ALL), bl2 AS (SELECT *, sum(abs(x)) OVER (PARTITION BY dt) AS size FROM bl)
 SELECT dt, asset, round(x / size, 6) AS position FROM bl2 WHERE size >= 1e-8"""
 
+N = len(PORTFOLIO)
+ATTRIBUTION = f"""{PRE.replace('WITH ', 'WITH RECURSIVE ', 1)}, {LINEAR_SQL}, {W_SQL}, {PNL_SQL}, pw(formula_id, wt) AS (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in PORTFOLIO.items())}),
+whole AS (SELECT dt FROM pnl JOIN pw USING (formula_id) GROUP BY dt HAVING count(pnl) = {N}), q AS (SELECT formula_id, wt, dt, pnl FROM pnl JOIN pw USING (formula_id) JOIN whole USING (dt)),
+mu AS (SELECT *, row_number() OVER (ORDER BY formula_id) AS i FROM (SELECT formula_id, wt, avg(pnl) * 252 AS mu FROM q GROUP BY ALL)),
+cv AS (SELECT a.formula_id AS a, b.formula_id AS b, a.wt AS wa, b.wt AS wb, covar_samp(a.pnl, b.pnl) * 252 AS c FROM q a JOIN q b USING (dt) GROUP BY ALL),
+tot AS (SELECT sum(wa * wb * c) AS var, (SELECT sum(wt * mu) FROM mu) AS ret, (SELECT sum(wt) FROM mu) AS one FROM cv),
+vec AS (SELECT a AS formula_id, sum(wb * c) AS cw, max(c) FILTER (a = b) AS own, list(c ORDER BY b) AS row FROM cv GROUP BY a),
+aug AS (SELECT list(list_append(row, mu) ORDER BY i) AS m FROM vec JOIN mu USING (formula_id)),
+gj AS (SELECT 1::BIGINT AS k, m FROM aug UNION ALL SELECT k + 1, list_transform(range(1, {N + 1}), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda x: x / m[k][k])
+  ELSE list_transform(range(1, {N + 2}), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END) FROM gj WHERE k <= {N}),
+sol AS (SELECT m FROM gj WHERE k = {N + 1}), raw AS (SELECT formula_id, wt * m[i][{N + 1}] AS raw FROM mu CROSS JOIN sol),
+{_ic_sql().replace('fwd', 'nxt')}, sc AS (SELECT formula_id, avg(ic) AS s FROM ic WHERE ic IS NOT NULL GROUP BY formula_id),
+att AS (SELECT mu.formula_id, wt, raw * (ret / sqrt(var)) / sum(raw) OVER () AS msc, wt * cw / var AS vs, wt * mu / ret AS rs, CASE WHEN sum(s) OVER () > 1e-8 THEN s / sum(s) OVER () ELSE 0 END AS ss,
+  ((ret - wt * mu) / (one - wt)) / sqrt((var - 2 * wt * cw + wt * wt * own) / (one - wt) ** 2) AS wo, ret, sqrt(var) AS vol, ret / sqrt(var) AS sh, sum(wt * sqrt(own)) OVER () / sqrt(var) AS dr
+  FROM mu JOIN vec USING (formula_id) JOIN raw USING (formula_id) LEFT JOIN sc USING (formula_id) CROSS JOIN tot)
+SELECT formula_id, wt AS weight, round(msc, 6) AS msc, round(vs, 6) AS variance_share, round(rs, 6) AS return_share, round(ss, 6) AS score_share, msc < 0 AS drags, round(wo, 6) AS sharpe_without,
+  round(ret, 6) AS portfolio_return, round(vol, 6) AS portfolio_volatility, round(sh, 6) AS portfolio_sharpe, round(dr, 6) AS diversification FROM att"""
+
 QUERIES = {
+    "attribution_report": lambda s, d: rounded(_attribution(s, d)),
     "ensemble_fit": lambda s, d: rounded(_fit(s, d)),
     "ensemble_pnl": lambda s, d: rounded(_pnl(s, d)),
     "forecast_pnl": lambda s, d: rounded(_forecast(s, d)),
@@ -142,6 +173,7 @@ QUERIES = {
     "blended_positions": lambda s, d: rounded(_blended(s, d)),
 }
 ORACLE = {
+    "attribution_report": ATTRIBUTION,
     "ensemble_fit": f"{FIT} SELECT formula_id, pool, place, representative, specialist, {FIT_COLS} FROM fit",
     "ensemble_pnl": f"{PARTS} SELECT dt, regime, round({E.REGIME_SHARE} * CASE WHEN regime = 'stress' AND specialist IS NOT NULL THEN specialist WHEN regime = 'calm' THEN calm WHEN regime = 'stress' THEN stress ELSE normal END + {1 - E.REGIME_SHARE} * every, 6) AS pnl FROM pt JOIN nx USING (dt)",
     "forecast_pnl": FORECAST,
