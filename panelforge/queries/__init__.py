@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("features", "scoring", "regimes", "ledger", "execution", "search", "records", "ensemble", "texts")
+MODULES = ("features", "scoring", "regimes", "ledger", "execution", "search", "records", "ensemble", "texts", "horizons")
 
 
 def _collect(attribute: str) -> dict:
