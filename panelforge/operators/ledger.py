@@ -88,10 +88,15 @@ def concentration(facts: DataFrame) -> DataFrame:
     return per.agg(F.sum("n").alias("n_formulas"), F.count("*").alias("n_uids"), (F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), F.lit(2))).alias("hhi"))
 
 
-def evict(facts: DataFrame, cap: int) -> DataFrame:
-    """Keep the ``cap`` formulas last seen: a sort with a limit, never a full sort."""
-    last = facts.groupBy("formula_id").agg(F.max("epoch").alias("last_epoch"))
-    return last.orderBy(F.desc("last_epoch"), "formula_id").limit(cap)
+def evict(entries: DataFrame, cap: int) -> DataFrame:
+    """Entries (formula_id, last_epoch, state) that stay when there are more than ``cap``: the
+    retired ones last seen longest ago go, ties by id, and no others, so more than ``cap`` may stay.
+    Only the number to remove reaches the driver; what goes is a sort with a limit."""
+    over = entries.count() - cap
+    if over <= 0:
+        return entries
+    gone = entries.where("state = 'RETIRED'").orderBy("last_epoch", "formula_id").limit(over)
+    return entries.join(gone.select("formula_id"), "formula_id", "left_anti")
 
 
 # ---- trust -----------------------------------------------------------------------------------
@@ -153,6 +158,11 @@ def lifecycle(facts: DataFrame, min_epochs: int = 3, min_ic: float = 0.01, retir
     y = F.when(F.abs("ic") > 1e-8, F.ln(F.abs("ic")))
     rate = -F.regr_slope(y, F.col("t")).over(w)
     h = x.select("formula_id", "epoch", F.count("*").over(w).alias("n"), F.avg("ic").over(w).alias("mean"), F.avg((F.col("ic") > 0).cast("double")).over(w).alias("stable"), F.avg("msc").over(w).alias("msc"), ((F.count(y).over(w) >= 4) & (rate > math.log(2) / half_life)).alias("falling"))
+    return judged(h, min_epochs, min_ic, retire_ic, min_stability, retire_after)
+
+
+def judged(h: DataFrame, min_epochs: int = 3, min_ic: float = 0.01, retire_ic: float = 0.005, min_stability: float = 0.60, retire_after: int = 5) -> DataFrame:
+    """States from running statistics: ``h`` has formula_id, epoch, n, mean, stable, msc, falling."""
     falling = F.coalesce("falling", F.lit(False))
     h = h.select(
         "formula_id",

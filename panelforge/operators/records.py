@@ -6,13 +6,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.ledger import judged
 from panelforge.operators.scoring import COSTS, _pearson, cost_table
 from panelforge.plans.formula import average_rank
 from panelforge.sources.panel import with_returns
 
 #: Component weights and references.
 COMPONENTS = {"ic": 0.40, "stability": 0.20, "decay": 0.15, "novelty": 0.15, "capacity": 0.10}
-IC_REFERENCE, STABILITY_REFERENCE, FULL_HALF_LIFE = 0.05, 1.0, 30.0
+IC_REFERENCE, STABILITY_REFERENCE, FULL_HALF_LIFE, SHORT_HALF_LIFE = 0.05, 1.0, 30.0, 10.0
 
 
 def _unit(x: Column) -> Column:
@@ -38,6 +39,56 @@ def component_scores(facts: DataFrame, novelty: DataFrame) -> DataFrame:
     return g.withColumn("total", sum((F.col(k) * v for k, v in COMPONENTS.items()), F.lit(0.0)))
 
 
+def signal_rewards(facts: DataFrame, novelty: DataFrame, alpha: float = 0.20) -> DataFrame:
+    """Per formula after its last epoch: the five components, their weighted sum, the state and
+    multiplier, the reward (their product) and the reward smoothed over all its epochs.
+
+    At each epoch a formula is judged on its ICs so far with their mean as one more value, unless
+    that is 0; the stability ratio alone is of the ICs as they are, over their deviation.  Formulas without
+    ``novelty`` are new.  The sums that a fit needs are windows, so no history is ever copied."""
+    order = Window.partitionBy("formula_id").orderBy("epoch")
+    w = order.rowsBetween(Window.unboundedPreceding, 0)
+    x = facts.select("formula_id", "epoch", "ic", (F.row_number().over(order) - 1).cast("double").alias("t"))
+
+    def fit(ic: Column, t: Column) -> list[Column]:
+        """Terms of the fit of ln |ic| on t, 0 for values that take no part."""
+        y = F.ln(F.abs(ic))
+        return [F.when(F.abs(ic) > 1e-8, v).otherwise(0.0) for v in (F.lit(1.0), t, y, t * t, t * y)]
+
+    sums = [F.sum(v).over(w).alias(f"s{i}") for i, v in enumerate(fit(F.col("ic"), F.col("t")))]
+    x = x.select("formula_id", "epoch", "t", F.avg("ic").over(w).alias("mean"), F.stddev_pop("ic").over(w).alias("std"), F.sum((F.col("ic") > 0).cast("long")).over(w).alias("up"), *sums)
+    added = (F.col("mean") != 0).cast("long")
+    x = x.withColumns({f"s{i}": F.col(f"s{i}") + v for i, v in enumerate(fit(F.col("mean"), F.col("t") + 1))})
+    x = x.withColumn("n", (F.col("t") + 1 + added).cast("long"))
+    fall = -F.try_divide(F.col("s0") * F.col("s4") - F.col("s1") * F.col("s2"), F.nullif(F.col("s0") * F.col("s3") - F.col("s1") * F.col("s1"), F.lit(0.0)))
+    x = x.select("formula_id", "epoch", "mean", "std", "n", ((F.col("up") + (F.col("mean") > 0).cast("long")) / F.col("n")).alias("stable"), F.lit(0.0).alias("msc"), F.when(F.col("s0") >= 4, fall).alias("rate"))
+    x = x.withColumn("falling", F.coalesce(F.col("rate") > F.ln(F.lit(2.0)) / SHORT_HALF_LIFE, F.lit(False)))
+    x = x.join(judged(x), ["formula_id", "epoch"]).join(novelty, "formula_id", "left")
+    ratio = F.when(F.col("std") > 0, F.col("mean") / (F.col("std") + 1e-6)).otherwise(0.0)
+    parts = {
+        "ic": _unit(1 - F.exp(-F.greatest("mean", F.lit(0.0)) / IC_REFERENCE)),
+        "stability": _unit(1 - F.exp(-F.greatest(ratio, F.lit(0.0)) / STABILITY_REFERENCE)),
+        "decay": F.when(F.col("n") < 4, 0.5).when(F.coalesce(F.col("rate") <= 0, F.lit(True)), 1.0).otherwise(_unit(F.ln(F.lit(2.0)) / F.col("rate") / FULL_HALF_LIFE)),
+        "novelty": _unit(1 - F.abs(F.coalesce("max_corr", F.lit(0.0)))),
+        "capacity": _unit((0.5 * F.col("stable") + 0.25 * F.least(F.col("n") / 20, F.lit(1.0)) + 0.175) * F.col("multiplier")),
+    }
+    x = x.select("formula_id", "epoch", "state", "multiplier", *[v.alias(k) for k, v in parts.items()])
+    x = x.withColumn("composite", _unit(sum((F.col(k) * v for k, v in COMPONENTS.items()), F.lit(0.0)))).withColumn("reward", _unit(F.col("composite") * F.col("multiplier")))
+    last = [c for c in x.columns if c not in ("formula_id", "epoch")]
+    g = x.groupBy("formula_id").agg(F.max(F.struct("epoch", *last)).alias("x"), F.array_sort(F.collect_list(F.struct("epoch", "reward"))).alias("all"))
+    smooth = F.aggregate(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))), F.element_at("all", 1)["reward"], lambda a, v: alpha * v["reward"] + (1 - alpha) * a)
+    return g.select("formula_id", "x.*", smooth.alias("smoothed"))
+
+
+def regime_component(ics: DataFrame) -> DataFrame:
+    """(formula_id, regime, ic) to the worst mean IC over the regimes with three values or more and
+    its score; with fewer than two such regimes there is no worst and the score is neutral."""
+    r = ics.where("ic is not null").groupBy("formula_id", "regime").agg(F.avg("ic").alias("m"), F.count("*").alias("n"))
+    r = r.groupBy("formula_id").agg(F.min(F.when(F.col("n") >= 3, F.col("m"))).alias("worst"), F.count(F.when(F.col("n") >= 3, 1)).alias("regimes"))
+    worst = F.when(F.col("regimes") >= 2, F.col("worst"))
+    return r.select("formula_id", "regimes", worst.alias("worst"), F.when(worst.isNull(), 0.5).otherwise(_unit(1 - F.exp(-F.greatest(worst, F.lit(0.0)) / IC_REFERENCE))).alias("score"))
+
+
 def recent_slope(facts: DataFrame, n: int = 8) -> DataFrame:
     """Slope of the last ``n`` ICs of each formula."""
     last = facts.withColumn("k", F.row_number().over(Window.partitionBy("formula_id").orderBy(F.desc("epoch")))).where(F.col("k") <= n)

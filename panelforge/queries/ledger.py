@@ -131,7 +131,7 @@ QUERIES = {
     "leaderboard": lambda s, d: rounded(L.leaderboard(facts(s, d))),
     "leaderboard_top": lambda s, d: rounded(L.leaderboard(facts(s, d)).orderBy(F.desc("mean_ic"), "formula_id").limit(10)),
     "concentration": lambda s, d: rounded(L.concentration(facts(s, d))),
-    "eviction": lambda s, d: L.evict(facts(s, d), 20),
+    "eviction": lambda s, d: L.evict(A.last_n(L.lifecycle(facts(s, d)), "formula_id", "epoch", 1).select("formula_id", F.col("epoch").alias("last_epoch"), "state"), 20),
     "last_n_history": lambda s, d: A.last_n(facts(s, d), "formula_id", "epoch", 5),
     "trust_ema": lambda s, d: rounded(L.trust(scores(s, d))),
     "spike_penalty": lambda s, d: rounded(L.spike_penalty(L.trust(scores(s, d)))),
@@ -168,7 +168,8 @@ ORACLE = {
     "leaderboard": f"WITH {FACTS} SELECT formula_id, round(max(ic), 6) AS best_ic, round(avg(ic), 6) AS mean_ic, round(arg_max(ic, epoch), 6) AS last_ic, count(*) AS n, count(DISTINCT uid) AS n_uids, max(epoch) - min(epoch) + 1 AS longevity FROM facts GROUP BY formula_id",
     "leaderboard_top": f"WITH {FACTS} SELECT formula_id, round(max(ic), 6) AS best_ic, round(avg(ic), 6) AS mean_ic, round(arg_max(ic, epoch), 6) AS last_ic, count(*) AS n, count(DISTINCT uid) AS n_uids, max(epoch) - min(epoch) + 1 AS longevity FROM facts GROUP BY formula_id ORDER BY avg(ic) DESC, formula_id LIMIT 10",
     "concentration": f"WITH {FACTS}, per AS (SELECT uid, count(DISTINCT formula_id) AS n FROM facts GROUP BY uid) SELECT sum(n)::BIGINT AS n_formulas, count(*) AS n_uids, round(sum(n * n) / sum(n) ** 2, 6) AS hhi FROM per",
-    "eviction": f"WITH {FACTS} SELECT formula_id, max(epoch) AS last_epoch FROM facts GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
+    "eviction": f"""{LIFE}, en AS (SELECT formula_id, epoch AS last_epoch, state FROM life QUALIFY row_number() OVER (PARTITION BY formula_id ORDER BY k DESC) = 1)
+SELECT * FROM en QUALIFY state <> 'RETIRED' OR row_number() OVER (PARTITION BY state = 'RETIRED' ORDER BY last_epoch, formula_id) > count(*) OVER () - 20""",
     "last_n_history": f"WITH {FACTS} SELECT formula_id, epoch, uid, ic::DOUBLE AS ic FROM facts QUALIFY row_number() OVER (PARTITION BY formula_id ORDER BY epoch DESC) <= 5",
     "trust_ema": f"WITH {TRUST} SELECT uid, epoch, score::DOUBLE AS score, round(trust, 6) AS trust FROM tr",
     "spike_penalty": f"""WITH {TRUST}, sp AS (SELECT *, count(score) OVER w AS n, (score - avg(score) OVER w) / (stddev_pop(score) OVER w + 1e-9) AS sg FROM tr WINDOW w AS (PARTITION BY uid ORDER BY epoch ROWS BETWEEN 59 PRECEDING AND 1 PRECEDING)),

@@ -11,9 +11,9 @@ from panelforge.operators import regimes as R
 from panelforge.operators import scoring as S
 from panelforge.operators.features import NAMES, features
 from panelforge.plans.formula import linear_signals
-from panelforge.queries.ledger import EVID, FACTS, evidence, facts
+from panelforge.queries.ledger import EVID, FACTS, LIFE, evidence, facts
 from panelforge.queries.regimes import LABELS
-from panelforge.queries.scoring import LINEAR, LINEAR_SQL, PRE, W_SQL, _pearson_sql, _rank_sql, linear, rounded
+from panelforge.queries.scoring import EXACT_SQL, LINEAR, LINEAR_SQL, PRE, W_SQL, _ic_sql, _pearson_sql, _rank_sql, exact, linear, rounded
 from panelforge.sources import synthetic
 from panelforge.sources.panel import TICKERS, lineitem_panel, lineitem_sql
 
@@ -67,7 +67,32 @@ def _report(s, d):
     return K.scenario_report(p, synthetic.shocked(p, "stagflation"), pnl_of)
 
 
+def _by_regime(s, d):
+    p = lineitem_panel(s, d)
+    ic = S.ic_daily(exact(s, d)[1], S.forward(p)).join(R.regime_labels(p, TICKERS), "dt")
+    return K.regime_component(ic.select("formula_id", "regime", "ic"))
+
+
+#: Every history of every epoch with its mean as one more value, then the walk over states.
+REWARDS = f"""WITH RECURSIVE {FACTS}, {NOV},
+h0 AS (SELECT formula_id, epoch, ic, row_number() OVER (PARTITION BY formula_id ORDER BY epoch) AS k FROM facts),
+hist AS (SELECT a.formula_id, a.epoch, a.k, b.k - 1 AS t, b.ic FROM h0 a JOIN h0 b ON b.formula_id = a.formula_id AND b.k <= a.k),
+plain AS (SELECT formula_id, epoch, k, avg(ic) AS m, stddev_pop(ic) AS s FROM hist GROUP BY ALL),
+more AS (SELECT formula_id, k, t, ic FROM hist UNION ALL SELECT formula_id, k, k, m FROM plain WHERE m <> 0),
+fits AS (SELECT formula_id, k, count(*) AS n, avg((ic > 0)::INT) AS stable, CASE WHEN count(*) FILTER (abs(ic) > 1e-8) >= 4 THEN -regr_slope(CASE WHEN abs(ic) > 1e-8 THEN ln(abs(ic)) END, t::DOUBLE) END AS rate FROM more GROUP BY ALL),
+h1 AS MATERIALIZED (SELECT *, m AS mean, coalesce(rate > ln(2) / 10, false) AS falling FROM plain JOIN fits USING (formula_id, k)),
+{LIFE[LIFE.index('life AS'):].replace('h1.k >= 3', 'n >= 3')},
+parts AS (SELECT h1.*, state, CASE state {' '.join(f"WHEN '{k}' THEN {v}" for k, v in L.MULTIPLIERS.items())} END::DOUBLE AS multiplier, 1 - exp(-greatest(mean, 0) / 0.05) AS ic,
+  CASE WHEN s > 0 THEN 1 - exp(-greatest(mean / (s + 1e-6), 0)) ELSE 0 END AS stability, CASE WHEN n < 4 THEN 0.5 WHEN rate IS NULL OR rate <= 0 THEN 1 ELSE least(1, ln(2) / rate / 30) END::DOUBLE AS decay,
+  (1 - max_corr)::DOUBLE AS novelty FROM h1 JOIN life USING (formula_id, k) JOIN nov USING (formula_id)),
+summed AS (SELECT *, (0.5 * stable + 0.25 * least(n / 20, 1) + 0.15 * 0.5 + 0.1) * multiplier AS capacity, 0.4 * ic + 0.2 * stability + 0.15 * decay + 0.15 * novelty + 0.1 * (0.5 * stable + 0.25 * least(n / 20, 1) + 0.175) * multiplier AS composite FROM parts),
+smooth AS (SELECT formula_id, list_reduce(list((composite * multiplier)::DOUBLE ORDER BY k), lambda a, v: 0.8 * a + 0.2 * v) AS smoothed FROM summed GROUP BY 1)
+SELECT formula_id, epoch, state, multiplier, {', '.join(f'round({x}, 6)::DOUBLE AS {x}' for x in ('ic', 'stability', 'decay', 'novelty', 'capacity', 'composite'))}, round(composite * multiplier, 6)::DOUBLE AS reward, round(smoothed, 6)::DOUBLE AS smoothed
+FROM summed JOIN smooth USING (formula_id) QUALIFY row_number() OVER (PARTITION BY formula_id ORDER BY k DESC) = 1"""
+
 QUERIES = {
+    "signal_rewards": lambda s, d: rounded(K.signal_rewards(facts(s, d), novelty(s, d))),
+    "regime_component": lambda s, d: rounded(_by_regime(s, d)),
     "component_scores": lambda s, d: rounded(K.component_scores(facts(s, d), novelty(s, d))),
     "recent_slope": lambda s, d: rounded(K.recent_slope(facts(s, d))),
     "research_rewards": lambda s, d: rounded(K.rewards(facts(s, d).withColumn("msc", F.expr(MSC).cast("double")))),
@@ -85,6 +110,9 @@ QUERIES = {
 }
 _C = lambda *n: ", ".join(f"round({x}, 6) AS {x}" for x in n)
 ORACLE = {
+    "signal_rewards": REWARDS,
+    "regime_component": f"""{PRE}, {EXACT_SQL}, {_ic_sql()}, {LABELS}, br AS (SELECT formula_id, regime, avg(ic) AS m FROM ic JOIN lab USING (dt) WHERE ic IS NOT NULL GROUP BY ALL HAVING count(*) >= 3)
+SELECT formula_id, count(m) AS regimes, CASE WHEN count(m) > 1 THEN round(min(m), 6) END AS worst, CASE WHEN count(m) > 1 THEN round(1 - exp(-greatest(min(m), 0) / 0.05), 6) ELSE 0.5 END::DOUBLE AS score FROM (SELECT DISTINCT formula_id FROM ic) LEFT JOIN br USING (formula_id) GROUP BY 1""",
     "component_scores": f"""WITH {FACTS}, {NOV}, t AS (SELECT formula_id, ic, (row_number() OVER (PARTITION BY formula_id ORDER BY epoch) - 1)::DOUBLE AS t, ln(greatest(abs(ic), 1e-6)) AS y FROM facts),
 g AS (SELECT formula_id, avg(ic) AS m, stddev_samp(ic) AS s, count(*) AS n, avg((ic > 0)::INT) AS pos, regr_slope(y, t) AS slope FROM t GROUP BY 1),
 c AS (SELECT formula_id, greatest(0, least(1, 1 - exp(-greatest(m, 0) / 0.05))) AS ic, greatest(0, least(1, 1 - exp(-greatest(coalesce(m / nullif(s, 0), 0), 0)))) AS stability,
