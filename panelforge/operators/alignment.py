@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 
 def asof(left: DataFrame, right: DataFrame, on: str, value: str, by: tuple[str, ...] = (), direction: str = "backward") -> DataFrame:
     """Each left row with the right value of the latest earlier-or-equal time (``backward``), the
-    next (``forward``) or the nearer of both (``nearest``, ties to the earlier).  Both sides are
-    stacked and one window carries the values: no row is compared with another."""
+    next (``forward``) or the nearer of both (``nearest``, ties to the earlier).  Null times and keys
+    match nothing.  Both sides are stacked and a window in each order of time carries the values: no
+    row is compared with another, and no frame is gone through anew for each row."""
     keys = [*by]
     l = left.select(*keys, on, F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     r = right.select(*keys, on, F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
-    u = l.unionByName(r)
+    u = l.unionByName(r.dropna(subset=[*keys, on]))
     found = F.when(F.col("_side") == 0, F.struct(F.col(on).alias("t"), F.col("_v").alias("v")))
-    back = F.last(found, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(found, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(on, F.desc("_side")).rowsBetween(0, Window.unboundedFollowing))
-    x = u.select("_side", "_row", on, back.alias("_b"), ahead.alias("_a")).where("_side = 1")
-    gap = lambda c: F.abs(F.unix_seconds(F.col(on).cast("timestamp")) - F.unix_seconds(F.col(f"{c}.t").cast("timestamp")))
+    carried = lambda time: F.last(found, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0))
+    x = u.select("_side", "_row", on, carried(F.asc(on)).alias("_b"), carried(F.desc(on)).alias("_a")).where("_side = 1")
+    at = F.unix_date if isinstance(left.schema[on].dataType, DateType) else lambda c: F.unix_micros(c.cast("timestamp"))
+    gap = lambda c: F.abs(at(F.col(on)) - at(F.col(f"{c}.t")))
     pick = {"backward": F.col("_b.v"), "forward": F.col("_a.v"), "nearest": F.when(F.col("_a").isNull() | (gap("_b") <= gap("_a")), F.col("_b.v")).otherwise(F.col("_a.v"))}[direction]
-    return x.select("_row.*", pick.alias(value))
+    return x.select("_row.*", F.when(F.col(on).isNotNull(), pick).alias(value))
 
 
 def difference(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

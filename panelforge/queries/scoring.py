@@ -35,7 +35,9 @@ def exact(spark, d):
 
 
 def rounded(df, digits=6):
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles to so many digits by way of the product, as the oracle rounds them: halves that only
+    the decimal text has would go the other way."""
+    return df.select(*[(F.round(F.col(c) * 10.0**digits) / 10.0**digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # ---- DuckDB pieces ---------------------------------------------------------------------------

@@ -54,3 +54,58 @@ def test_asof_takes_all_rows(spark, sf_dir, name, table, key):
     got = registry.queries()[name](spark, sf_dir)
     every = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     assert sorted(r[0] for r in got.select(key).collect()) == sorted(r[0] for r in every.select(key).collect())
+
+
+def test_asof_nearest_beside_a_plain_walk(spark):
+    """Unsorted, with ties between both sides, times that occur twice, nulls, and keys of one side only."""
+    import datetime as d
+
+    from panelforge.operators.alignment import asof
+
+    day = lambda n: None if n is None else d.date(2020, 3, 1) + d.timedelta(n)
+    left = [(i, k, n) for i, (k, n) in enumerate([("a", 9), ("a", 0), ("a", 5), ("a", 5), ("a", 40), ("b", 3), ("c", 1), ("a", None), (None, 5), ("a", 30), ("b", -2)])]
+    right = [("a", 2, 1.0), ("a", 8, 2.0), ("a", 30, None), ("b", 3, 4.0), ("d", 1, 5.0), ("a", None, 6.0), (None, 5, 7.0)]
+
+    def near(k, n, direction):
+        at = [(abs(n - m), m, v) for j, m, v in right if j == k and m is not None and (direction == "nearest" or (m <= n) == (direction == "backward") or m == n)] if k and n is not None else []
+        return min(at, key=lambda x: x[:2])[2] if at else None
+
+    l = spark.createDataFrame([(i, k, day(n)) for i, k, n in left], "id int, k string, t date").repartition(3)
+    r = spark.createDataFrame([(k, day(n), v) for k, n, v in right], "k string, t date, v double").repartition(3)
+    for direction in ("backward", "forward", "nearest"):
+        got = {x.id: x.v for x in asof(l, r, "t", "v", ("k",), direction).collect()}
+        assert got == {i: near(k, n, direction) for i, k, n in left}, direction
+
+
+def test_asof_nearest_in_parts_of_a_second(spark):
+    from pyspark.sql import functions as F
+
+    from panelforge.operators.alignment import asof
+
+    t = lambda df: df.withColumn("t", F.to_timestamp("t"))
+    l, r = t(spark.createDataFrame([("2020-01-01 00:00:00.4",)], ["t"])), t(spark.createDataFrame([("2020-01-01 00:00:00.0", 1), ("2020-01-01 00:00:00.5", 2)], ["t", "v"]))
+    assert [x.v for x in asof(l, r, "t", "v", (), "nearest").collect()] == [2]
+
+
+def test_asof_nearest_in_time_that_grows_with_the_rows(spark):
+    """60,000 rows of one key and no later value: a frame gone through anew for each row is 1.8e9 steps."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from panelforge.operators.alignment import asof
+
+    l = spark.range(60_000).select("id", F.lit(1).alias("k"), (F.col("id") % 2000 + 10).cast("int").alias("n")).select("id", "k", F.date_add(F.lit("2020-01-01"), F.col("n")).alias("t"))
+    r = spark.sql("select 1 as k, date'2020-01-01' as t, 3.0D as v")
+    asof(l.limit(5), r, "t", "v", ("k",), "nearest").collect()
+    start = time.monotonic()
+    assert asof(l, r, "t", "v", ("k",), "nearest").where("v = 3").count() == 60_000
+    assert time.monotonic() - start < 15
+
+
+def test_halves_round_as_in_the_oracle(spark):
+    from panelforge.queries.scoring import rounded
+
+    values = [2117.4353125, -2117.4353125, 0.0000005, 1.0000015, 2.5e-7, 1234.5678905, 0.1234565]
+    want = [duckdb.sql(f"SELECT round({v!r}::DOUBLE, 6)").fetchall()[0][0] for v in values]
+    assert [x.v for x in rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")).orderBy("i").collect()] == want
