@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
+from .near_texts import cut
+
 
 def asof(left: DataFrame, right: DataFrame, on: str, value: str, by: tuple[str, ...] = (), direction: str = "backward") -> DataFrame:
     """Each left row with the right value of the latest earlier-or-equal time (``backward``), the
@@ -58,11 +60,20 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 
 def ancestors(spark, edges: DataFrame) -> DataFrame:
-    """(node, ancestor, depth) of a forest of parent links (child, parent), as recursive SQL."""
-    edges.createOrReplaceTempView("_parent_links")
-    return spark.sql(
-        """WITH RECURSIVE up(node, ancestor, depth) AS (
-             SELECT child, parent, 1 FROM _parent_links
-             UNION ALL SELECT up.node, l.parent, up.depth + 1 FROM up JOIN _parent_links l ON l.child = up.ancestor)
-           SELECT node, ancestor, depth FROM up"""
-    )
+    """(node, ancestor, depth) of a forest of parent links (child, parent), as recursive SQL: a row
+    for each path up, however long.  Known paths are put end to end, so the reach doubles with each
+    round, ended by a checkpoint: 20 rounds for a depth of a million.  A circle, whose paths have no
+    end, is an error."""
+    found = new = cut(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+    reach = 1
+    while True:
+        deepest, circle = new.agg(F.max("depth"), F.bool_or(F.col("node") == F.col("ancestor"))).first()
+        if circle:
+            raise ValueError("parent links form a circle")
+        if deepest is None or deepest < reach:
+            return found
+        jump = new.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("via"))
+        up = found.select(F.col("node").alias("via"), "ancestor", "depth")
+        new = cut(jump.join(up, "via").select("node", "ancestor", (F.col("depth") + reach).alias("depth")))
+        found = found.unionByName(new)
+        reach *= 2

@@ -109,3 +109,22 @@ def test_halves_round_as_in_the_oracle(spark):
     values = [2117.4353125, -2117.4353125, 0.0000005, 1.0000015, 2.5e-7, 1234.5678905, 0.1234565]
     want = [duckdb.sql(f"SELECT round({v!r}::DOUBLE, 6)").fetchall()[0][0] for v in values]
     assert [x.v for x in rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")).orderBy("i").collect()] == want
+
+
+def test_ancestors_of_deep_and_many_paths(spark):
+    """Deeper than recursive SQL goes here (100 levels), more rows than it gives (1,000,000), paths
+    that part and meet, a null parent, a circle, and no links at all."""
+    from pyspark.sql import functions as F
+
+    from panelforge.operators.alignment import ancestors
+
+    links = lambda rows: spark.createDataFrame(rows, "child long, parent long")
+    rows = lambda e: sorted(((r.node, r.ancestor, r.depth) for r in ancestors(spark, e).collect()), key=str)
+    assert rows(links([(i, i - 1) for i in range(1, 131)])) == sorted(((i, i - d, d) for i in range(1, 131) for d in range(1, i + 1)), key=str)
+    assert rows(links([(4, 2), (4, 3), (2, 1), (3, 1), (1, None)])) == sorted([(4, 2, 1), (4, 3, 1), (2, 1, 1), (3, 1, 1), (1, None, 1), (4, 1, 2), (4, 1, 2), (2, None, 2), (3, None, 2), (4, None, 3), (4, None, 3)], key=str)
+    assert rows(links([])) == []
+    many = ancestors(spark, spark.range(2, 80_001).select(F.col("id").alias("child"), F.floor(F.col("id") / 2).alias("parent")))
+    assert many.count() == sum(n.bit_length() - 1 for n in range(2, 80_001)) > 1_000_000
+    for circle in ([(7, 7)], [(1, 2), (2, 3), (3, 1), (9, 1)]):
+        with pytest.raises(ValueError, match="circle"):
+            ancestors(spark, links(circle))
