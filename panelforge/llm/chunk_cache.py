@@ -15,6 +15,10 @@ from array import array
 from collections.abc import Callable, Hashable, Iterable
 from functools import lru_cache
 
+import numpy as np
+
+from .common import ASCII_SPACE, mix
+
 LIMIT = 600_000
 
 
@@ -80,6 +84,92 @@ class Known(dict):
         return out
 
 
+class ShortPieces:
+    """Pieces of at most ``LONGEST`` bytes -> ids, for many at once.  A piece is its bytes in three
+    integers and its length, so equal keys are equal pieces.  ``at`` is a table with open
+    addressing over the entries; the ids of all entries lie in ``pool``.  Full, it begins anew.
+    """
+
+    LONGEST = 24
+    #: ``MASK[n]`` keeps the first n bytes of a little-endian integer.
+    MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+    def __init__(self, dtype: str, limit: int):
+        self.dtype, self.limit = dtype, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = self.used = 0
+        self.at = np.full(1 << 10, -1, np.int32)
+        self.keys = np.zeros((512, 4), np.uint64)
+        self.first, self.count = np.zeros(512, np.int64), np.zeros(512, np.int64)
+        self.pool = np.zeros(4096, self.dtype)
+
+    @classmethod
+    def key(cls, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Keys of data[start : start + size]; ``data`` goes on for ``LONGEST`` bytes behind the last."""
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        out = np.empty((len(start), 4), np.uint64)
+        for k in range(3):
+            out[:, k] = eight[start + 8 * k] & cls.MASK[np.clip(size - 8 * k, 0, 8)]
+        out[:, 3] = size
+        return out
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        h = mix(keys[:, 0] ^ mix(keys[:, 1] ^ mix(keys[:, 2] ^ (keys[:, 3] << np.uint64(56)))))
+        return (h & np.uint64(len(self.at) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, -1 for those not known."""
+        out = np.full(len(keys), -1, np.int64)
+        place, todo = self._place(keys), np.arange(len(keys))
+        while len(todo):
+            e = self.at[place]
+            some = e >= 0
+            todo, place, e = todo[some], place[some], e[some]
+            d = self.keys[e] ^ keys[todo]
+            same = (d[:, 0] | d[:, 1] | d[:, 2] | d[:, 3]) == 0
+            out[todo[same]] = e[same]
+            todo, place = todo[~same], (place[~same] + 1) & (len(self.at) - 1)
+        return out
+
+    def _enter(self, first: int) -> None:
+        """Put entries from ``first`` on into the table."""
+        e = np.arange(first, self.n, dtype=np.int32)
+        place = self._place(self.keys[first : self.n])
+        while len(e):
+            free = self.at[place] < 0
+            self.at[place[free]] = e[free]
+            left = self.at[place] != e
+            e, place = e[left], (place[left] + 1) & (len(self.at) - 1)
+
+    def room(self, n: int) -> bool:
+        return self.n + n <= max(self.limit, n)
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """New keys, all different, and their ids."""
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        count = np.array([len(x) for x in ids], np.int64) // self.pool.itemsize
+        first, n = self.n, self.n + len(ids)
+        while n > len(self.keys):
+            self.keys, self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.first, self.count))
+        self.keys[first:n], self.count[first:n] = keys, count
+        self.first[first:n] = self.put(flat) + np.cumsum(count) - count
+        self.used += len(flat)
+        self.n = n
+        if 2 * n > len(self.at):
+            self.at = np.full(1 << (4 * n).bit_length(), -1, np.int32)
+            first = 0
+        self._enter(first)
+
+    def put(self, flat: np.ndarray) -> int:
+        """Write ids behind those in use, where the next ones go; their place."""
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        return self.used
+
+
 def plain_tokenizer(content: bytes):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -161,14 +251,13 @@ class ByteIds:
     another character.  Pieces are a run of ASCII white space and what follows it.  Where a text
     has white space outside ASCII, the library encodes it whole.
 
-    Keys: what follows one space; a line feed and what follows it; or any other piece, in a tuple.
+    Short pieces are found by their bytes, all of a block at once; longer ones by keys: what follows
+    one space; a line feed and what follows it; or any other piece, in a tuple.
     """
 
-    PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
     #: Fixed value: white space outside ASCII.
     OTHER = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     SPACE = _STANDS[32]
-    RUNS = ("  ", "\n ", " \n", "\n\n\n", "\t", "\r", "\x0b", "\x0c")
     MARKS = (".", ",", "!", "?", ";", ":")
     PLAIN = re.compile(f"\n?[{LETTERS}]+").fullmatch
     LETTER = re.compile(f"[{LETTERS}]").match
@@ -181,17 +270,12 @@ class ByteIds:
         self.line = self.whole(["\n"])[0]
         self.after = dict(zip(self.MARKS, self.whole(list(self.MARKS)), strict=True))
         self.known = Known(self.encode, self.tail, limit)
+        self.short = ShortPieces(f"<u{self.width}", 4 * limit)
 
-    def keys(self, text: str) -> list:
-        if not any(map(text.__contains__, self.RUNS)) and not text.endswith("\n\n"):
-            out: list = text.replace("\n", " \n").split(" ")
-            out[0] = (out[0],)
-            return out
-        out = []
-        for p in self.PIECE.findall(text):
-            lone = len(p) > 1 and p[1] not in " \t\n\r\x0b\x0c"
-            out.append(p[1:] if lone and p[0] == " " else p if lone and p[0] == "\n" else (p,))
-        return out
+    @staticmethod
+    def named(p: str) -> Hashable:
+        lone = len(p) > 1 and p[1] not in " \t\n\r\x0b\x0c"
+        return p[1:] if lone and p[0] == " " else p if lone and p[0] == "\n" else (p,)
 
     def tail(self, key) -> tuple[str, bytes] | None:
         """One such mark after a letter, with white space or the end behind it, is a pre-token."""
@@ -212,10 +296,66 @@ class ByteIds:
                 other.append((k, key if key[:1] == "\n" else " " + key))
         return _many(self.t, self.kind, plain, other)
 
+    def learn(self, pieces: list[bytes], keys: np.ndarray) -> None:
+        """Make short pieces known.  Of one that ends in a mark, the rest may be known."""
+        names = [self.named(p.decode()) for p in pieces]
+        ends = [self.tail(x) for x in names]
+        cut = [k for k, t in enumerate(ends) if t is not None]
+        data = np.frombuffer(b"".join(pieces) + bytes(self.short.LONGEST), np.uint8)
+        size = np.array([len(p) for p in pieces], np.int64)
+        rest = self.short.find(self.short.key(data, (np.cumsum(size) - size)[cut], size[cut] - 1))
+        ids: list = [None] * len(pieces)
+        for k, e in zip(cut, rest.tolist(), strict=True):
+            if e >= 0:
+                at = int(self.short.first[e])
+                ids[k] = self.short.pool[at : at + int(self.short.count[e])].tobytes() + ends[k][1]
+        todo = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(todo, self.encode([names[k] if ends[k] is None else ends[k][0] for k in todo]), strict=True):
+            ids[k] = x if ends[k] is None else x + ends[k][1]
+        self.short.add(keys, ids)
+
+    def pieces(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts that are cut at white space."""
+        short = self.short
+        raw = b"".join(texts)
+        data = np.frombuffer(raw + bytes(short.LONGEST), np.uint8)
+        off = np.cumsum([0, *map(len, texts)])
+        space = ASCII_SPACE[data[: len(raw)]]
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[off[:-1][off[:-1] < len(raw)]] = True
+        start = np.flatnonzero(begins)
+        size = np.diff(start, append=len(raw))
+        is_long = size > short.LONGEST
+        few = np.flatnonzero(~is_long)
+        keys = short.key(data, start[few], size[few])
+        entry = short.find(keys)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            at, to = start[few[missing]].tolist(), (start + size)[few[missing]].tolist()
+            new = {raw[x:y]: k for x, y, k in zip(at, to, missing.tolist(), strict=True)}
+            if not short.room(len(new)):  # all of this block's pieces anew
+                short.clear()
+                missing = np.arange(len(few))
+                new = {raw[x:y]: k for k, (x, y) in enumerate(zip(start[few].tolist(), (start + size)[few].tolist(), strict=True))}
+            self.learn(list(new), keys[list(new.values())])
+            entry[missing] = short.find(keys[missing])
+        first, count = np.empty(len(start), np.int64), np.empty(len(start), np.int64)
+        first[few], count[few] = short.first[entry], short.count[entry]
+        if is_long.any():
+            names = [[self.named(raw[x : x + n].decode())] for x, n in zip(start[is_long].tolist(), size[is_long].tolist(), strict=True)]
+            ids = self.known.join(names)
+            count[is_long] = n = np.array([len(x) for x in ids], np.int64) // self.width
+            first[is_long] = short.put(np.frombuffer(b"".join(ids), short.dtype)) + np.cumsum(n) - n  # until the next block
+        to = np.cumsum(count)
+        flat = short.pool[np.repeat(first - to + count, count) + np.arange(to[-1] if len(to) else 0)].tobytes()
+        ends = np.concatenate([[0], to])[np.searchsorted(start, off)] * self.width
+        return [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         odd = [k for k, t in enumerate(texts) if any(map(t.__contains__, self.added)) or (not t.isascii() and self.OTHER.search(t))]
         whole = dict(zip(odd, self.whole([texts[k] for k in odd]), strict=True))
-        out = self.known.join([[] if k in whole else self.keys(t) for k, t in enumerate(texts)])
+        out = self.pieces([b"" if k in whole else t.encode() for k, t in enumerate(texts)])
         return [whole.get(k, x) for k, x in enumerate(out)] if whole else out
 
 

@@ -553,6 +553,22 @@ def test_cached_ids_equal_the_library(rows):
         assert word([x.encode() for x in part]) == [ids(word.t, x).astype("<u4").tobytes() for x in part]
 
 
+def test_short_pieces_are_found_without_a_step_each(monkeypatch):
+    """No dictionary is asked for short pieces; at, below and above the longest; NULs; a full table."""
+    many = chunk_cache.ByteIds(tokenizer_bytes(None, "byte_bpe_50k.json"), 100)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdeéß中\x00'.9") for _ in range(n))
+    texts = ["", " ", "\n", "a" * 23, "a" * 24, " " + "a" * 23, " " + "a" * 24, "a" * 25 + ".", " a\x00", " a", " a\x00\x00", "\x00", ""]
+    texts += [rng.choice([" ", "\n", "  ", "\n\n", ""]).join(word(rng.randrange(1, 30)) for _ in range(rng.randrange(40))) for _ in range(300)]
+    for part in (texts, texts[::-1], texts[:3], [], [""]):
+        assert many(part) == [np.array(many.t.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in part]
+    few = [" ".join(word(rng.randrange(1, 5)) for _ in range(50)) for _ in range(20)]
+    monkeypatch.setattr(many.known, "join", None)
+    for _ in range(2):
+        assert many(few) == [np.array(many.t.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in few]
+    assert 0 < many.short.n
+
+
 def test_crc_of_parts():
     rng = np.random.default_rng(3)
     parts = [[rng.bytes(int(n)) for n in rng.integers(0, 90, 5)] for _ in range(8)]
